@@ -132,3 +132,65 @@ def bag_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     shared = int(np.minimum(a[1][i], b[1][j]).sum())
     return shared / (total - shared)
+
+
+PAD = 256
+
+
+def chunk_starts(sizes: np.ndarray, width: int, stride: int, flush: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of width bytes every stride bytes that cover each text to its end, at least one for each text.
+
+    Gives the number of chunks of each text and each chunk's start in its text. flush: the last one ends with its text.
+    """
+    counts = np.maximum(1, -(-(sizes - (width - stride)) // stride))
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = nth * stride
+    return counts, np.minimum(starts, np.repeat(np.maximum(0, sizes - width), counts)) if flush else starts
+
+
+def chunk_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """A row of width symbols for each chunk that begins at `begin`; PAD from its text's `end` on."""
+    at = begin[:, None] + np.arange(width)
+    inside = at < end[:, None]
+    return np.where(inside, data[np.where(inside, at, 0)].astype(np.int16), np.int16(PAD)) if len(data) else np.full(at.shape, PAD, np.int16)
+
+
+def sampled_chunks(docs: DataFrame, value: str, kind: str, width: int, per_doc: int) -> DataFrame:
+    """For fitting: (value, chunk) with at most per_doc chunks of width bytes, spread evenly over each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, offsets = raw(texts(batch.column(0)))
+            values, chunks = [], []
+            for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+                n = max(1, min(per_doc, -(-(b - a) // width)))
+                for x in np.linspace(a, max(a, b - width), n).astype(int).tolist():
+                    values.append(i)
+                    chunks.append(data[x : min(b, x + width)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(values)), pa.array(chunks, pa.binary())], ["value", "chunk"])
+
+    return docs.select("text", value).mapInArrow(run, f"value {kind}, chunk binary")
+
+
+def chunk_rows(chunks: list[bytes], width: int) -> np.ndarray:
+    """Collected chunks as rows of symbols."""
+    out = np.full((len(chunks), width), PAD, np.int16)
+    for i, c in enumerate(chunks):
+        out[i, : len(c)] = np.frombuffer(c, np.uint8)
+    return out
+
+
+class Adam:
+    """Adam steps over a dict of arrays."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float) -> None:
+        self.w, self.rate, self.n = weights, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        for k, g in grads.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.01 * (g * g - self.v[k])
+            self.w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + 1e-8)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from frontrank.llm import exact_dedup, packing
+from frontrank.llm import exact_dedup, language_gru, packing, quality_cnn
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_quality_classifier": quality_cnn.op3_quality_classifier,
+    "op9_language_id": language_gru.op9_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
