@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from frontrank.llm import exact_dedup, language_gru, near_dedup, packing, quality_cnn
+from frontrank.llm import decontamination, exact_dedup, language_gru, near_dedup, packing, quality_cnn
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_quality_classifier": quality_cnn.op3_quality_classifier,
+    "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op9_language_id": language_gru.op9_language_id,
     "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
