@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from frontrank.llm import decontamination, exact_dedup, language_gru, near_dedup, packing, quality_cnn
+from frontrank.llm import decontamination, exact_dedup, language_gru, license_scan, near_dedup, packing, pii, quality_cnn, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op10_url_filter": url_filter.op10_url_filter,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_quality_classifier": quality_cnn.op3_quality_classifier,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
