@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from frontrank.llm import decontamination, exact_dedup, language_gru, license_scan, near_dedup, packing, pii, quality_cnn, url_filter
+from frontrank.llm import decontamination, exact_dedup, language_gru, license_scan, line_dedup, near_dedup, packing, pii, quality_cnn, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_url_filter": url_filter.op10_url_filter,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
