@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +67,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker serves many tasks and should hold only what the current one needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut by rows so that each holds about `limit` bytes of text."""
     for batch in batches:
@@ -75,9 +84,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         for i, size in enumerate(sizes.tolist()):
             if held and held + size > limit:
                 yield batch.slice(begin, i - begin)
+                trim()
                 begin, held = i, 0
             held += size
         yield batch.slice(begin)
+        trim()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

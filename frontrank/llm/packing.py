@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences.
 
 Tokens are made by whole words: a text is cut at blanks and line ends (the tokenizer drops white space, so no token
-crosses them), each distinct word is encoded once and its ids are gathered for every place it stands at. Each document
+crosses them), each distinct word of a slice of texts is encoded once and its ids gathered for every place it stands at. Each document
 ends with END_ID; only documents longer than a sequence are cut.
 
 Placing is best-fit decreasing. Pieces are dealt by hash into groups of about GROUP pieces; inside a group they come
@@ -15,8 +15,10 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,56 +30,106 @@ from pyspark.sql import functions as F
 from frontrank.llm.common import read, slices, texts
 
 CAPACITY, END_ID, GROUP = 4096, 1, 32_768
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBER = 400_000
+#: Text encoded together, words that the tokenizer gets at a time, and words in one of its strings.
+ENCODE_BYTES, AT_ONCE, TOGETHER = 4 << 20, 4096, 512
+#: Distinct words whose ids a worker remembers: the first it meets, so mostly frequent ones.
+REMEMBER = 200_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def gathered(flat: np.ndarray, count: np.ndarray, codes: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+    """The runs of flat that codes name, on end. count and begin of run c are at c; without begin, runs lie on end."""
+    begin = np.cumsum(count) - count if begin is None else begin
+    sizes = count[codes]
+    at = np.repeat(begin[codes] - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class WordIds:
-    """Token ids of words, remembered in one flat array."""
+    """Token ids of many texts at once: each distinct word of a slice is encoded once."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
-        self.ids = np.array([END_ID], np.int32)
-        self.begin, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)  # place 0: the end of a document
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """For each word, its place in begin and count."""
-        if len(self.known) > REMEMBER:
-            self.clear()
-        known = self.known
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
-            known.update(zip(fresh, range(len(self.begin), len(self.begin) + len(fresh)), strict=True))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.count = np.concatenate([self.count, sizes])
-            self.ids = np.concatenate([self.ids, flat])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.known_ids, self.known_sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def words(self, column: pa.Array) -> pa.ListArray:
+        """The words of each text. Cuts only where a token ends anyway: at white space, and before , and . after a letter.
+
+        ASCII capitals are lowered as the tokenizer does, unless the text may hold one of its special strings.
+        """
+        column = pc.replace_substring(column, "\n", " ")
+        if not pc.any(pc.match_substring(column, "<|")).as_py():
+            column = pc.replace_substring_regex(pc.ascii_lower(column), r"(\p{L})([.,])", r"\1 \2")
+        return pc.split_pattern(column, " ")
+
+    def fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words on end, and how many each word has.
+
+        Words of letters only are one piece to the tokenizer, and each ends with a token that ends a word: they are
+        encoded many in a string and parted there.
+        """
+        plain = np.asarray(pc.match_substring_regex(words, r"^\p{L}+$"), bool)
+        sizes, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)]
+        order = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        lines = [order[0][i : i + TOGETHER] for i in range(0, len(order[0]), TOGETHER)]
+        for i in range(0, len(lines), 16):
+            group = lines[i : i + 16]
+            texts_ = [words.take(pa.array(x)).to_pylist() for x in group]
+            for which, own, e in zip(group, texts_, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts_], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                found = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+                if len(found) != len(which) or found.sum() != len(ids):
+                    each = [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                    found, ids = np.array([len(x) for x in each]), np.fromiter(chain.from_iterable(each), np.int32)
+                sizes[which] = found
+                parts.append(ids)
+        for i in range(0, len(order[1]), AT_ONCE):
+            which = order[1][i : i + AT_ONCE]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(which)).to_pylist(), add_special_tokens=False)]
+            sizes[which] = [len(x) for x in each]
+            parts.append(np.fromiter(chain.from_iterable(each), np.int32))
+        return gathered(np.concatenate(parts), sizes[np.concatenate(order)], np.argsort(np.concatenate(order))), sizes
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and each word's place and number of ids in it; word 0 is the end of a document."""
+        known, listed = self.known, words.to_pylist()
+        place = np.fromiter((known.get(w, -1) for w in listed), np.int64, len(listed))
+        new = np.flatnonzero(place < 0)
+        ids, sizes = self.fresh(words.take(pa.array(new)))
+        base, had = len(self.known_ids), len(self.known_sizes)
+        starts = np.cumsum(self.known_sizes) - self.known_sizes
+        count, begin = np.empty(len(listed), np.int64), np.empty(len(listed), np.int64)
+        seen = place >= 0
+        count[seen], begin[seen] = self.known_sizes[place[seen]], starts[place[seen]]
+        count[new], begin[new] = sizes, base + np.cumsum(sizes) - sizes
+        flat = np.concatenate([self.known_ids, ids, np.array([END_ID], np.int32)])
+        if room := max(0, min(REMEMBER - had, len(new))):
+            known.update(zip((listed[i] for i in new[:room].tolist()), range(had, had + room), strict=True))
+            self.known_sizes = np.concatenate([self.known_sizes, sizes[:room]])
+            self.known_ids = np.concatenate([self.known_ids, ids[: int(sizes[:room].sum())]])
+        return flat, np.concatenate([[len(flat) - 1], begin]), np.concatenate([[1], count])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each with END_ID behind it, and the offsets of each text."""
-        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        lists = self.words(column)
         words = pc.dictionary_encode(lists.flatten())
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
-        place = self.places(words.dictionary.to_pylist())
-        codes = place[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
+        flat, begin, count = self.of_words(words.dictionary)
+        codes = np.asarray(words.indices, np.int64) + 1 if len(words) else np.zeros(0, np.int64)
         ends = np.asarray(lists.offsets, np.int64)[1:]
         codes = np.insert(codes, ends, 0)
         ends = ends + np.arange(1, len(ends) + 1)
-        sizes = self.count[codes]
-        until = np.cumsum(sizes)
-        at = np.repeat(self.begin[codes] - (until - sizes), sizes) + np.arange(int(until[-1]) if len(until) else 0)
-        return self.ids[at], np.concatenate([[0], until[ends - 1]]) if len(ends) else np.zeros(1, np.int64)
+        until = np.cumsum(count[codes])
+        return gathered(flat, count, codes, begin), np.concatenate([[0], until[ends - 1]]) if len(ends) else np.zeros(1, np.int64)
 
 
 _workers: dict[str, WordIds] = {}
@@ -88,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.get(tokenizer_path) or _workers.setdefault(tokenizer_path, WordIds(tokenizer_path))
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENCODE_BYTES):
             ids, offsets = words.encode(texts(batch.column(1)))
             raw = ids.astype("<i4").tobytes()
             row, part, begin, length, crc = [], [], [], [], []
