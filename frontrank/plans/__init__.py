@@ -1,8 +1,7 @@
 """The operators as queries over the given tables: QUERIES by name, ORACLE_SQL where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from frontrank.plans import comparing, profiling, ranking
+from frontrank.plans.ranking import flagship
+from frontrank.plans.registry import ORACLE_SQL, QUERIES
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "comparing", "flagship", "profiling", "ranking"]
