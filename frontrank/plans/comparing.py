@@ -337,10 +337,10 @@ def t5(spark, d):
     return N.ranked_edges(networks(spark, d).withColumn("w", F.round("w", 9))).filter("edge_rank <= 10").select("net_id", "src", "dst")
 
 
-@query("t11_selected_networks", _with(*_NET) + ", s AS (SELECT DISTINCT net_id FROM candidate_weights WHERE technique = 'A' AND weight >= 0.05) SELECT net_id, src, dst, round(w, 6) AS w FROM cons WHERE net_id IN (SELECT net_id FROM s)")
+@query("t11_selected_networks", _with(*_NET) + ", s AS (SELECT DISTINCT net_id FROM candidate_weights WHERE technique = 'A' AND weight >= 0.5) SELECT net_id, src, dst, round(w, 6) AS w FROM cons WHERE net_id IN (SELECT net_id FROM s)")
 def t11(spark, d):
     weights = X.candidate_weights(spark, d)
-    chosen = weights.filter("technique = 'A' AND weight >= 0.05").select("net_id").distinct()
+    chosen = weights.filter("technique = 'A' AND weight >= 0.5").select("net_id").distinct()
     return r6(N.consensus(weights.join(chosen, "net_id", "left_semi"), X.edge_lists(spark, d)))
 
 

@@ -75,14 +75,14 @@ FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY ALL)"""
 
 
 def candidate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(net_id, technique, weight): three weights for each candidate of the first item of every hundredth front."""
-    f = fronts(spark, sf_dir).filter("item_id = 1 AND front_id % 100 = 0")
-    three = F.array(*[F.struct(F.lit(t).alias("technique"), c.alias("weight")) for t, c in (("A", F.col("discount")), ("N", F.col("tax")), ("R", F.col("quantity") / 100))])
-    return f.select(F.col("front_id").alias("net_id"), F.explode(three).alias("x")).select("net_id", "x.technique", "x.weight")
+    """(net_id, technique, weight): a candidate for each shipping month, weighted by the mean discount of each flag."""
+    line = table(spark, sf_dir, "lineitem")
+    month = F.year("l_shipdate") * 100 + F.month("l_shipdate")
+    return line.groupBy(month.cast("long").alias("net_id"), F.col("l_returnflag").alias("technique")).agg((F.avg("l_discount") * 10).alias("weight"))
 
 
-WEIGHTS = """candidate_weights AS (SELECT front_id AS net_id, unnest(['A', 'N', 'R']) AS technique,
-unnest([discount, tax, quantity / 100]) AS weight FROM fronts WHERE item_id = 1 AND front_id % 100 = 0)"""
+WEIGHTS = """candidate_weights AS (SELECT (year(l_shipdate) * 100 + month(l_shipdate))::BIGINT AS net_id, l_returnflag AS technique,
+avg(l_discount) * 10 AS weight FROM lineitem GROUP BY 1, 2)"""
 
 
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:

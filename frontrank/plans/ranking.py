@@ -277,9 +277,9 @@ def d7(spark, d):
     return r6(f.groupBy("front_id").agg(F.max("vikor").alias("best"), F.min("vikor").alias("worst")))
 
 
-@query("d11_score_rule", _with(X.FRONTS, _BAD, _RULES) + "SELECT front_id, item_id, round(topsis, 6) AS score FROM rules WHERE front_id % 10 = 0")
+@query("d11_score_rule", _with(X.FRONTS, _BAD, _RULES) + "SELECT front_id, item_id, round(topsis, 6) AS score FROM rules")
 def d11(spark, d):
-    return r6(D.score_rule(X.fronts(spark, d).filter("front_id % 10 = 0"), "topsis", X.OBJECTIVES).select(*KEYS, "score"))
+    return r6(D.score_rule(X.fronts(spark, d), "topsis", X.OBJECTIVES).select(*KEYS, "score"))
 
 
 @query("d12_rule_scores", _with(*_SCORES) + "SELECT rule, count(*) AS n, round(avg(score), 6) AS mean, round(max(score), 6) AS most FROM scores GROUP BY 1")
@@ -312,12 +312,12 @@ def d13(spark, d):
     return means.withColumn("value", F.round("value", 5))
 
 
-@query("d14_selected_by_rule", _with(*_SCORES) + """
-SELECT front_id, rule, item_id, round(score, 6) AS score FROM scores WHERE front_id % 50 = 0
-QUALIFY row_number() OVER (PARTITION BY front_id, rule ORDER BY round(score, 9) DESC, item_id) = 1""")
+@query("d14_selected_by_rule", _with(*_SCORES) + """, b AS (SELECT rule, target FROM scores QUALIFY row_number() OVER (PARTITION BY front_id, rule ORDER BY round(score, 9) DESC, item_id) = 1)
+SELECT rule, count(*) AS n_fronts, round(avg(target), 5) AS mean_target FROM b GROUP BY 1""")
 def d14(spark, d):
-    scores = D.rule_scores(X.fronts(spark, d).filter("front_id % 50 = 0"), X.OBJECTIVES).withColumn("score", F.round("score", 9))
-    return r6(D.best_candidates(scores))
+    scores = D.rule_scores(X.fronts(spark, d), X.OBJECTIVES).withColumn("score", F.round("score", 9))
+    best = D.best_candidates(scores).join(scores.select("front_id", "rule", "item_id", "target"), ["front_id", "rule", "item_id"])
+    return best.groupBy("rule").agg(F.count("*").alias("n_fronts"), F.round(F.avg("target"), 5).alias("mean_target"))
 
 
 @query("t1_best_candidates", _with(*_SCORES) + """
