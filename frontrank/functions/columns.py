@@ -95,13 +95,13 @@ def metric_family(metric: Column) -> Column:
     return F.regexp_extract(metric, r"^(.*?)(?:@|$)", 1)
 
 
-def p_class(p: Column, rank: Column) -> Column:
-    """How a method compares with the winner."""
-    return F.when(rank == 1, "winner").when(p.isNull(), "not tested").when(p < 0.05, "significant").otherwise("not significant")
+def p_class(p: Column) -> Column:
+    """How a method compares with the winner, which has no p."""
+    return F.when(p.isNull(), "winner").when(p < 0.05, "significant").otherwise("not_significant")
 
 
 def p_label(p: Column) -> Column:
-    return F.when(p < 0.001, "p<0.001").otherwise(F.format_string("p=%.3f", p))
+    return F.when(p.isNull(), "winner").when(p < 0.001, "p<0.001").otherwise(F.format_string("p=%.3f", p))
 
 
 def bias_corrected_skew(c: Column, n: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +18,16 @@ def universe(genes: DataFrame, column: str = "gene_symbol") -> DataFrame:
     return genes.select(symbol(column).alias("symbol")).filter("symbol <> ''").distinct()
 
 
-def resources(c: Column, known: Sequence[str]) -> Column:
+# What a source string holds, and the resource it stands for.
+RESOURCES = {"COLLECTRI": "OmniPath_CollecTRI", "DOROTHEA": "OmniPath_DoRothEA"}
+
+
+def resources(c: Column, known: Mapping[str, str] = RESOURCES) -> Column:
     """Which of the known resources a source string names."""
-    return F.array_compact(F.array(*[F.when(F.contains(F.upper(c), F.lit(k.upper())), k) for k in known]))
+    return F.array_compact(F.array(*[F.when(F.contains(F.upper(c), F.lit(k.upper())), tag) for k, tag in known.items()]))
 
 
-def interactions(raw: DataFrame, known: Sequence[str]) -> DataFrame:
+def interactions(raw: DataFrame, known: Mapping[str, str] = RESOURCES) -> DataFrame:
     """Interaction rows (source_genesymbol, target_genesymbol, sources) without complexes, one row a named resource."""
     plain = raw.filter(~F.contains("source_genesymbol", F.lit("_")) & ~F.contains("target_genesymbol", F.lit("_")))
     named = plain.withColumn("resource", F.explode(resources(F.col("sources"), known)))
@@ -36,9 +40,10 @@ def curated(raw: DataFrame, resource: str) -> DataFrame:
 
 
 def term_factors(term: Column) -> Column:
-    """Factors that a gene-set term names: parts at / and ::, without what follows a bracket and a PWM_ prefix."""
-    parts = F.split(F.regexp_replace(F.upper(F.trim(F.split_part(term, F.lit("("), F.lit(1)))), "::", "/"), "/")
-    clean = F.transform(parts, lambda x: F.regexp_replace(F.trim(x), "^PWM_", ""))
+    """Factors that the first word of a gene-set term names: parts at / and ::, up to a bracket; PWM_... is PWM."""
+    word = F.split_part(F.trim(term), F.lit(" "), F.lit(1))
+    word = F.when(F.upper(word).startswith("PWM_"), F.split_part(word, F.lit("_"), F.lit(1))).otherwise(word)
+    clean = F.transform(F.split(F.regexp_replace(word, "/", "::"), "::"), lambda x: symbol(F.split_part(x, F.lit("("), F.lit(1))))
     return F.array_distinct(F.filter(clean, lambda x: x != ""))
 
 

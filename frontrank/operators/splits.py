@@ -12,25 +12,38 @@ from frontrank.sources.tables import first_of, materialized
 
 DEVELOPMENT, TEST = "development", "test"
 
-# The families of front names, as patterns with named parts in this order: source, size, condition.
-NAMES = [
-    ("dream3", r"^(?i:dream3)[_-]([A-Za-z]+\d*)[_-](\d+)(?:[_-](.+))?$"),
-    ("dream4", r"^(?i:dream4)[_-]([A-Za-z]+\d*)[_-](\d+)(?:[_-](.+))?$"),
-    ("dream5", r"^(?i:dream5)[_-]([A-Za-z]+\d*)()(?:[_-](.+))?$"),
-    ("syntren", r"^(?i:syntren)[_-]([A-Za-z]+)[_-](\d+)(?:[_-](.+))?$"),
-    ("brand", r"^(?i:brand)#(\d+)[_-](\d+)(?:[_-](.+))?$"),
-]
+# Patterns of front names (after a final _exp is cut) with their groups for size, source and condition.
+SIZED = r"^InSilicoSize(\d+)-([A-Za-z]+\d+)-(.+)$"
+NUMBERED = r"^dream4_(\d+)_(\d+)$"
+NAMED = r"^(gnw|rogers|syntren)(\d+)$"
+SWITCH = r"^switch-(.+)$"
+SIMULATED = r"^sim_(.+?)_(mixed|knockdown|knockout|overexpression)$"
+SIMULATED_PREFIXES = ["BioGrid", "GRNdb", "RegNetwork", "TFLink"]
+SIMULATED_WHOLE = ["eipo-modular", "scale-free"]
 
 
 def parsed_names(df: DataFrame, name: str = "front_name") -> DataFrame:
-    """family, source, size (null if there is none) and condition from a front's name; the rest is `other`."""
-    c = F.col(name)
-    family, parts = F.lit("other"), [F.lit("unknown"), F.lit(None).cast("string"), F.lit("unknown")]
-    for label, pattern in reversed(NAMES):
-        hit = c.rlike(pattern)
-        family = F.when(hit, label).otherwise(family)
-        parts = [F.when(hit, F.nullif(F.regexp_extract(c, pattern, i + 1), F.lit(""))).otherwise(p) for i, p in enumerate(parts)]
-    return df.withColumns({"family": family, "source": F.coalesce(parts[0], F.lit("unknown")), "size": parts[1].try_cast("int"), "condition": F.coalesce(parts[2], F.lit("unknown"))})
+    """family, source, size (null if there is none) and condition, as a front's name tells them."""
+    clean = F.regexp_replace(name, "_exp$", "")
+    part = lambda pattern, i: F.regexp_extract(clean, pattern, i)
+    body, unknown, none = part(SIMULATED, 1), F.lit("unknown"), F.lit(None).cast("string")
+    family, source = F.split_part(body, F.lit("_"), F.lit(1)), body
+    for p in SIMULATED_WHOLE:
+        family, source = F.when(body.startswith(p), p).otherwise(family), F.when(body.startswith(p), p).otherwise(source)
+    for p in SIMULATED_PREFIXES:
+        own = body.startswith(f"{p}_")
+        family, source = F.when(own, p).otherwise(family), F.when(own, F.substring(body, len(p) + 2, 10_000)).otherwise(source)
+    cases = [
+        (SIZED, F.lit("InSilico"), part(SIZED, 2), part(SIZED, 1), part(SIZED, 3)),
+        (NUMBERED, F.lit("dream4"), F.concat(F.lit("dream4_"), part(NUMBERED, 2)), part(NUMBERED, 1), unknown),
+        (NAMED, part(NAMED, 1), part(NAMED, 1), part(NAMED, 2), unknown),
+        (SWITCH, F.lit("switch"), F.lit("switch"), none, part(SWITCH, 1)),
+        (SIMULATED, family, source, F.regexp_extract(body, r"_size-(\d+)", 1), part(SIMULATED, 2)),
+    ]
+    found = [F.split_part(F.split_part(clean, F.lit("_"), F.lit(1)), F.lit("-"), F.lit(1)), clean, none, unknown]
+    for pattern, *values in reversed(cases):
+        found = [F.when(clean.rlike(pattern), v).otherwise(f) for v, f in zip(values, found, strict=True)]
+    return df.withColumns({"family": found[0], "source": found[1], "size": found[2].try_cast("int"), "condition": found[3]})
 
 
 def balanced_folds(df: DataFrame, k: int = 5) -> DataFrame:
@@ -129,11 +142,18 @@ def split_crosstab(df: DataFrame) -> DataFrame:
 # ---- catalogs and contracts
 
 
+# Prefixes of feature columns by kind.
+PREFIXES = {"technique_weights": ["GRN_"], "expression": ["expr_", "exp_", "ts_"], "network": ["grn_", "net_", "entropy_"]}
+
+
 def classified(columns: DataFrame, control: Sequence[str] = ("front_id", "item_id"), target: str = "AUPR") -> DataFrame:
-    """kind of each column name: control, target, weights, expression, network or other."""
+    """kind of each column name: control, target, one of PREFIXES, or objective_or_metadata."""
     c = F.col("column")
-    kind = F.when(c.isin(*control), "control").when(c == target, "target").when(c.startswith("GRN_") & c.endswith(".csv"), "weights").when(c.startswith("expr_"), "expression").when(c.startswith("grn_"), "network").otherwise("other")
-    return columns.withColumn("kind", kind)
+    kind = F.when(c.isin(*control), "control").when(c == target, "target")
+    for name, prefixes in PREFIXES.items():
+        for prefix in prefixes:
+            kind = kind.when(c.startswith(prefix), name)
+    return columns.withColumn("kind", kind.otherwise("objective_or_metadata"))
 
 
 def resolved_blocks(columns: DataFrame, rules: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:

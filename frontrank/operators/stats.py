@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frontrank.functions import average_rank, direction, metric_family, metric_k
+from frontrank.functions import KS, average_rank, direction, metric_family, metric_k
 
-TIERS = {"Regret@5": "primary", "Regret@1": "secondary", "Hit@5": "secondary", "BestTarget@5": "secondary"}
+# Tier and place of each metric family; the place of k among KS is added.
+TIERS = {"Regret": "primary", "BestTarget": "primary", "Hit": "primary", "NDCG": "secondary", "Spearman": "tertiary", "KendallTau": "tertiary", "n_items": "aux"}
+PLACES = {"Regret": 10, "BestTarget": 20, "Hit": 30, "NDCG": 40, "Spearman": 50, "KendallTau": 51, "n_items": 99}
 ALPHA = 0.05
 
 
@@ -117,9 +119,12 @@ def summary(values: DataFrame, over: Sequence[str] = ("method", "metric")) -> Da
 
 
 def with_tiers(values: DataFrame) -> DataFrame:
-    """Tier, direction, family and k of each metric."""
-    tier = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), F.col("metric")), F.lit("context"))
-    return values.withColumns({"tier": tier, "direction": direction(F.col("metric")), "family": metric_family(F.col("metric")), "k": metric_k(F.col("metric"))})
+    """Tier, order, direction, family and k of each metric."""
+    family, k = metric_family(F.col("metric")), metric_k(F.col("metric"))
+    of = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), family)
+    step = F.greatest(F.array_position(F.array(*map(F.lit, KS)), k).cast("int") - 1, F.lit(0))
+    order = F.coalesce(of(PLACES) + F.coalesce(step, F.lit(0)), F.lit(1000))
+    return values.withColumns({"tier": F.coalesce(of(TIERS), F.lit("other")), "order": order, "direction": direction(F.col("metric")), "family": family, "k": k})
 
 
 def leaderboard(summaries: DataFrame) -> DataFrame:

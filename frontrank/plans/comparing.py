@@ -80,10 +80,10 @@ def s4(spark, d):
     return r6(S.holm(p, ["metric"]).select("metric", "method", "p_holm"))
 
 
-@query("s1_tiers", _with(*_METHODS) + f"""SELECT metric, CASE metric WHEN 'Regret@5' THEN 'primary' WHEN 'Regret@1' THEN 'secondary' WHEN 'Hit@5' THEN 'secondary'
-WHEN 'BestTarget@5' THEN 'secondary' ELSE 'context' END AS tier, {_DIR} AS direction, split_part(metric, '@', 1) AS family, split_part(metric, '@', 2)::INT AS k, count(*) AS n FROM v GROUP BY ALL""")
+@query("s1_tiers", _with(*_METHODS) + f"""SELECT metric, 'primary' AS tier, CASE split_part(metric, '@', 1) WHEN 'Regret' THEN 10 WHEN 'BestTarget' THEN 20 ELSE 30 END
++ CASE split_part(metric, '@', 2) WHEN '1' THEN 0 WHEN '3' THEN 1 WHEN '5' THEN 2 ELSE 3 END AS "order", {_DIR} AS direction, split_part(metric, '@', 1) AS family, split_part(metric, '@', 2)::INT AS k, count(*) AS n FROM v GROUP BY ALL""")
 def s1(spark, d):
-    return S.with_tiers(values(spark, d)).groupBy("metric", "tier", "direction", "family", "k").agg(F.count("*").alias("n"))
+    return S.with_tiers(values(spark, d)).groupBy("metric", "tier", "order", "direction", "family", "k").agg(F.count("*").alias("n"))
 
 
 _SUMMARY = "summary AS (SELECT method, metric, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM v GROUP BY 1, 2)"

@@ -56,7 +56,7 @@ def a13(spark, d):
     path = T.fresh_path(spark, "interactions")
     raw.write.option("sep", "\t").option("header", True).csv(path)
     read = spark.read.schema(raw.schema).csv(path, sep="\t", header=True)
-    return V.interactions(read, ["AFRICA", "ASIA"]).select(F.translate("source", "-", "_").alias("source"), "target", "resource")
+    return V.interactions(read, {"AFRICA": "AFRICA", "ASIA": "ASIA"}).select(F.translate("source", "-", "_").alias("source"), "target", "resource")
 
 
 @query("a14_curated", "SELECT DISTINCT upper(trim(p_type)) AS source, upper(trim(p_name)) AS target, 'parts' AS resource FROM part")

@@ -132,20 +132,29 @@ def n18(spark, d):
 
 # ---- names, splits, folds, contracts
 
-_NAMED = "named AS (SELECT p_partkey AS front_id, replace(p_brand, ' ', '') || '_' || p_size || '_' || p_type AS front_name FROM part)"
+_NAMED = """named AS (SELECT p_partkey AS front_id, CASE p_size % 6 WHEN 0 THEN 'InSilicoSize' || p_size || '-' || left(p_type, 3) || '1-' || p_name WHEN 1 THEN 'dream4_0' || p_size || '_02'
+WHEN 2 THEN 'gnw' || p_size WHEN 3 THEN 'switch-' || p_type WHEN 4 THEN 'sim_TFLink_' || p_type || '_size-' || p_size || '_mixed' ELSE p_type || '-' || p_size || '_x' END || '_exp' AS front_name, p_size, p_type, p_name FROM part)"""
 
 
 def named(spark, d):
-    return X.table(spark, d, "part").select(F.col("p_partkey").alias("front_id"), F.concat(F.regexp_replace("p_brand", " ", ""), F.lit("_"), F.col("p_size").cast("string"), F.lit("_"), F.col("p_type")).alias("front_name"))
+    """Names of all families, made from parts."""
+    kind = F.col("p_size") % 6
+    size = F.col("p_size").cast("string")
+    name = F.when(kind == 0, F.concat(F.lit("InSilicoSize"), size, F.lit("-"), F.left("p_type", F.lit(3)), F.lit("1-"), "p_name")).when(kind == 1, F.concat(F.lit("dream4_0"), size, F.lit("_02"))).when(kind == 2, F.concat(F.lit("gnw"), size))
+    name = name.when(kind == 3, F.concat(F.lit("switch-"), "p_type")).when(kind == 4, F.concat(F.lit("sim_TFLink_"), "p_type", F.lit("_size-"), size, F.lit("_mixed"))).otherwise(F.concat("p_type", F.lit("-"), size, F.lit("_x")))
+    return X.table(spark, d, "part").select(F.col("p_partkey").alias("front_id"), F.concat(name, F.lit("_exp")).alias("front_name"))
 
 
-@query("p7_front_names", _with(_NAMED) + """SELECT front_id, CASE WHEN regexp_matches(front_name, '^(?i:brand)#(\\d+)[_-](\\d+)(?:[_-](.+))?$') THEN 'brand' ELSE 'other' END AS family,
-regexp_extract(front_name, '^(?i:brand)#(\\d+)[_-](\\d+)(?:[_-](.+))?$', 1) AS source, regexp_extract(front_name, '^(?i:brand)#(\\d+)[_-](\\d+)(?:[_-](.+))?$', 2)::INT AS size,
-regexp_extract(front_name, '^(?i:brand)#(\\d+)[_-](\\d+)(?:[_-](.+))?$', 3) AS condition FROM named""")
+@query("p7_front_names", _with(_NAMED) + """SELECT front_id, CASE p_size % 6 WHEN 0 THEN 'InSilico' WHEN 1 THEN 'dream4' WHEN 2 THEN 'gnw' WHEN 3 THEN 'switch' WHEN 4 THEN 'TFLink' ELSE p_type END AS family,
+CASE p_size % 6 WHEN 0 THEN left(p_type, 3) || '1' WHEN 1 THEN 'dream4_02' WHEN 2 THEN 'gnw' WHEN 3 THEN 'switch' WHEN 4 THEN p_type || '_size-' || p_size ELSE p_type || '-' || p_size || '_x' END AS source,
+CASE WHEN p_size % 6 IN (0, 1, 2, 4) THEN p_size END AS size, CASE p_size % 6 WHEN 0 THEN p_name WHEN 3 THEN p_type WHEN 4 THEN 'mixed' ELSE 'unknown' END AS condition FROM named""")
 def p7(spark, d):
     return P.parsed_names(named(spark, d)).select("front_id", "family", "source", "size", "condition")
 
 
+# ---- splits
+
+
 @query("w12_balanced_folds", _with(X.FRONTS) + """, s AS (SELECT front_id, count(*) AS n_items FROM fronts GROUP BY 1),
 o AS (SELECT *, (row_number() OVER (ORDER BY n_items DESC, substr(sha256('0:' || front_id), 1, 16), front_id) - 1) % 10 AS t FROM s)
 SELECT front_id, n_items, (CASE WHEN t < 5 THEN t ELSE 9 - t END)::INT AS fold FROM o""")
@@ -252,7 +261,7 @@ def _columns(spark, d, table):
     return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "column string, position int")
 
 
-@query("p3_column_kinds", "SELECT column_name AS \"column\", 'other' AS kind FROM (DESCRIBE lineitem)")
+@query("p3_column_kinds", "SELECT column_name AS \"column\", 'objective_or_metadata' AS kind FROM (DESCRIBE lineitem)")
 def p3(spark, d):
     return P.classified(_columns(spark, d, "lineitem")).select("column", "kind")
 
@@ -307,13 +316,12 @@ def p15(spark, d):
     return V.universe(X.table(spark, d, "part"), "p_name")
 
 
-@query("p24_p_labels", """WITH p AS (SELECT l_partkey, avg(l_tax) AS p FROM lineitem GROUP BY 1) SELECT l_partkey AS front_id, CASE WHEN l_partkey % 9 = 0 THEN 'winner' WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS class,
+@query("p24_p_labels", """WITH p AS (SELECT l_partkey, avg(l_tax) AS p FROM lineitem GROUP BY 1) SELECT l_partkey AS front_id, CASE WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END AS class,
 CASE WHEN round(p, 6) < 0.001 THEN 'p<0.001' ELSE printf('p=%.1f', round(p, 1)) END AS label FROM p WHERE abs(p - 0.05) > 1e-9""")
 def p24(spark, d):
     p = X.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("front_id")).agg(F.avg("l_tax").alias("p")).filter(F.abs(F.col("p") - 0.05) > 1e-9)
-    rank = F.when(F.col("front_id") % 9 == 0, 1).otherwise(2)
     label = F.when(F.round("p", 6) < 0.001, p_label(F.round("p", 6))).otherwise(F.format_string("p=%.1f", F.round("p", 1)))
-    return p.select("front_id", p_class(F.col("p"), rank).alias("class"), label.alias("label"))
+    return p.select("front_id", p_class(F.col("p")).alias("class"), label.alias("label"))
 
 
 @query("p34_or_unknown", "SELECT coalesce(nullif(o_orderstatus, 'F'), 'unknown') AS status, count(*) AS n FROM orders GROUP BY 1")
@@ -373,7 +381,7 @@ def s29(spark, d):
 
 @query("p17_resources", "SELECT DISTINCT props, CASE WHEN contains(upper(props), 'K') THEN 'k' ELSE '' END || CASE WHEN contains(props, '9') THEN ',9' ELSE '' END AS tags FROM events")
 def p17(spark, d):
-    return X.table(spark, d, "events").select("props", F.array_join(V.resources(F.col("props"), ["k", "9"]), ",").alias("tags")).distinct()
+    return X.table(spark, d, "events").select("props", F.array_join(V.resources(F.col("props"), {"k": "k", "9": "9"}), ",").alias("tags")).distinct()
 
 
 @query("a15_gene_sets", "WITH w AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b FROM part) SELECT a AS source, b AS target FROM w WHERE a <> b AND b <> ''")
@@ -386,10 +394,10 @@ def a15(spark, d):
     return V.gene_sets(V.read_gene_sets(spark, path), genes, "names").select("source", "target").distinct()
 
 
-@query("p16_term_factors", "SELECT DISTINCT p_name, upper(trim(p_name)) AS factors FROM part")
+@query("p16_term_factors", "SELECT DISTINCT p_name, upper(split_part(p_name, ' ', 1)) || '/X' AS factors FROM part")
 def p16(spark, d):
     p = X.table(spark, d, "part").select("p_name").distinct()
-    return p.select("p_name", F.array_join(V.term_factors(F.concat(F.lit("pwm_"), F.col("p_name"), F.lit("::"), F.col("p_name"), F.lit(" (x)"))), "/").alias("factors"))
+    return p.select("p_name", F.array_join(V.term_factors(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("(a)::x/X "), F.col("p_name"))), "/").alias("factors"))
 
 
 @query("a16_factor_scores", "SELECT upper(o_orderstatus) AS source, upper(trim(o_orderpriority)) AS target, count(*) AS n, round(sum(greatest(o_totalprice - 200000, o_custkey - 10)), 2) AS total FROM orders WHERE greatest(o_totalprice - 200000, o_custkey - 10) > 0 GROUP BY 1, 2")

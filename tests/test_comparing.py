@@ -84,7 +84,7 @@ def test_support_counts(spark):
 
 
 def test_gene_set_terms(spark):
-    lines = spark.createDataFrame([("PWM_tp53::myc (human)\tx\tegfr\ttp53",)], "value string")
+    lines = spark.createDataFrame([("tp53::myc (human)\tx\tegfr\ttp53",)], "value string")
     genes = spark.createDataFrame([("TP53",), ("MYC",), ("EGFR",)], "symbol string")
     got = {(r["source"], r["target"]) for r in V.gene_sets(lines, genes, "r").collect()}
     assert got == {("TP53", "EGFR"), ("MYC", "EGFR"), ("MYC", "TP53")}
