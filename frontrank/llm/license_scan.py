@@ -103,3 +103,21 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]], dice: float =
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"), TEMPLATES)
+
+
+def oracle_sql(templates: dict[str, list[str]], dice: float = DICE) -> str:
+    """The same in DuckDB's SQL, without the pruning."""
+    listed = [(name, plain_bigrams(t)) for name, texts in sorted(templates.items()) for t in texts]
+    rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(b) for b in own)}])" for i, (name, own) in enumerate(listed))
+    return f"""
+WITH t(ord, license, bg) AS (VALUES {rows}),
+units AS (SELECT doc_id, 0 AS line, coalesce(text, '') AS unit FROM documents UNION ALL
+SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT, unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))),
+words AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+pairs AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words),
+scores AS (SELECT doc_id, line, license, ord, 2.0 * len(list_intersect(b, bg)) / (len(b) + len(bg)) AS dice FROM pairs, t WHERE len(b) > 0)
+SELECT doc_id, line, license, dice::DOUBLE AS dice FROM scores WHERE dice >= {dice}
+QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, ord) = 1"""
+
+
+ORACLE_SQL = oracle_sql(TEMPLATES)

@@ -16,4 +16,4 @@ QUERIES = {
     "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_license_scan": license_scan.ORACLE_SQL}
