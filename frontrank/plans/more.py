@@ -237,3 +237,46 @@ def f3(spark, d):
     s = splits(spark, d).select("front_id", "split")
     both = {k: S.rank_stats(v.join(s.filter(F.col("split") == k), "front_id", "left_semi")) for k in ("development", "test")}
     return G.ablation_table(both["development"], both["test"], "topsis")
+
+
+@query("t3_edges_to_cutoff", _with(*_EDGE_RANKS) + "SELECT method, src, dst, edge_rank FROM g WHERE edge_rank <= 50")
+def t3(spark, d):
+    return ranked(spark, d).filter("edge_rank <= 50").select("method", "src", "dst", "edge_rank")
+
+
+@query("t10_sorted_edges", _with(X.EDGES) + "SELECT technique, src, dst, round(w, 6) AS w FROM edge_lists")
+def t10(spark, d):
+    return r6(X.edge_lists(spark, d)).orderBy("technique", F.desc("w"), "src", "dst")
+
+
+@query("t7_tagged_union", _with(X.FAMILIES, _SPLIT) + "SELECT 'part' AS kind, p_partkey AS id FROM part UNION ALL SELECT 'customer', c_custkey FROM customer")
+def t7(spark, d):
+    part = X.table(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
+    return part.unionByName(X.table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")))
+
+
+@query("p12_selectable", """SELECT c_custkey AS candidate, c_acctbal >= 0 AND n IS NOT NULL AS selectable, CASE WHEN n IS NULL THEN 'no report' WHEN c_acctbal < 0 THEN 'negative' ELSE 'ok' END AS reason
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def p12(spark, d):
+    n = X.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    c = X.table(spark, d, "customer").join(n, "c_custkey", "left")
+    reason = F.when(F.col("n").isNull(), "no report").when(F.col("c_acctbal") < 0, "negative").otherwise("ok")
+    return c.select(F.col("c_custkey").alias("candidate"), (reason == "ok").alias("selectable"), reason.alias("reason"))
+
+
+@query("p29_one_front", _with(X.FRONTS) + "SELECT front_id, count(*) AS n, count(DISTINCT front_id) = 1 AS one FROM fronts GROUP BY 1")
+def p29(spark, d):
+    f = T.require(X.fronts(spark, d), list(X.OBJECTIVES))
+    return f.groupBy("front_id").agg(F.count("*").alias("n"), (F.count_distinct("front_id") == 1).alias("one"))
+
+
+@query("f5_rule_ranks", _with(*_ST, _SUMMARY) + "SELECT method, position, round(avg_rank, 5) AS avg_rank, round(mean, 5) AS mean, position = 1 AS winner FROM stat JOIN summary USING (metric, method) WHERE metric = 'Regret@5'")
+def f5(spark, d):
+    joined = _ranks(spark, d).join(_summaries(spark, d), ["metric", "method"]).filter("metric = 'Regret@5'")
+    return joined.select("method", "position", F.round("avg_rank", 5).alias("avg_rank"), F.round("mean", 5).alias("mean"), (F.col("position") == 1).alias("winner"))
+
+
+@query("f8_curves", _with(*_METHODS, _SUMMARY) + "SELECT method, split_part(metric, '@', 2)::INT AS k, round(mean, 5) AS mean, round(std, 5) AS std FROM summary WHERE metric LIKE 'Regret@%'")
+def f8(spark, d):
+    s = S.summary(values(spark, d)).filter("metric LIKE 'Regret@%'")
+    return s.select("method", metric_k(F.col("metric")).alias("k"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
