@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; longer single texts are still handled whole.
 SLICE_BYTES = 4 << 20
+#: Rows that Spark hands to a Python worker at once.
+BATCH_ROWS = 1000
 SHINGLE = 5
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -59,6 +61,15 @@ def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches kept small: ten thousand texts at once would fill a task's memory twice over."""
+    conf = docs.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all strings on end, and the offsets of each string in them."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
@@ -180,7 +191,7 @@ def sampled_chunks(docs: DataFrame, value: str, kind: str, width: int, per_doc:
                     chunks.append(data[x : min(b, x + width)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(values)), pa.array(chunks, pa.binary())], ["value", "chunk"])
 
-    return docs.select("text", value).mapInArrow(run, f"value {kind}, chunk binary")
+    return small_batches(docs).select("text", value).mapInArrow(run, f"value {kind}, chunk binary")
 
 
 def chunk_rows(chunks: list[bytes], width: int) -> np.ndarray:

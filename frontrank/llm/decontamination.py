@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import SHINGLE, bag, bag_jaccard, read, shingle_hashes, slices, texts, word_hashes
+from frontrank.llm.common import SHINGLE, bag, bag_jaccard, read, shingle_hashes, slices, small_batches, texts, word_hashes
 
 THRESHOLD, RADIUS, BLOCKS, ITEMS = 0.8, 23, 8, 5000
 _FOUND = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
@@ -139,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = [batch.column(0).cast(pa.int64()).take(rows), pa.array([items.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32()), pa.array([f[5] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+        return small_batches(docs).select("doc_id", "text").mapInArrow(run, _FOUND)
 
     return reduce(DataFrame.unionByName, [of(x) for x in item_blocks(benchmark)])
 
@@ -156,7 +156,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean[[f[0] for f in items.search(texts(batch.column(place)))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = small_batches(docs).mapInArrow(run, schema)
     return docs
 
 

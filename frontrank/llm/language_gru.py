@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import PAD, Adam, chunk_bytes, chunk_rows, chunk_starts, held_out, raw, read, sampled_chunks, slices, texts
+from frontrank.llm.common import PAD, Adam, chunk_bytes, chunk_rows, chunk_starts, held_out, raw, read, sampled_chunks, slices, small_batches, texts
 
 SPAN, HIDDEN = 64, 8
 SAMPLE, CHUNKS_FIT, STEPS, BATCH = 400, 6, 250, 128
@@ -212,7 +212,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] |
                 lang[spoken], score[spoken] = np.array(names, object)[p.argmax(axis=1)], np.clip(p.max(axis=1), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import read, slices, texts, written
+from frontrank.llm.common import read, slices, small_batches, texts, written
 
 LEAD, MIN_DOCS, FIXED = 4, 10, 0.7
 WILD = "<*>"
@@ -58,7 +58,7 @@ def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row[some])), pa.array(number[some], pa.int32()), pa.array(own[codes]), pa.array(leaf[codes])], ["doc_id", "number", "line", "leaf"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "line long, leaf long, tokens array<string>" if with_tokens else "doc_id long, number int, line long, leaf long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "line long, leaf long, tokens array<string>" if with_tokens else "doc_id long, number int, line long, leaf long")
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import read, slices, texts
+from frontrank.llm.common import read, slices, small_batches, texts
 
 CAPACITY, END_ID, GROUP = 4096, 1, 32_768
 #: Text encoded together, words that the tokenizer gets at a time, and words in one of its strings.
 ENCODE_BYTES, AT_ONCE, TOGETHER = 4 << 20, 4096, 512
 #: Distinct words whose ids a worker remembers: the first it meets, so mostly frequent ones.
-REMEMBER = 200_000
+REMEMBER = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
                 out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids, pa.int32())))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECE + ", ids array<int>" * with_ids)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, _PIECE + ", ids array<int>" * with_ids)
 
 
 class Capacities:

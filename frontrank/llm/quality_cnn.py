@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import PAD, Adam, chunk_bytes, chunk_rows, chunk_starts, held_out, raw, read, sampled_chunks, slices, texts
+from frontrank.llm.common import PAD, Adam, chunk_bytes, chunk_rows, chunk_starts, held_out, raw, read, sampled_chunks, slices, small_batches, texts
 
 CHUNK, WIDTH, EMBED, FILTERS, HIDDEN = 256, 5, 4, 16, 12
 SAMPLE, CHUNKS_FIT, STEPS, BATCH = 1200, 8, 500, 128
@@ -141,7 +141,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "sc
             yield out if at_least is None else out.filter(pc.greater_equal(score, at_least))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return small_batches(docs).mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
