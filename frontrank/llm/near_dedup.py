@@ -12,7 +12,9 @@ Exact copies are folded first. The texts left are banded (ROWS components a band
 compared with one member, the hub, that changes from round to round: work is linear in the bucket. A pair passes if the
 multiset Jaccard similarity of its whole texts is at least THRESHOLD. Pairs already in one class need no check. After
 ROUNDS rounds all pairs of a bucket that are still neither joined nor compared are compared, so no link between members
-of a bucket is lost. Signatures that agree in so few components that similarity THRESHOLD is 5 standard deviations off
+of a bucket is lost. What keeps these few is an exact bound: shingles that no other open member has can't be shared, and
+a pair whose other shingles are too few for THRESHOLD can't be a link. So the many copies of one text that were edited
+too much to be near anything leave before pairs are made. Signatures that agree in so few components that similarity THRESHOLD is 5 standard deviations off
 spare the check of the texts.
 
 Null and empty texts, and those without a word, are copies of each other. Rows that share a doc_id share a class. A
@@ -30,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import SHINGLE, bag, bag_jaccard, mixed, read, slices, texts, without_ids, word_hashes, written
+from frontrank.llm.common import SHINGLE, bag, bag_jaccard, mixed, read, slices, small_batches, texts, without_ids, word_hashes, written
 
 SIZE, ROWS = 125, 5
 BANDS = SIZE // ROWS
-THRESHOLD, ROUNDS = 0.8, 3
+THRESHOLD, ROUNDS = 0.8, 2
 #: Agreeing components below which similarity THRESHOLD is 5 standard deviations off.
 LEAST = int(SIZE * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SIZE) ** 0.5))
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -111,7 +113,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 ["doc_id", "digest", "shingles", "signature", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, shingles long, signature binary, keys array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, shingles long, signature binary, keys array<long>")
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -154,6 +156,27 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def lone_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, alone): for each of these documents, how many of its shingles none of the others has.
+
+    Two of them can share no more than what is left in either, which bounds their similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=2 << 20):
+            words, offsets = word_hashes(texts(batch.column(1)))
+            bags = [bag(words[a:b], SHINGLE) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            row = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+            hashes, counts = (np.concatenate([b[i] for b in bags]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["doc_id", "shingle", "n"])
+
+    n = ids.count()
+    own = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= 1_000_000 else ids, "doc_id", "left_semi")
+    places = own.mapInArrow(run, "doc_id long, shingle long, n long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    alone = places.filter("c = 1").groupBy("doc_id").agg(F.sum("n").alias("alone"))
+    return ids.join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class): each node's smallest reachable node. edges: (a, b). Large-star and small-star rounds."""
     current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
@@ -181,6 +204,11 @@ def folded(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(classes.join(joined, "class", "left").select("node", F.coalesce("to", "class").alias("class")), "classes")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Buckets (key) whose members are of more than one class."""
+    return members.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x < y").select("key")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), copy_of (smallest doc_id of the same text) for each row."""
     rows = written(signed(docs), "signatures")
@@ -191,19 +219,27 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     shared = written(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key"), "buckets")
     classes = written(copies.select(F.col("copy_of").alias("node"), F.col("copy_of").alias("class")).distinct(), "classes")
     done: DataFrame | None = None
+    # Once pairs with the first hubs are known, shingles that no other open member has bound what a pair may share.
+    within = "least(sa, sb) >= {t} * (na + nb - least(sa, sb))".format(t=THRESHOLD - 1e-9)
     for turn in range(ROUNDS + 1):
         members = shared.join(classes.select(F.col("node").alias("doc_id"), "class"), "doc_id")
         if turn:  # only buckets in which classes still differ
-            open_ = members.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x < y").select("key")
-            members = members.join(open_, "key")
+            members = members.join(_open(members), "key")
+            if turn == 1:
+                alone = written(lone_shingles(docs, written(members.select("doc_id").distinct(), "open")), "alone")
+            able = members.join(alone, "doc_id").withColumn("s", F.col("shingles") - F.col("alone")).filter(F.col("s") >= F.col("shingles") * (THRESHOLD - 1e-9))
+            members = able.join(_open(able), "key")
+        else:
+            members = members.withColumn("s", F.col("shingles"))
         if turn < ROUNDS:
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0).cast("long"), "doc_id", "class")
-            hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.doc_id").alias("h"), F.col("hub.class").alias("hc"))
-            pairs = members.join(hubs, "key").filter("class <> hc").select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b"))
+            order = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0).cast("long"), "doc_id", "class", "s", "shingles")
+            hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.doc_id").alias("h"), F.col("hub.class").alias("hc"), F.col("hub.s").alias("sb"), F.col("hub.shingles").alias("nb"))
+            met = members.join(hubs, "key").withColumnsRenamed({"s": "sa", "shingles": "na"}).filter("class <> hc").filter(within)
+            pairs = met.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b"))
         else:
-            left = members.select("key", F.col("doc_id").alias("a"), F.col("class").alias("ca"), F.col("shingles").alias("m"))
-            right = members.select("key", F.col("doc_id").alias("b"), F.col("class").alias("cb"), F.col("shingles").alias("n"))
-            pairs = left.join(right, "key").filter("a < b AND ca <> cb").filter(F.least("m", "n") >= F.greatest("m", "n") * (THRESHOLD - 1e-9)).select("a", "b")
+            left = members.select("key", F.col("doc_id").alias("a"), F.col("class").alias("ca"), F.col("shingles").alias("na"), F.col("s").alias("sa"))
+            right = members.select("key", F.col("doc_id").alias("b"), F.col("class").alias("cb"), F.col("shingles").alias("nb"), F.col("s").alias("sb"))
+            pairs = left.join(right, "key").filter("a < b AND ca <> cb").filter(within).select("a", "b")
         pairs = pairs.distinct()
         fresh = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
         if fresh.isEmpty():
@@ -221,7 +257,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with only the smallest doc_id of each class; all columns stay."""
     drop = written(near_dedup(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "drop")
-    return without_ids(docs, drop, drop.count(), ["doc_id"])
+    return without_ids(docs, drop, drop.count(), ["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
