@@ -1,6 +1,7 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient of word bigrams, DataFrames only.
 
-A unit is a whole text, or one of its lines. Units and templates are lower-cased, everything but letters and digits
+A unit is a whole text, one of its lines, or a passage: a run of words of the whole text, line ends being blanks, so that
+a notice which wraps over lines or stands inside a longer line is compared as such. Units and templates are lower-cased, everything but letters and digits
 becomes a blank, and the distinct pairs of neighbouring words are their bigrams. Dice = 2 * shared / (a + b) can only
 reach DICE if the smaller number of bigrams is at least DICE / (2 - DICE) of the larger; a unit's number of words bounds
 its bigrams, so most units are dropped before any bigram is made, and the others meet only templates within the bound.
@@ -8,6 +9,13 @@ its bigrams, so most units are dropped before any bigram is made, and the others
 Templates are few (checked) and written into the plan; documents are not shuffled. Of several templates that reach DICE
 the best is reported, then the first by name.
 
+Passages: taking a bigram that is not the template's from either end of a passage never lowers its Dice, so only those
+from one of the template's bigrams to another are compared, up to 1 / ratio of the template's size. Such a passage can
+only reach DICE if it holds at least `ratio` of the template's bigrams, so starts with fewer of them close by are
+dropped by places alone. Of overlapping passages the best is reported, under the line that it starts in; a passage that
+overlaps a matching line or text of the same licence, or one that matches as well, is not reported again. Passages are
+also compared with the whole licence texts in TEXTS.
+
 Null and empty texts have no unit. A text of one line is reported once, as line 0. Repeated rows give repeated rows.
 An empty table gives an empty result. Extra columns are ignored.
 """
@@ -36,6 +44,12 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
+# Whole licences, for passages only.
+TEXTS = {
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+}
+
 
 def normalised(text: Column) -> Column:
     """Lower-case words with one blank between; line ends stay."""
@@ -73,32 +87,99 @@ def key_words(bigrams: list[str], ratio: float) -> set[str]:
     return words
 
 
-def license_scan(docs: DataFrame, templates: dict[str, list[str]], dice: float = DICE) -> DataFrame:
-    """doc_id, line (0: the whole text), license, dice for each unit that matches a template."""
-    known = [(name, plain_bigrams(t)) for name, texts in sorted(templates.items()) for t in texts]
-    if len(known) > MOST:
+def against(b: Column, order: int, name: str, own: list[str], ratio: float) -> Column:
+    """(dice, order, license) of distinct bigrams and one template; null beyond the size bound."""
+    size = F.size(b)
+    near = (size >= ratio * len(own) - 1e-9) & (size <= len(own) / ratio + 1e-9)
+    value = 2.0 * F.size(F.array_intersect(b, F.array(*map(F.lit, own)))) / (size + len(own))
+    return F.when(near, F.struct(value.alias("dice"), F.lit(-order).alias("order"), F.lit(name).alias("license")))
+
+
+def passages(text: DataFrame, known: list[tuple[str, list[str]]], units: list[tuple[str, list[str]]], dice: float) -> DataFrame:
+    """doc_id, line, license, dice of the passages of t that match one of `known` and that no unit reports already."""
+    ratio = dice / (2 - dice)
+    bound = lambda x, body: F.get(F.transform(F.array(x), body), 0)  # noqa: E731  (evaluates x once)
+    split = text.select("doc_id", "t", F.explode(F.array(words_of(F.col("t")))).alias("w"))
+    every = sorted({b for _, own in known for b in own})
+    joined = F.transform("w", lambda w, i: F.struct(i.alias("at"), F.concat_ws(" ", w, F.get("w", i + 1)).alias("b")))
+    hits = split.select("doc_id", "t", "w", F.explode(F.array(F.filter(joined, lambda x: x["b"].isin(every)))).alias("h"))
+    fewest = min(-int(-(ratio * len(own) - 1e-9) // 1) for _, own in known)
+    hits = hits.filter(F.size("h") >= max(1, fewest))
+
+    none = F.array().cast("array<struct<dice:double,order:int,back:int,end:int,license:string>>")
+    apart = lambda x, y: (-x["back"] > y["end"]) | (-y["back"] > x["end"])
+
+    def best_apart(all_of: Column) -> Column:
+        """The best ones that don't overlap a better one."""
+        return F.aggregate(F.reverse(F.array_sort(all_of)), none, lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc))
+
+    def found(order: int, name: str, own: list[str]) -> Column:
+        """The best passages of one template: (dice, order, start, end, license)."""
+        least, most, mine = max(1, -int(-(ratio * len(own) - 1e-9) // 1)), int(len(own) / ratio + 1e-9), F.array(*map(F.lit, own))
+
+        def from_start(h: Column, j: Column) -> Column:
+            start = F.get(h, j)["at"]
+            ends = F.filter(F.slice(h, j + least, F.lit(most)), lambda e: e["at"] - start < most)
+
+            def to_end(e: Column) -> Column:
+                words = F.slice(F.col("w"), start + 1, e["at"] - start + 2)
+                return bound(words, lambda ws: bound(bigrams_of(ws), lambda b: F.struct((2.0 * F.size(F.array_intersect(b, mine)) / (F.size(b) + len(own))).alias("dice"), F.lit(-order).alias("order"), (-start).alias("back"), (e["at"] + 1).alias("end"), F.lit(name).alias("license"))))
+
+            return F.array_max(F.transform(ends, to_end))
+
+        def starts(h: Column) -> Column:
+            last = F.size(h) - least
+            near = F.filter(F.sequence(F.lit(0), last), lambda j: F.get(h, j + least - 1)["at"] - F.get(h, j)["at"] < most)
+            return F.when(last >= 0, F.filter(F.transform(near, lambda j: from_start(h, j)), lambda x: x["dice"] >= dice))
+
+        return F.coalesce(bound(bound(F.filter("h", lambda x: x["b"].isin(own)), starts), best_apart), none)
+
+    some = hits.select("doc_id", "t", F.explode(F.array(F.concat(*(found(i, name, own) for i, (name, own) in enumerate(known))))).alias("x")).filter(F.size("x") > 0)
+    lines = some.select("doc_id", "t", F.split("t", "\n").alias("ls"), F.explode(best_apart(F.col("x"))).alias("x"))
+    sizes = F.transform("ls", lambda line: F.when(F.trim(line) == "", 0).otherwise(F.size(words_of(line))))
+    sized = lines.select("doc_id", "t", "ls", "x", F.explode(F.array(sizes)).alias("n"))
+
+    def line_of(place: Column) -> Column:
+        """Lines that end at or before this word."""
+        zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("line"))
+        return F.aggregate("n", zero, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), (acc["line"] + F.when(acc["sum"] + n <= place, 1).otherwise(0)).alias("line")))["line"]
+
+    placed = sized.select("doc_id", "t", "ls", "x", line_of(-F.col("x.back")).alias("a"), line_of(F.col("x.end")).alias("z"))
+    over = placed.select("doc_id", "x", "a", F.size("ls").alias("n"), F.concat(F.array("t"), F.slice("ls", F.col("a") + 1, F.col("z") - F.col("a") + 1)).alias("us"))
+
+    def told(unit: Column) -> Column:
+        best = lambda b: F.array_max(F.array(*(against(b, i, name, own, ratio) for i, (name, own) in enumerate(units))))
+        return bound(words_of(unit), lambda w: bound(bigrams_of(w), lambda b: bound(best(b), lambda m: F.coalesce((m["dice"] >= dice) & ((m["license"] == F.col("x.license")) | (m["dice"] >= F.col("x.dice"))), F.lit(False)))))
+
+    new = over.filter(~F.exists("us", told))
+    return new.select("doc_id", F.when(F.col("n") > 1, F.col("a") + 1).otherwise(0).alias("line"), F.col("x.license").alias("license"), F.col("x.dice").alias("dice"))
+
+
+def license_scan(docs: DataFrame, templates: dict[str, list[str]], dice: float = DICE, texts: dict[str, list[str]] = TEXTS) -> DataFrame:
+    """doc_id, line (0: the whole text), license, dice for each unit that matches a template.
+
+    A passage has the line that it starts in, or 0 in a text of one line. texts: whole licences, for passages only.
+    """
+    known = [(name, plain_bigrams(t)) for name, own in sorted(templates.items()) for t in own]
+    whole_texts = [(name, plain_bigrams(t)) for name, own in sorted(texts.items()) for t in own]
+    if len(known) + len(whole_texts) > MOST:
         raise ValueError(f"more than {MOST} templates")
     ratio = dice / (2 - dice)
     least, most = min(len(b) for _, b in known) * ratio, max(len(b) for _, b in known) / ratio
     keys = sorted(set().union(*(key_words(b, ratio) for _, b in known)))
     pattern = rf"\b(?:{'|'.join(keys)})\b"
-    text = docs.select("doc_id", F.explode(F.array(normalised(F.coalesce("text", F.lit(""))))).alias("t")).filter(F.col("t").rlike(pattern))
+    any_key = sorted(set(keys).union(*(key_words(b, ratio) for _, b in whole_texts)))
+    text = docs.select("doc_id", F.explode(F.array(normalised(F.coalesce("text", F.lit(""))))).alias("t")).filter(F.col("t").rlike(rf"\b(?:{'|'.join(any_key)})\b"))
     whole = F.array(F.struct(F.lit(0).alias("line"), F.col("t").alias("unit")))
     lines = F.transform(F.split("t", "\n"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("unit")))
     units = F.when(F.contains("t", F.lit("\n")), F.concat(whole, lines)).otherwise(whole)
     cut = text.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.line", "u.unit").filter(F.col("unit").rlike(pattern))
     words = cut.select("doc_id", "line", F.explode(F.array(words_of(F.col("unit")))).alias("w"))
     pairs = words.select("doc_id", "line", F.explode(F.array(bigrams_of(F.col("w")))).alias("b")).filter((F.size("b") >= least) & (F.size("b") <= most))
-
-    def against(order: int, name: str, own: list[str]) -> Column:
-        size = F.size("b")
-        near = (size >= ratio * len(own) - 1e-9) & (size <= len(own) / ratio + 1e-9)
-        value = 2.0 * F.size(F.array_intersect("b", F.array(*map(F.lit, own)))) / (size + len(own))
-        return F.when(near, F.struct(value.alias("dice"), F.lit(-order).alias("order"), F.lit(name).alias("license")))
-
-    best = F.array_max(F.array(*(against(i, name, own) for i, (name, own) in enumerate(known))))
+    best = F.array_max(F.array(*(against(F.col("b"), i, name, own, ratio) for i, (name, own) in enumerate(known))))
     out = pairs.select("doc_id", "line", F.explode(F.array(best)).alias("x"))
-    return out.select("doc_id", "line", F.col("x.license").alias("license"), F.col("x.dice").alias("dice")).filter(F.col("dice") >= dice)
+    out = out.select("doc_id", "line", F.col("x.license").alias("license"), F.col("x.dice").alias("dice")).filter(F.col("dice") >= dice)
+    return out.unionByName(passages(text, known + whole_texts, known, dice))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

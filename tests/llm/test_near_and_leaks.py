@@ -1,6 +1,7 @@
 """Near-dedup, decontamination, line dedup and licence scan against brute force."""
 
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -145,6 +146,17 @@ def test_licences(spark, odd_docs, no_docs):
     assert license_scan.license_scan(no_docs, license_scan.TEMPLATES).count() == 0
 
 
+def test_licences_that_wrap_or_stand_inside_a_line(spark):
+    code = "\n".join(f"def part{i}(a, b): return a * {i} + b" for i in range(40))
+    mit, bsd, gpl = license_scan.TEMPLATES["MIT"][1], license_scan.TEMPLATES["BSD-3-Clause"][1], license_scan.TEMPLATES["GPL-3.0"][1]
+    wrapped = lambda text: "\n".join(f"# {line}" for line in textwrap.wrap(text, 74))
+    inside = "The parser in this folder was written last year by the core team. This work is licensed under the GNU General Public License, version 3. Ask them before you change any of it, please."
+    rows = [(i, f"first line\n{wrapped(t)}\n{code}") for i, t in enumerate([mit, bsd, gpl, license_scan.TEXTS["MIT"][0], license_scan.TEXTS["BSD-3-Clause"][0]])]
+    rows += [(5, inside), (6, f"{code}\n{inside}"), (7, code), (8, f"{code}\nReleased under\nthe MIT License.\n{wrapped(gpl)}\nReleased under the MIT License."), (9, " ".join(inside.split()[:14]))]
+    got = sorted((r["doc_id"], r["line"], r["license"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.TEMPLATES).collect())
+    assert got == [(0, 2, "MIT"), (1, 2, "BSD-3-Clause"), (2, 2, "GPL-3.0"), (3, 2, "MIT"), (4, 2, "BSD-3-Clause"), (5, 0, "GPL-3.0"), (6, 41, "GPL-3.0"), (8, 41, "MIT"), (8, 43, "GPL-3.0"), (8, 43 + len(wrapped(gpl).split("\n")), "MIT")]
+
+
 def test_key_words_are_in_every_match():
     ratio = license_scan.DICE / (2 - license_scan.DICE)
     rng = random.Random(4)
