@@ -4,7 +4,9 @@ The tree has a fixed depth: a line goes by its number of tokens, then by its fir
 look like variable fields (they hold a digit) are a wildcard from the start. In a leaf, a token stays in the template if
 lines of at least MIN_DOCS documents have it at its place, else its place becomes a wildcard. A template whose fixed
 tokens are at least FIXED of all and whose lines stand in at least MIN_DOCS documents recurs, and its lines are dropped
-wherever they stand.
+wherever they stand. FIXED guards templates made of different lines only: a line whose own masked form stands in MIN_DOCS
+documents recurs whatever its share of wildcards ("Page 3 of 10"). A line of wildcards only is not masked: it recurs if
+the very same line does.
 
 Work shrinks at each step: lines are hashed where they are read (hash, leaf and place are all that is shuffled), counted
 once for each document, and only leaves that at least MIN_DOCS line-and-document pairs reach are looked at by token,
@@ -46,10 +48,14 @@ def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
             distinct = pc.dictionary_encode(lines.take(pa.array(some)))
             if isinstance(distinct, pa.ChunkedArray):
                 distinct = distinct.combine_chunks()
+            plain = distinct.dictionary.to_pylist()
             masked = pc.replace_substring_regex(distinct.dictionary, r"\S*[0-9]\S*", WILD).to_pylist()
             own, leaf = np.empty(len(masked), np.int64), np.empty(len(masked), np.int64)
             for i, line in enumerate(masked):
                 lead = line.split(" ", LEAD)
+                if all(t == WILD for t in line.split(" ")):
+                    own[i] = leaf[i] = xxhash.xxh3_64_intdigest(plain[i]) - 2**63
+                    continue
                 own[i] = xxhash.xxh3_64_intdigest(line) - 2**63
                 leaf[i] = xxhash.xxh3_64_intdigest(f"{line.count(' ')} " + " ".join(lead[:LEAD])) - 2**63
             codes = np.asarray(distinct.indices)
@@ -65,6 +71,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     """Hashes of lines (column line) whose template recurs. lines: the table of parsed(docs)."""
     once = lines.select("line", "leaf", "doc_id").distinct()
     counted = written(once.groupBy("line", "leaf").agg(F.count("*").alias("docs")), "lines")
+    alone = counted.filter(F.col("docs") >= min_docs).select("line")
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("reach")).filter(F.col("reach") >= min_docs).select("leaf")
     hot = written(counted.join(leaves, "leaf"), "hot")
     n_hot = hot.count()
@@ -77,7 +84,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     shapes = distinct.join(fixed, "line").filter(F.size("fixed") >= F.size("tokens") * FIXED).select("line", F.xxhash64("leaf", F.size("tokens"), "fixed").alias("template"))
     shapes = written(shapes, "shapes")
     enough = once.join(F.broadcast(shapes) if n_hot <= 1_000_000 else shapes, "line").select("template", "doc_id").distinct().groupBy("template").count().filter(F.col("count") >= min_docs)
-    return shapes.join(enough, "template").select("line").distinct()
+    return shapes.join(enough, "template").select("line").union(alone).distinct()
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -133,6 +133,14 @@ def test_templates_with_variable_fields(spark):
     assert got == {i: f"own line {chr(97 + i) * 3} {chr(98 + i) * 4} x\n" for i in range(12)}
 
 
+def test_lines_of_mostly_digits_recur(spark):
+    same = ["Page 3 of 10", "Copyright 2020 Example", "Updated 2021-03-04 10:15 by admin", "Tel: +49 30 1234567", "2024"]
+    rows = [(i, "\n".join([*same, f"Part {i}", f"{i}00", f"own {chr(97 + i) * 3} words here"])) for i in range(12)]
+    docs = spark.createDataFrame([*rows, (12, "Page 4\nTel: 12\n77\n78")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_templates(docs).collect()}
+    assert got == {i: f"{i}00\nown {chr(97 + i) * 3} words here" for i in range(12)} | {12: "Page 4\nTel: 12\n77\n78"}
+
+
 def test_line_dedup_odd_rows(odd_docs, no_docs):
     out = line_dedup.without_templates(odd_docs, min_docs=2)
     assert out.count() == 9 and line_dedup.without_templates(no_docs).count() == 0
