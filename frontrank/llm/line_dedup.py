@@ -8,6 +8,10 @@ wherever they stand. FIXED guards templates made of different lines only: a line
 documents recurs whatever its share of wildcards ("Page 3 of 10"). A line of wildcards only is not masked: it recurs if
 the very same line does.
 
+Long lines, of LONG words or more, can't meet by chance: they recur from LONG_DOCS different texts on, by their masked form
+if FIXED of its tokens are fixed, else word by word. Different texts, as copies of one text are the work of exact dedup; and
+three of them, as two near copies would lose what they share in both.
+
 Work shrinks at each step: lines are hashed where they are read (hash, leaf and place are all that is shuffled), counted
 once for each document, and only leaves that at least MIN_DOCS line-and-document pairs reach are looked at by token,
 each distinct line once with its number of documents; so a line that all documents share is one row there.
@@ -30,11 +34,12 @@ from pyspark.sql import functions as F
 from frontrank.llm.common import read, slices, small_batches, texts, written
 
 LEAD, MIN_DOCS, FIXED = 4, 10, 0.7
+LONG, LONG_DOCS = 20, 3
 WILD = "<*>"
 
 
 def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """doc_id, number, hash and leaf of each line; with_tokens: its tokens with variable fields masked, and no place."""
+    """doc_id, number, hash, leaf, and of long lines a hash to compare and their text's; with_tokens: its tokens with variable fields masked, and no place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -50,8 +55,12 @@ def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
                 distinct = distinct.combine_chunks()
             plain = distinct.dictionary.to_pylist()
             masked = pc.replace_substring_regex(distinct.dictionary, r"\S*[0-9]\S*", WILD).to_pylist()
-            own, leaf = np.empty(len(masked), np.int64), np.empty(len(masked), np.int64)
+            own, leaf, far, long = np.empty(len(masked), np.int64), np.empty(len(masked), np.int64), np.zeros(len(masked), np.int64), np.zeros(len(masked), bool)
             for i, line in enumerate(masked):
+                if line.count(" ") + 1 >= LONG:
+                    tokens = line.split(" ")
+                    long[i] = True
+                    far[i] = xxhash.xxh3_64_intdigest(line if tokens.count(WILD) <= len(tokens) * (1 - FIXED) else plain[i]) - 2**63
                 lead = line.split(" ", LEAD)
                 if all(t == WILD for t in line.split(" ")):
                     own[i] = leaf[i] = xxhash.xxh3_64_intdigest(plain[i]) - 2**63
@@ -59,12 +68,14 @@ def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
                 own[i] = xxhash.xxh3_64_intdigest(line) - 2**63
                 leaf[i] = xxhash.xxh3_64_intdigest(f"{line.count(' ')} " + " ".join(lead[:LEAD])) - 2**63
             codes = np.asarray(distinct.indices)
+            short = ~long[codes]
             if with_tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(leaf), pa.array([m.split(" ") for m in masked], pa.list_(pa.string()))], ["line", "leaf", "tokens"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row[some])), pa.array(number[some], pa.int32()), pa.array(own[codes]), pa.array(leaf[codes])], ["doc_id", "number", "line", "leaf"])
+                whole = np.fromiter((xxhash.xxh3_64_intdigest(t.as_py()) - 2**63 for t in texts(batch.column(1))), np.int64, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row[some])), pa.array(number[some], pa.int32()), pa.array(own[codes]), pa.array(leaf[codes]), pa.array(far[codes], mask=short), pa.array(whole[row[some]], mask=short)], ["doc_id", "number", "line", "leaf", "far", "whole"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "line long, leaf long, tokens array<string>" if with_tokens else "doc_id long, number int, line long, leaf long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "line long, leaf long, tokens array<string>" if with_tokens else "doc_id long, number int, line long, leaf long, far long, whole long")
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -87,11 +98,19 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     return shapes.join(enough, "template").select("line").union(alone).distinct()
 
 
+def long_recurring(lines: DataFrame, least: int = LONG_DOCS) -> DataFrame:
+    """Hashes (column far) of long lines that stand in at least this many different texts."""
+    once = lines.filter(F.col("far").isNotNull()).select("far", "whole").distinct()
+    return once.groupBy("far").count().filter(F.col("count") >= least).select("far")
+
+
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and the numbers (from 0) of its lines that are dropped, for documents that have some."""
     lines = written(parsed(docs), "parsed")
     bad = written(recurring(docs, lines, min_docs), "recurring")
-    found = lines.join(F.broadcast(bad) if bad.count() <= 1_000_000 else bad, "line")
+    far = written(long_recurring(lines, min(min_docs, LONG_DOCS)), "long")
+    found = lines.join(F.broadcast(bad) if bad.count() <= 1_000_000 else bad, "line").select("doc_id", "number")
+    found = found.union(lines.join(F.broadcast(far) if far.count() <= 1_000_000 else far, "far").select("doc_id", "number"))
     return written(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped")
 
 

@@ -141,6 +141,19 @@ def test_lines_of_mostly_digits_recur(spark):
     assert got == {i: f"{i}00\nown {chr(97 + i) * 3} words here" for i in range(12)} | {12: "Page 4\nTel: 12\n77\n78"}
 
 
+def test_long_passages_in_three_documents(spark):
+    rng = random.Random(5)
+    passage, pair, copied = (" ".join(f"w{c}".translate(str.maketrans("0123456789", "abcdefghij")) for c in rng.sample(range(1000), 60)) for _ in range(3))
+    numbers = " ".join(["total", *(str(rng.randrange(1000)) for _ in range(30))])
+    other = " ".join(["total", *(str(rng.randrange(1000)) for _ in range(30))])
+    rows = [(i, f"own {chr(97 + i) * 4}\n{passage}\n{numbers}\nshort line") for i in range(3)]
+    rows += [(i, f"own {chr(97 + i) * 4}\n{pair}\n{other if i == 3 else 'x'}") for i in (3, 4)]
+    rows += [(i, f"one text\n{copied}") for i in (5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_templates(docs).collect()}
+    assert got == {i: f"own {chr(97 + i) * 4}\nshort line" for i in range(3)} | {i: t for i, t in rows if i > 2}
+
+
 def test_line_dedup_odd_rows(odd_docs, no_docs):
     out = line_dedup.without_templates(odd_docs, min_docs=2)
     assert out.count() == 9 and line_dedup.without_templates(no_docs).count() == 0
