@@ -72,7 +72,9 @@ def with_shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def build_labels(df: DataFrame, mode: str, quantiles: int = 10, seed: int = 42) -> DataFrame:
-    """df with the column `label` for one of MODES."""
+    """df with the column `label` for one of MODES; quantiles5 is quantiles with 5 bins."""
+    if mode.startswith("quantiles") and mode[9:].isdigit():
+        return with_quantiles(df, int(mode[9:]))
     if mode == "quantiles":
         return with_quantiles(df, quantiles)
     if mode == "shuffled":

@@ -18,6 +18,7 @@ from frontrank.plans.registry import query, r6
 from frontrank.sources.tables import fresh_path, materialized
 
 ORDER = ["price", "discount", "tax", "quantity"]
+SCREENED = (*L.MODES, "quantiles5", "quantiles15")
 
 
 def rows(spark, d):
@@ -31,7 +32,7 @@ def _fitted(spark, d, kind, params=None):
 
 @query("l1_listwise")
 def l1(spark, d):
-    return _fitted(spark, d, "listwise", {"rounds": 3})
+    return _fitted(spark, d, "listwise")
 
 
 @query("l2_pairwise")
@@ -41,7 +42,7 @@ def l2(spark, d):
 
 @query("l3_pointwise")
 def l3(spark, d):
-    return _fitted(spark, d, "pointwise", {"rounds": 5})
+    return _fitted(spark, d, "pointwise")
 
 
 @query("l5_cross_validated")
@@ -52,7 +53,7 @@ def l5(spark, d):
 @query("l6_stored_ranker")
 def l6(spark, d):
     df, path = rows(spark, d), fresh_path(spark, "ranker")
-    R.fit(L.build_labels(df, "continuous"), "pointwise", ORDER, {"rounds": 2}).save(path)
+    R.fit(L.build_labels(df, "continuous"), "pointwise", ORDER).save(path)
     return R.rank_fronts(df, R.load(spark, path)).select("front_id", "item_id", "rank_in_front")
 
 
@@ -62,15 +63,26 @@ def l7(spark, d):
     return R.rank_fronts(df, R.fit(L.build_labels(df, "rank_dense"), "pairwise", ORDER)).select("front_id", "item_id", "rank_in_front")
 
 
+def screened(df):
+    return materialized(R.screening(df, ORDER, modes=SCREENED), "screened")
+
+
 @query("l8_screening")
 def l8(spark, d):
-    return S.leaderboard(S.summary(R.screening(rows(spark, d), ORDER, kinds=("pairwise",), modes=("continuous", "reversed"), k=2)))
+    return S.leaderboard(S.summary(screened(rows(spark, d))))
+
+
+def shortlist(runs):
+    """The best (kind, label mode) of each family."""
+    family = F.split_part(F.col("method"), F.lit("__"), F.lit(1))
+    best = S.selected(S.summary(runs), S.rank_stats(runs.filter("metric = 'Regret@5'")), over=[family])
+    return sorted(tuple(r["method"].split("__")) for r in best.select("method").collect())
 
 
 @query("l9_tuning")
 def l9(spark, d):
-    found = R.tuning(rows(spark, d), ORDER, [("pairwise", "continuous")], {"pairwise": [{"reg": 0.0}, {"reg": 0.1}]}, k=2)
-    return G.tuning_table(S.summary(found), [])
+    df = rows(spark, d)
+    return G.tuning_table(S.summary(R.tuning(df, ORDER, shortlist(screened(df)))), [])
 
 
 @query("l10_held_out")
