@@ -11,11 +11,17 @@ empty component go on with twice the time, so that signatures stay exact.
 Exact copies are folded first. The texts left are banded (ROWS components a band), and in each bucket members are
 compared with one member, the hub, that changes from round to round: work is linear in the bucket. A pair passes if the
 multiset Jaccard similarity of its whole texts is at least THRESHOLD. Pairs already in one class need no check. After
-ROUNDS rounds all pairs of a bucket that are still neither joined nor compared are compared, so no link between members
-of a bucket is lost. What keeps these few is an exact bound: shingles that no other open member has can't be shared, and
-a pair whose other shingles are too few for THRESHOLD can't be a link. So the many copies of one text that were edited
-too much to be near anything leave before pairs are made. Signatures that agree in so few components that similarity THRESHOLD is 5 standard deviations off
-spare the check of the texts.
+the first round, shingles that no other open member has bound what a member can share; the second hub is the member
+with the fewest of them, which is close to what the copies were made from.
+
+Members that still differ in class are then joined exactly, without making all pairs of a bucket. Each is written as its
+signed difference from its hub h: shingles added and shingles missing, each as often as it is (d of them). Similarity
+THRESHOLD of x and y means that d(x) + d(y) less twice what their differences share is at most C * (n(x) + n(y)), with
+C = (1 - THRESHOLD) / (1 + THRESHOLD). If x is no link of h, d(x) > C * (n(x) + n(h)), so the two must share more than
+(d(y) + C * (n(h) - n(y))) / 2 of y's difference: edits, not the common body. Differences that one member alone has are
+left out, the others ordered with the rarest first, and only pairs that share one among the first few (all but what must
+be shared, and one) with enough behind it are checked. No link between members of a bucket is lost. Signatures that
+agree in so few components that similarity THRESHOLD is 5 standard deviations off spare the check of the texts.
 
 Null and empty texts, and those without a word, are copies of each other. Rows that share a doc_id share a class. A
 null doc_id has no class (null). An empty table gives an empty result. Extra columns are passed through by
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frontrank.llm.common import SHINGLE, bag, bag_jaccard, mixed, read, slices, small_batches, texts, without_ids, word_hashes, written
@@ -37,6 +43,10 @@ from frontrank.llm.common import SHINGLE, bag, bag_jaccard, mixed, read, slices,
 SIZE, ROWS = 125, 5
 BANDS = SIZE // ROWS
 THRESHOLD, ROUNDS = 0.8, 2
+#: Two bags of n and m shingles reach THRESHOLD if they differ in at most C * (n + m).
+C = (1 - THRESHOLD) / (1 + THRESHOLD)
+#: Texts that one copy of a hub's text is joined to.
+PART = 1000
 #: Agreeing components below which similarity THRESHOLD is 5 standard deviations off.
 LEAST = int(SIZE * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SIZE) ** 0.5))
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -133,31 +143,104 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, ta, tb: pairs with their texts. A text a of many pairs is copied for each PART of them, so that no task gets them all."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    n = ids.count()
+    own = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= 1_000_000 else ids, "doc_id", "left_semi")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts")
+    heads = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(parts, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(heads, ["a", "part"]).select("a", "b", "ta", "tb")
+
+
+def _by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches of with_texts, and for each of their rows the bags of ta and tb. Rows come by ta, whose bag is made once."""
+    hub: tuple | None = None
+    for batch in slices(slices(batches, "ta"), "tb"):
+        words, offsets = word_hashes(texts(batch.column(3)))
+        bags, heads = [], batch.column(2)
+        for i, a in enumerate(batch.column(0).to_pylist()):
+            head = heads[i].as_py() or ""
+            if hub is None or hub[0] != a or hub[1] != head:
+                hub = (a, head, bag(word_hashes(pa.array([head]))[0]))
+            bags.append((hub[2], bag(words[offsets[i] : offsets[i + 1]])))
+        yield batch, bags
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts' multiset Jaccard similarity is at least THRESHOLD, with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub: tuple | None = None
-        for batch in slices(slices(batches, "ta"), "tb"):
-            words, offsets = word_hashes(texts(batch.column(3)))
-            similar, heads = [], batch.column(2)
-            for i, a in enumerate(batch.column(0).to_pylist()):
-                head = heads[i].as_py() or ""
-                if hub is None or hub[0] != a or hub[1] != head:  # rows come by hub
-                    hub = (a, head, bag(word_hashes(pa.array([head]))[0]))
-                similar.append(bag_jaccard(hub[2], bag(words[offsets[i] : offsets[i + 1]])))
-            found = pa.array(similar, pa.float64())
+        for batch, bags in _by_head(batches):
+            found = pa.array([bag_jaccard(x, y) for x, y in bags], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["a", "b", "similarity"]).filter(pc.greater_equal(found, THRESHOLD - 1e-9))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    n = ids.count()
-    own = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= 1_000_000 else ids, "doc_id", "left_semi")
-    joined = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return with_texts(pairs, docs).mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def difference(hub: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash for each shingle that own has more often than hub or less often, for each time that it does."""
+    _, i, j = np.intersect1d(hub[0], own[0], assume_unique=True, return_indices=True)
+    less, more = hub[1].astype(np.int64), own[1].astype(np.int64)
+    shared = np.minimum(less[i], more[j])
+    less[i] -= shared
+    more[j] -= shared
+    out = []
+    for sign, (hashes, left) in enumerate(((hub[0], less), (own[0], more))):
+        which = np.repeat(np.arange(len(left)), left)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(left) - left, left)
+        out.append(mixed(hashes[which] + _B * (2 * nth + sign + 1).astype(np.uint64)))
+    return np.concatenate(out)
+
+
+def differences(met: DataFrame, docs: DataFrame) -> DataFrame:
+    """For pairs (h, x) of a hub and a member: h, ht, x, xt, n and m (shingles of x and of h), d and its elements.
+
+    ht and xt are hashes of the texts: a doc_id may stand for several.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch, bags in _by_head(batches):
+            found = [difference(x, y) for x, y in bags]
+            sizes = np.array([len(f) for f in found])
+            hashes = [pa.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in batch.column(i).to_pylist()], pa.int64()) for i in (2, 3)]
+            counts = [pa.array([int(b[i][1].sum()) for b in bags], pa.int64()) for i in (1, 0)]
+            elements = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes[0], batch.column(1), hashes[1], *counts, pa.array(sizes, pa.int64()), elements], ["h", "ht", "x", "xt", "n", "m", "d", "elements"])
+
+    pairs = met.select(F.col("h").alias("a"), F.col("x").alias("b"))
+    return with_texts(pairs, docs).mapInArrow(run, "h long, ht long, x long, xt long, n long, m long, d long, elements array<long>").dropDuplicates(["h", "ht", "x", "xt"])
+
+
+def candidates(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different class, among them all of similarity THRESHOLD that have a hub in common. members: (h, x, class)."""
+    found = written(differences(members.select("h", "x"), docs), "differences")
+    of = ["h", "ht", "x", "xt"]
+    flat = found.select(*of, "n", "m", "d", F.explode("elements").alias("e"))
+    often = flat.groupBy("h", "ht", "e").agg(F.count("*").alias("often")).filter("often > 1")
+    known = flat.join(often, ["h", "ht", "e"])
+    own = Window.partitionBy(*of)
+    placed = known.withColumn("u", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("often", "e")))
+    far = F.col("d") > C * (F.col("n") + F.col("m")) + 1e-9  # no link of the hub
+    must = F.floor((F.col("d") + C * (F.col("m") - F.col("n"))) / 2 + 1e-9)  # to be shared with one that is no link: more than this
+    some = F.greatest(F.lit(1), F.ceil((F.col("d") - C * (F.col("n") + F.col("m"))) / 2 - 1e-9))  # with a link of the hub: at least this
+    ends = placed.select(*of, "n", "d", "e", "u", "at", far.alias("far"), (F.col("u") - must).alias("p"), (F.col("u") - some + 1).alias("q")).join(members.select("h", "x", "class"), ["h", "x"])
+    ends = written(ends.filter("at <= p OR far AND at <= q"), "prefixes")
+
+    def side(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select("h", "ht", "e", *[F.col(c).alias(f"{c}{name}") for c in ("x", "n", "d", "u", "at", "class")])
+
+    enough = f"classa <> classb AND least(ua - ata, ub - atb) + 1 >= (da + db - {C!r} * (na + nb)) / 2 - 1e-9"
+    both_far = side("a", ends.filter("far AND at <= p")).join(side("b", ends.filter("far AND at <= p")), ["h", "ht", "e"]).filter(f"xa < xb AND {enough}")
+    one_far = side("a", ends.filter("far AND at <= q")).join(side("b", ends.filter("NOT far AND at <= p")), ["h", "ht", "e"]).filter(enough)
+    return both_far.union(one_far).select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")).distinct()
 
 
 def lone_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, alone): for each of these documents, how many of its shingles none of the others has.
+    """(doc_id, alone): for each of these documents, how many of its shingles none of the others has; 0 for repeated ids.
 
     Two of them can share no more than what is left in either, which bounds their similarity.
     """
@@ -172,9 +255,10 @@ def lone_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     n = ids.count()
     own = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= 1_000_000 else ids, "doc_id", "left_semi")
+    repeated = own.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")  # maybe of different texts: no bound
     places = own.mapInArrow(run, "doc_id long, shingle long, n long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     alone = places.filter("c = 1").groupBy("doc_id").agg(F.sum("n").alias("alone"))
-    return ids.join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"))
+    return ids.join(alone.join(repeated, "doc_id", "left_anti"), "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,18 +316,17 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         else:
             members = members.withColumn("s", F.col("shingles"))
         if turn < ROUNDS:
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0).cast("long"), "doc_id", "class", "s", "shingles")
+            order = F.struct((1 - F.col("s") / F.col("shingles")).alias("alone"), "doc_id", "class", "s", "shingles")
             hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.doc_id").alias("h"), F.col("hub.class").alias("hc"), F.col("hub.s").alias("sb"), F.col("hub.shingles").alias("nb"))
+            hubs = written(hubs, "hubs")
             met = members.join(hubs, "key").withColumnsRenamed({"s": "sa", "shingles": "na"}).filter("class <> hc").filter(within)
-            pairs = met.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b"))
+            pairs = met.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct()
         else:
-            left = members.select("key", F.col("doc_id").alias("a"), F.col("class").alias("ca"), F.col("shingles").alias("na"), F.col("s").alias("sa"))
-            right = members.select("key", F.col("doc_id").alias("b"), F.col("class").alias("cb"), F.col("shingles").alias("nb"), F.col("s").alias("sb"))
-            pairs = left.join(right, "key").filter("a < b AND ca <> cb").filter(within).select("a", "b")
-        pairs = pairs.distinct()
+            grouped = members.join(hubs.select("key", "h"), "key").filter("doc_id <> h").select("h", F.col("doc_id").alias("x"), "class").distinct()
+            pairs = candidates(written(grouped, "members"), docs)
         fresh = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
         if fresh.isEmpty():
-            break
+            continue
         done = done.union(fresh) if done is not None else fresh
         close = written(alike(fresh, reps), "close")
         links = written(verified(close, docs), "links")

@@ -68,6 +68,71 @@ def test_classes_are_the_components(spark):
     assert got == {i: root(i) for i, _ in rows}
 
 
+def edited(rng, w, edits):
+    """w with so many words replaced, left out or put in."""
+    own = list(w)
+    for _ in range(edits):
+        i, kind = rng.randrange(len(own)), rng.random()
+        own[i : i + (kind < 0.9)] = [] if kind < 0.2 else [rng.choice(["alpha", "beta", f"x{rng.random()}"])]
+    return own
+
+
+def brute_classes(rows):
+    """The smallest linked id of each id, over all pairs."""
+    bags = [shingles(t) for _, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, (i, _) in enumerate(rows):
+        for y, (j, _) in enumerate(rows[:x]):
+            small, large = sorted((sum(bags[x].values()), sum(bags[y].values())))
+            if small >= 0.8 * large and root(i) != root(j) and jaccard(bags[x], bags[y]) >= near_dedup.THRESHOLD:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i in parent}
+
+
+def test_many_copies_just_below_the_threshold(spark):
+    """Copies edited to about 0.8 of the original, some of them copied in turn: no link is lost, and few pairs are made."""
+    rng = random.Random(8)
+    base = words(rng, 150)
+    own = [edited(rng, base, rng.choice([1, 3, 4, 5, 6, 7, 8])) for _ in range(420)]
+    own += [edited(rng, rng.choice(own[100:]), rng.choice([1, 2, 3, 4])) for _ in range(80)]
+    rng.shuffle(own)
+    rows = [(i, " ".join(w)) for i, w in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs).collect()}
+    assert got == expected and 20 < len(set(expected.values())) < 400
+
+
+def test_candidates_hold_all_links(spark):
+    """Every linked pair of members that have a hub in common is a candidate, unless both are links of the hub."""
+    rng = random.Random(11)
+    base = words(rng, 60) * 2
+    own = [base] + [edited(rng, base, rng.choice([1, 2, 3, 4, 6])) for _ in range(60)]
+    own += [edited(rng, rng.choice(own[20:]), rng.choice([0, 1, 1, 2])) for _ in range(90)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(own)]
+    bags = [shingles(t) for _, t in rows]
+    members = spark.createDataFrame([(0, i, i) for i in range(1, len(rows))], "h long, x long, class long")
+    got = {(r["a"], r["b"]) for r in near_dedup.candidates(members, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {(i, j) for j in range(1, len(rows)) for i in range(1, j) if jaccard(bags[i], bags[j]) >= 0.8 and min(jaccard(bags[0], bags[i]), jaccard(bags[0], bags[j])) < 0.8}
+    assert linked <= got and len(linked) > 100 and len(got) < len(rows) ** 2 / 4
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """A doc_id that stands for a short and a long text: both keep their links."""
+    rng = random.Random(3)
+    short, long, third = words(rng, 70), words(rng, 200), words(rng, 150)
+    copies = [edited(rng, w, 1) for w in (short, long, third, third)]
+    rows = [(9, " ".join(short)), (9, " ".join(long)), *((i, " ".join(w)) for i, w in enumerate(copies))]
+    got = {(r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(9, 0), (0, 0), (1, 0), (2, 2), (3, 2)}
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     got = {(r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(odd_docs).collect()}
     assert {(2, 2), (3, 2), (5, 2), (1, 1), (None, None)} <= got
