@@ -102,6 +102,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         trim()
 
 
+def filled(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut and put together by rows so that each holds about `limit` bytes of text, whatever Spark's batches hold."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column, limit):
+        more = batch.column(batch.schema.get_field_index(column)).nbytes
+        if held and size + more > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input reaches every bit of the output."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents into sequences.
 
 Tokens are made by whole words: a text is cut at blanks and line ends (the tokenizer drops white space, so no token
-crosses them), each distinct word of a slice of texts is encoded once and its ids gathered for every place it stands at. Each document
-ends with END_ID; only documents longer than a sequence are cut.
+crosses them), each distinct word of a slice of texts is encoded once and its ids gathered for every place it stands at.
+A worker remembers the ids of the words it met first, mostly the frequent ones, in Arrow tables of bounded size. Each
+document ends with END_ID; only documents longer than a sequence are cut.
 
 Placing is best-fit decreasing. Pieces are dealt by hash into groups of about GROUP pieces; inside a group they come
 longest first, and a segment tree over remaining capacities finds the tightest open sequence in log2(capacity) steps.
@@ -27,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import read, slices, small_batches, texts
+from frontrank.llm.common import filled, read, small_batches, texts
 
 CAPACITY, END_ID, GROUP = 4096, 1, 32_768
 #: Text encoded together, words that the tokenizer gets at a time, and words in one of its strings.
-ENCODE_BYTES, AT_ONCE, TOGETHER = 4 << 20, 4096, 512
-#: Distinct words whose ids a worker remembers: the first it meets, so mostly frequent ones.
-REMEMBER = 100_000
+ENCODE_BYTES, AT_ONCE, TOGETHER = 8 << 20, 4096, 512
+#: Bytes of words whose ids a worker remembers.
+REMEMBER_BYTES = 16 << 20
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,7 +58,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.known_ids, self.known_sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def words(self, column: pa.Array) -> pa.ListArray:
@@ -100,21 +101,21 @@ class WordIds:
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An array of ids, and each word's place and number of ids in it; word 0 is the end of a document."""
-        known, listed = self.known, words.to_pylist()
-        place = np.fromiter((known.get(w, -1) for w in listed), np.int64, len(listed))
-        new = np.flatnonzero(place < 0)
-        ids, sizes = self.fresh(words.take(pa.array(new)))
-        base, had = len(self.known_ids), len(self.known_sizes)
-        starts = np.cumsum(self.known_sizes) - self.known_sizes
-        count, begin = np.empty(len(listed), np.int64), np.empty(len(listed), np.int64)
-        seen = place >= 0
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1), np.int64)
+        new, seen = np.flatnonzero(place < 0), place >= 0
+        met = words.take(pa.array(new))
+        ids, sizes = self.fresh(met)
+        base, starts = len(self.known_ids), np.cumsum(self.known_sizes) - self.known_sizes
+        count, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         count[seen], begin[seen] = self.known_sizes[place[seen]], starts[place[seen]]
         count[new], begin[new] = sizes, base + np.cumsum(sizes) - sizes
         flat = np.concatenate([self.known_ids, ids, np.array([END_ID], np.int32)])
-        if room := max(0, min(REMEMBER - had, len(new))):
-            known.update(zip((listed[i] for i in new[:room].tolist()), range(had, had + room), strict=True))
-            self.known_sizes = np.concatenate([self.known_sizes, sizes[:room]])
-            self.known_ids = np.concatenate([self.known_ids, ids[: int(sizes[:room].sum())]])
+        room = REMEMBER_BYTES - self.known.nbytes
+        if room > 0 and len(new):
+            fits = int(np.searchsorted(np.cumsum(np.asarray(pc.binary_length(met)) + 4), room, side="right"))
+            self.known = pa.concat_arrays([self.known, met.slice(0, fits)])
+            self.known_sizes = np.concatenate([self.known_sizes, sizes[:fits]])
+            self.known_ids = np.concatenate([self.known_ids, ids[: int(sizes[:fits].sum())]])
         return flat, np.concatenate([[len(flat) - 1], begin]), np.concatenate([[1], count])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.get(tokenizer_path) or _workers.setdefault(tokenizer_path, WordIds(tokenizer_path))
-        for batch in slices(batches, limit=ENCODE_BYTES):
+        for batch in filled(batches, limit=ENCODE_BYTES):
             ids, offsets = words.encode(texts(batch.column(1)))
             raw = ids.astype("<i4").tobytes()
             row, part, begin, length, crc = [], [], [], [], []

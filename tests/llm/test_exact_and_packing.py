@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from frontrank.llm import exact_dedup, packing
+from frontrank.llm.common import filled, read
 
 
 def test_every_row_against_groups(spark):
@@ -76,6 +77,26 @@ def test_packing_whole(spark, odd_docs, no_docs):
     assert sum(len(r["ids"]) for r in packed) == sum(r["length"] for r in rows)
 
 
+def test_words_beyond_memory_and_batches_put_together(monkeypatch):
+    texts = [f"Some words {i} and wörd{i}s, more{i}.\nmore{i % 7}" for i in range(300)]
+    monkeypatch.setattr(packing, "REMEMBER_BYTES", 200)
+    words = packing.WordIds(packing.tokenizer_file())
+    for own in (texts[:150], texts[100:]):
+        ids, offsets = words.encode(pa.array(own))
+        assert words.known.nbytes <= 200 + 8 and len(words.known) == len(words.known_sizes)
+        for t, a, b in zip(own, offsets, offsets[1:], strict=False):
+            assert ids[a:b].tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID]
+    parts = [pa.RecordBatch.from_pydict({"text": texts[i : i + 3]}) for i in range(0, 300, 3)]
+    out = list(filled(iter(parts), limit=2000))
+    assert [t for b in out for t in b["text"].to_pylist()] == texts and 3 < len(out) < 20
+
+
+def test_sequences_are_as_few_as_can_be(spark):
+    rows = packing.best_fit_packing(read(spark, "/root/testdata/sf0.01", "documents"), packing.tokenizer_file()).select("sequence_id", "length").collect()
+    fewest = -(-sum(r["length"] for r in rows) // packing.CAPACITY)
+    assert fewest <= len({r["sequence_id"] for r in rows}) <= fewest * 1.001 + 1
+
+
 def test_collapse_over_batches():
     def batch(shas, keeps):
         n = len(shas)
