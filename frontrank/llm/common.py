@@ -6,12 +6,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; longer single texts are still handled whole.
@@ -49,6 +49,11 @@ def without_ids(docs: DataFrame, ids: DataFrame, n_ids: int, keys: list[str], mo
     return docs.join(F.broadcast(ids) if n_ids <= most else ids, keys, "left_anti")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once a row, however often use names it inside its own lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def held_out(modulus: int, rest: int):
     """Whether crc32 of the id's text leaves this remainder."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % modulus == rest, F.lit(False))

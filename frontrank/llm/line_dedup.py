@@ -12,13 +12,16 @@ Long lines, of LONG words or more, can't meet by chance: they recur from LONG_DO
 if FIXED of its tokens are fixed, else word by word. Different texts, as copies of one text are the work of exact dedup; and
 three of them, as two near copies would lose what they share in both.
 
-Work shrinks at each step: lines are hashed where they are read (hash, leaf and place are all that is shuffled), counted
+Work shrinks at each step: lines are hashed where they are read (hashes and places are all that is shuffled), counted
 once for each document, and only leaves that at least MIN_DOCS line-and-document pairs reach are looked at by token,
-each distinct line once with its number of documents; so a line that all documents share is one row there.
-
-Blank lines are no lines and always stay. Null and empty texts have none and stay as they are (null gives empty).
-Repeated rows count as one document. An empty table gives an empty result. Extra columns are passed through by
-`without_templates`, ignored elsewhere.
+each distinct line once with its number of documents; so a line that all documents share is one row there. Documents of
+a token are counted one by one only where neither a single line nor the leaf itself settles it, and lines of MIN_DOCS documents do.
+
+A document is a doc_id with its text: rows that repeat both count once, rows that share only the id count each, and a
+null doc_id is an id like any other. What goes depends on the text alone, so it is kept by text (a 64-bit hash and the
+length in bytes), not by id. Blank lines are no lines and always stay. Null and empty texts have none and stay as they
+are (null gives empty). An empty table gives an empty result. Extra columns are passed through by `without_templates`,
+ignored elsewhere; it owns the names `__dropped`, `__numbers`, `__whole` and `__bytes`.
 """
 
 from __future__ import annotations
@@ -28,18 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import read, slices, small_batches, texts, written
+from frontrank.llm.common import let, read, slices, small_batches, texts, written
 
 LEAD, MIN_DOCS, FIXED = 4, 10, 0.7
 LONG, LONG_DOCS = 20, 3
 WILD = "<*>"
+#: Bytes of dropped line numbers, and rows of lines, up to which they are broadcast.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
 
 
 def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """doc_id, number, hash, leaf, and of long lines a hash to compare and their text's; with_tokens: its tokens with variable fields masked, and no place."""
+    """doc_id, whole and bytes of the text, number, hash, leaf, and of long lines a hash to compare; with_tokens: its tokens with variable fields masked, and no place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -72,29 +77,47 @@ def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
             if with_tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(leaf), pa.array([m.split(" ") for m in masked], pa.list_(pa.string()))], ["line", "leaf", "tokens"])
             else:
-                whole = np.fromiter((xxhash.xxh3_64_intdigest(t.as_py()) - 2**63 for t in texts(batch.column(1))), np.int64, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row[some])), pa.array(number[some], pa.int32()), pa.array(own[codes]), pa.array(leaf[codes]), pa.array(far[codes], mask=short), pa.array(whole[row[some]], mask=short)], ["doc_id", "number", "line", "leaf", "far", "whole"])
+                column = texts(batch.column(1))
+                whole = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in column.to_pylist()), np.uint64, batch.num_rows).view(np.int64)  # as Spark's xxhash64
+                size = np.asarray(pc.binary_length(column), np.int64)
+                columns = [batch.column(0).cast(pa.int64()).take(pa.array(row[some])), pa.array(whole[row[some]]), pa.array(size[row[some]]), pa.array(number[some], pa.int32()), pa.array(own[codes]), pa.array(leaf[codes]), pa.array(far[codes], mask=short)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "bytes", "number", "line", "leaf", "far"])
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "line long, leaf long, tokens array<string>" if with_tokens else "doc_id long, whole long, bytes long, number int, line long, leaf long, far long")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "line long, leaf long, tokens array<string>" if with_tokens else "doc_id long, number int, line long, leaf long, far long, whole long")
+def supported(distinct: DataFrame, once: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, place, token) that lines of at least min_docs documents have."""
+    token = ["leaf", "place", "token"]
+    places = distinct.select("line", "leaf", "docs", F.posexplode("tokens").alias("place", "token")).filter(F.col("token") != WILD)
+    reach = written(places.groupBy(*token).agg(F.sum("docs").alias("most"), F.max("docs").alias("least")).filter(F.col("most") >= min_docs), "reach")
+    # All lines of a leaf share its leading tokens; if too few documents have them, no template of that leaf recurs anyway.
+    sure = (F.col("least") >= min_docs) | (F.col("place") < LEAD)
+    among = places.join(reach.filter(~sure).select(*token), token).join(once.select("line", "doc_id", "whole"), "line")
+    counted = among.select(*token, "doc_id", "whole").distinct().groupBy(*token).count().filter(F.col("count") >= min_docs)
+    return reach.filter(sure).select(*token).union(counted.select(*token))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Hashes of lines (column line) whose template recurs. lines: the table of parsed(docs)."""
-    once = lines.select("line", "leaf", "doc_id").distinct()
+    once = lines.select("line", "leaf", "doc_id", "whole").distinct()
     counted = written(once.groupBy("line", "leaf").agg(F.count("*").alias("docs")), "lines")
     alone = counted.filter(F.col("docs") >= min_docs).select("line")
-    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("reach")).filter(F.col("reach") >= min_docs).select("leaf")
+    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("reach"), F.count("*").alias("lines")).filter(F.col("reach") >= min_docs).filter("lines > 1").select("leaf")
     hot = written(counted.join(leaves, "leaf"), "hot")
-    n_hot = hot.count()
-    keys = hot.select("line", "docs")
-    tokens = parsed(docs, with_tokens=True).join(F.broadcast(keys) if n_hot <= 1_000_000 else keys, "line")
+    tokens = parsed(docs, with_tokens=True).join(few(hot.select("line", "docs")), "line")
     distinct = written(tokens.groupBy("line", "leaf").agg(F.first("tokens").alias("tokens"), F.first("docs").alias("docs")), "tokens")
-    places = distinct.select("line", "leaf", "docs", F.posexplode("tokens").alias("place", "token"))
-    support = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).filter(F.col("token") != WILD).select("leaf", "place", "token")
+    support = written(supported(distinct, once, min_docs), "support")
+    places = distinct.select("line", "leaf", F.posexplode("tokens").alias("place", "token"))
     fixed = places.join(support, ["leaf", "place", "token"]).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("fixed"))
     shapes = distinct.join(fixed, "line").filter(F.size("fixed") >= F.size("tokens") * FIXED).select("line", F.xxhash64("leaf", F.size("tokens"), "fixed").alias("template"))
     shapes = written(shapes, "shapes")
-    enough = once.join(F.broadcast(shapes) if n_hot <= 1_000_000 else shapes, "line").select("template", "doc_id").distinct().groupBy("template").count().filter(F.col("count") >= min_docs)
+    enough = once.join(few(shapes), "line").select("template", "doc_id", "whole").distinct().groupBy("template").count().filter(F.col("count") >= min_docs)
     return shapes.join(enough, "template").select("line").union(alone).distinct()
 
 
@@ -105,22 +128,35 @@ def long_recurring(lines: DataFrame, least: int = LONG_DOCS) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and the numbers (from 0) of its lines that are dropped, for documents that have some."""
+    """whole and bytes of a text and the numbers (from 0) of its lines that are dropped, for texts that have some."""
     lines = written(parsed(docs), "parsed")
     bad = written(recurring(docs, lines, min_docs), "recurring")
     far = written(long_recurring(lines, min(min_docs, LONG_DOCS)), "long")
-    found = lines.join(F.broadcast(bad) if bad.count() <= 1_000_000 else bad, "line").select("doc_id", "number")
-    found = found.union(lines.join(F.broadcast(far) if far.count() <= 1_000_000 else far, "far").select("doc_id", "number"))
-    return written(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped")
+    at = ["whole", "bytes", "number"]
+    found = lines.join(few(bad), "line").select(*at).union(lines.join(few(far), "far").select(*at))
+    return written(found.groupBy("whole", "bytes").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped")
+
+
+def without_numbers(lines: Column, numbers: Column) -> Column:
+    """lines without those at these places (sorted, from 0), in one pass: the runs between them, on end."""
+
+    def run(i: Column) -> Column:
+        before, after = F.coalesce(F.get(numbers, i - 1), F.lit(-1)), F.coalesce(F.get(numbers, i), F.size(lines))
+        return F.slice(lines, before + 2, after - before - 1)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(numbers)), run))
 
 
 def without_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the dropped lines taken out of text; all columns stay, and __dropped gives the number of lines gone."""
-    gone = dropped_lines(docs, min_docs).withColumnRenamed("dropped", "__numbers")
-    out = docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: ~F.array_contains("__numbers", i)), "\n")
-    text = F.when(F.col("__numbers").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
-    return out.withColumns({"text": text, "__dropped": F.coalesce(F.size("__numbers"), F.lit(0))}).drop("__numbers")
+    gone = dropped_lines(docs, min_docs).withColumnsRenamed({"dropped": "__numbers", "whole": "__whole", "bytes": "__bytes"})
+    held = gone.agg(F.coalesce(F.sum(F.lit(24) + 4 * F.size("__numbers")), F.lit(0))).first()[0]
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"__whole": F.xxhash64(text), "__bytes": F.octet_length(text).cast("long")})
+    out = keyed.join(F.broadcast(gone) if held <= BROADCAST_BYTES else gone, ["__whole", "__bytes"], "left")
+    kept = F.array_join(let(F.split(text, "\n"), lambda lines: without_numbers(lines, F.col("__numbers"))), "\n")
+    own = out.withColumns({"text": F.when(F.col("__numbers").isNull(), text).otherwise(kept), "__dropped": F.coalesce(F.size("__numbers"), F.lit(0))})
+    return own.select(*[F.col(f"`{c}`") for c in docs.columns if c != "__dropped"], "__dropped")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Near-dedup, decontamination, line dedup and licence scan against brute force."""
 
 import random
+import re
 import textwrap
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from frontrank.llm import decontamination, license_scan, line_dedup, near_dedup
 from frontrank.llm.common import bag, word_hashes
@@ -219,9 +221,78 @@ def test_long_passages_in_three_documents(spark):
     assert got == {i: f"own {chr(97 + i) * 4}\nshort line" for i in range(3)} | {i: t for i, t in rows if i > 2}
 
 
+def plain_line_dedup(rows, min_docs):
+    """The template tree in plain Python: (doc_id, text) -> text without recurring lines."""
+    docs = {(i, t or "") for i, t in rows}
+    squeezed = lambda line: " ".join(line.split())
+    masked = lambda line: " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split())
+    key = lambda line: squeezed(line) if set(masked(line).split()) == {"<*>"} else masked(line)
+    own, leaves, far = {}, {}, {}
+    for d in docs:
+        for line in filter(str.strip, d[1].split("\n")):
+            k, tokens = key(line), masked(line).split()
+            own.setdefault(k, set()).add(d)
+            leaves.setdefault(k if set(tokens) == {"<*>"} else (len(tokens), *tokens[:4]), set()).add(k)
+            if len(tokens) >= 20:
+                far.setdefault(masked(line) if tokens.count("<*>") <= 0.3 * len(tokens) + 1e-9 else squeezed(line), set()).add(d[1])
+    bad = {k for k, d in own.items() if len(d) >= min_docs}
+    for ks in leaves.values():
+        having, shapes = {}, {}
+        for k in ks:
+            for place, t in enumerate(k.split()):
+                having.setdefault((place, t), set()).update(own[k])
+        for k in ks:
+            fixed = tuple((p, t) for p, t in enumerate(k.split()) if not re.search("[0-9]|<", t) and len(having[p, t]) >= min_docs)
+            if len(fixed) >= 0.7 * len(k.split()):
+                shapes.setdefault(fixed, set()).add(k)
+        for same in shapes.values():
+            if len(set().union(*(own[k] for k in same))) >= min_docs:
+                bad |= same
+    wide = {k for k, d in far.items() if len(d) >= min(3, min_docs)}
+
+    def stays(line):
+        return not line.strip() or key(line) not in bad and not (len(line.split()) >= 20 and (masked(line) in wide or squeezed(line) in wide))
+
+    return {(i, t): "\n".join(filter(stays, (t or "").split("\n"))) for i, t in rows}
+
+
+def test_line_dedup_against_plain_python(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 9)):
+            w = rng.choice([["user", "went", "to", "a"], ["on", "host", "7", "the"], ["b"]]) + [rng.choice(["a", "a", "b", "x9", "77", rng.choice("defghijk") * 3]) for _ in range(rng.randint(0, 4))]
+            lines.append(rng.choice(["", "12 34", " ".join(w), " ".join(w), "  ".join(w), " ".join(w * 4), " ".join([f"n{rng.random()}"] * 3)]))
+        rows.append((rng.choice([None, *range(90)]), "\n".join(lines)))
+    rows += rng.choices(rows, k=20) + [(None, None), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for least in (3, 6):
+        got = Counter((r["doc_id"], r["text"]) for r in line_dedup.without_templates(docs, least).collect())
+        expected = plain_line_dedup(rows, least)
+        assert got == Counter((i, expected[i, t]) for i, t in rows)
+        assert sum(len(t or "") for _, t in rows) > 1.1 * sum(len(t) for _, t in got.elements())
+
+
+def test_ids_with_two_texts_lose_only_their_own_lines(spark):
+    rows = [(1, "only here\nfooter of all"), (1, "footer of all\nanother line"), *((None, f"footer of all\nown {c}") for c in "abcd")]
+    got = Counter(r["text"] for r in line_dedup.without_templates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == Counter(["only here", "another line", *(f"own {c}" for c in "abcd")])
+
+
+def test_many_dropped_lines_in_one_text(spark):
+    text = "\n".join("again and again" if i % 2 else f"line {'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(400))
+    docs = spark.createDataFrame([(1, text), *((i, "again and again") for i in range(2, 12))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["__dropped"], r["text"]) for r in line_dedup.without_templates(docs).collect()}
+    assert got[1] == (200, "\n".join(text.split("\n")[::2])) and got[2] == (1, "")
+
+
 def test_line_dedup_odd_rows(odd_docs, no_docs):
     out = line_dedup.without_templates(odd_docs, min_docs=2)
     assert out.count() == 9 and line_dedup.without_templates(no_docs).count() == 0
+    clashing = odd_docs.withColumnsRenamed({"kept": "line", "score": "number"}).withColumns({"dropped": F.lit(1), "leaf": F.lit(2), "__dropped": F.lit(7)})
+    out = line_dedup.without_templates(clashing, min_docs=2)
+    assert sorted(out.columns) == sorted(clashing.columns) and {r["__dropped"] for r in out.collect()} <= {0, 1}
 
 
 def test_licences(spark, odd_docs, no_docs):
