@@ -11,7 +11,8 @@ Votes and features take few values, so what the driver sees is a bounded table o
 (at most 2 kinds * 3^4 votes * 4^3 shapes), whatever the size of the corpus.
 
 Positions are found by marking each match in one pass of its regular expression and adding up the lengths of the parts,
-in code points. Possessive and guarded forms of the expressions give the same matches in linear time: a run of
+in code points; sums run in blocks, and candidates meet base spans in one sorted list, so that work grows with the
+number of matches and not with its square. Possessive and guarded forms of the expressions give the same matches in linear time: a run of
 characters that can't be entered in its middle starts a match at its first character or where the last match ended.
 
 Null and empty texts have no spans (base_sha256 is that of the empty string, spans is empty). Repeated rows give
@@ -20,16 +21,17 @@ repeated rows. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frontrank.llm.common import read, written
+from frontrank.llm.common import let, read, written
 
 KINDS, ADDED = ("email", "ip", "card", "phone"), ("secret", "tel")
-#: Words or characters before a span that the context labeler sees.
-BEFORE, ROUNDS = 24, 30
+#: Characters before a span that the context labeler sees; rounds of expectation-maximisation; values summed at once.
+BEFORE, ROUNDS, BLOCK = 24, 30, 256
 #: Matches can't hold MARK, nor can the character that replaces it in a text.
 MARK, NO_MARK = "\x01", "\x02"
 
@@ -43,37 +45,67 @@ PATTERN = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,200}[0-9]|[A-Z]{8})[A-Za-z0-9_/+=-]{12,}+",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9]|[A-Z]{8})[A-Za-z0-9_/+=-]{12,}+",
     "tel": r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
 }
 # What the labelers know.
-SECRET_SHAPE = r"^(?:[0-9a-f]{32,}|AKIA[A-Z0-9]{8,}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{16,}|password=.+)$"
-SECRET_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|sk-|pk_|xox[abp]-|eyJ|AIza|password=|passwd=|token=|secret=)"
-SECRET_BEFORE = r"(?i)(?:token|password|passwd|pwd|secret|api[ _-]?key|bearer|authorization)[\s\"'=:]*$"
+SECRET_SHAPE = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|A(?:KIA|SIA|ROA|IDA)[A-Z0-9]{8,}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{16,}|[srp]k_(?:live|test)_[A-Za-z0-9]{10,}|AIza[A-Za-z0-9_-]{30,}|password=.+)$"
+SECRET_PREFIX = r"^(?:A(?:KIA|SIA|ROA|IDA|BIA|CCA)|gh[pousr]_|github_pat_|glpat-|gl[dr]t-|sk-|[srp]k_|whsec_|xox[abeoprs]-|xapp-|eyJ|AIza|ya29|GOCSPX-|npm_|pypi-|hf_|do[por]_v1_|shp(?:at|ca|pa|ss)_|sq0[a-z]{3}-|EAAA|lin_api_|dapi|key-|(?:password|passwd|pwd|token|secret|api_?key)=)"
+SECRET_BEFORE = r"(?i)(?:token|password|passwd|passphrase|pwd|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|bearer|basic|authorization)[\s\"'=:]*$"
+#: Words and short numbers with something between them; a run of letters and digits that changes between them twice.
+JOINED_WORDS, MIXED = r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[_/=+-]+(?:[A-Za-z]+|[0-9]{1,4}|$))*$", r"[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]"
 TEL_SHAPE = r"^(?:\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})$"
-TEL_PREFIX = r"^\(?(?:800|888|877|866|212|310|415|555)"
+TEL_PREFIX = r"^\(?(?:8(?:00|33|44|55|66|77|88)|20[1-9]|21[2-9]|30[1-57-9]|31[0-9]|40[1-9]|41[0-9]|50[1-9]|51[0-9]|55[159]|60[1-9]|61[0-9]|70[1-8]|71[2-9]|80[1-8]|81[2-8]|90[1-9]|91[0-9])"
+TEL_NO_PREFIX = r"^\(?[01]"  # no area code begins so
 TEL_BEFORE = r"(?i)(?:tel|phone|call|fon|fax|mobile|cell|whatsapp)[\s.:]*$"
 
 _SPAN = "array<struct<s:int,e:int,m:string,before:string>>"
 VOTES, SHAPES = ("regex", "gazetteer", "context", "makeup"), ("size", "digits", "capitals")
 
 
+def running(values: Column, start: int, add: Callable[[Column, Column], Column]) -> Column:
+    """What the values before each one add up to (add is associative); a block at a time, then the blocks' own totals."""
+
+    def within(xs: Column) -> Column:
+        zero = F.struct(F.lit(start).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: within(F.slice(xs, k * BLOCK + 1, BLOCK)))
+
+    def carried(found: Column) -> Column:
+        return F.flatten(F.zip_with(found, within(F.transform(found, lambda x: x["at"]))["out"], lambda x, c: F.transform(x["out"], lambda v: add(c, v))))
+
+    return let(values, lambda xs: let(blocks(xs), carried))
+
+
 def spans(text: Column, kind: str) -> Column:
     """Start, end, text and what stands before it, for every match of a kind's expression."""
     parts = F.split(F.regexp_replace(text, PATTERN[kind], f"{MARK}$0{MARK}"), MARK)
-    start = F.expr(f"named_struct('at', 0, 'hit', false, 'before', '', 'out', cast(array() as {_SPAN}))")
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        found = F.struct(acc["at"].alias("s"), end.alias("e"), part.alias("m"), acc["before"].alias("before"))
-        return F.struct(
-            end.alias("at"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], acc["before"]).otherwise(F.right(part, F.lit(BEFORE))).alias("before"),
-            F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
-        )
+    def listed(p: Column, start: Column) -> Column:
+        def one(i: Column) -> Column:
+            m = F.get(p, i)
+            return F.struct(F.get(start, i).alias("s"), (F.get(start, i) + F.length(m)).alias("e"), m.alias("m"), F.right(F.get(p, i - 1), F.lit(BEFORE)).alias("before"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: i % 2 == 1), one)
+
+    none = F.expr(f"cast(array() as {_SPAN})")
+    return let(parts, lambda p: F.when(F.size(p) == 1, none).otherwise(let(running(F.transform(p, F.length), 0, lambda x, y: x + y), lambda start: listed(p, start))))
+
+
+def apart(found: Column, base: Column) -> Column:
+    """Those spans (in order of their starts) that overlap none of base: in one list by start, none before reaches in, and none after begins inside."""
+    far = 2**31 - 1
+    both = F.concat(F.transform(base, lambda x: F.struct(x["s"].alias("s"), F.lit(-1).alias("i"), x["e"].alias("e"))), F.transform(found, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x["e"].alias("e"))))
+
+    def free(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda x: F.when(x["i"] < 0, x["e"]).otherwise(0)), 0, F.greatest)
+        after = F.reverse(running(F.reverse(F.transform(xs, lambda x: F.when(x["i"] < 0, x["s"]).otherwise(far))), far, F.least))
+        marked = F.zip_with(xs, F.arrays_zip(reach.alias("r"), after.alias("a")), lambda x, y: F.struct(x["i"].alias("i"), ((x["i"] >= 0) & (y["r"] <= x["s"]) & (y["a"] >= x["e"])).alias("free")))
+        return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: F.get(found, x["i"]))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(let(F.array_sort(both), free))
 
 
 def digits_of(x: Column) -> Column:
@@ -103,7 +135,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     once = docs.select("doc_id", text.alias("t")).select("doc_id", F.explode(F.array(F.struct(*fields))).alias("x"))
     slim = [F.transform(F.col(f"x.{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS]
     base = F.concat(*(F.col(f"x.{k}") for k in KINDS))
-    free = [F.filter(F.col(f"x.{k}"), lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))).alias(k) for k in ADDED]
+    free = [apart(F.col(f"x.{k}"), base).alias(k) for k in ADDED]
     return once.select("doc_id", *slim, *free)
 
 
@@ -116,14 +148,14 @@ def votes(kind: str, c: Column) -> dict[str, Column]:
     letters, digits = m.rlike("[A-Za-z]"), m.rlike("[0-9]")
     if kind == "secret":
         return {
-            "regex": vote(m.rlike(SECRET_SHAPE), m.rlike("^[A-Za-z_/+=-]+$") & ~m.rlike("^AKIA")),
+            "regex": vote(m.rlike(SECRET_SHAPE), m.rlike(JOINED_WORDS) & ~m.rlike("^AKIA")),
             "gazetteer": vote(m.rlike(SECRET_PREFIX), F.lit(False)),
             "context": vote(before.rlike(SECRET_BEFORE), before.rlike(r"[.,;!?]\s*$")),
-            "makeup": vote(letters & digits, ~digits & ~m.rlike("^[A-Z0-9]+$") | ~letters),
+            "makeup": vote(m.rlike(MIXED), ~digits & ~m.rlike("^[A-Z0-9]+$") | ~letters | m.rlike(JOINED_WORDS)),
         }
     return {
         "regex": vote(m.rlike(TEL_SHAPE), F.lit(False)),
-        "gazetteer": vote(m.rlike(TEL_PREFIX), F.lit(False)),
+        "gazetteer": vote(m.rlike(TEL_PREFIX), m.rlike(TEL_NO_PREFIX)),
         "context": vote(before.rlike(TEL_BEFORE), before.rlike(r"[=#$€]\s*$")),
         "makeup": vote(m.rlike(r"\("), m.rlike(r"^[0-9]{3}\.[0-9]{3}\.")),
     }

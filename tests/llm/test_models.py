@@ -1,8 +1,10 @@
 """Personal data, url filter, classifiers and the pipeline."""
 
 import hashlib
+import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -59,6 +61,53 @@ def test_secrets_are_added_and_words_are_not(spark):
     assert f"secret:{begin}:{begin + 40}" in got[0]
 
 
+def planted(rng, n):
+    """Texts with one secret each, texts with a long token that is none, and which are which."""
+    upper, every = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    rows = []
+    for _ in range(n):
+        secret = rng.choice([some("0123456789abcdef", 40), "AKIA" + some(upper, 16), "ghp_" + some(every, 36), "sk-" + some(every, 32), "glpat-" + some(every, 20), "AIza" + some(every, 35), some(every, 30)])
+        rows.append((rng.choice(["The key is token={}", 'set password: "{}" now', "api_key = {} here", "bearer {} in use"]).format(secret), True))
+        other = rng.choice(["CHAPTERXIVXIVXIV", "mother-in-law-of-2-sons", "invoice_2024_0012", "section-3-of-the-act", "INTERNATIONALLY", "release-notes-2023", "part_12_of_the_book"])
+        rows.append((f"We read {other} and went on.", False))
+    return rows
+
+
+def test_recall_and_precision_on_planted_secrets(spark):
+    rows = planted(random.Random(2), 400)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: "secret:" in r["spans"] for r in pii.pii(docs).collect()}
+    hits, said, true = sum(got[i] and y for i, (_, y) in enumerate(rows)), sum(got.values()), sum(y for _, y in rows)
+    assert hits / true >= 0.95 and hits / said >= 0.95
+
+
+def test_candidates_that_overlap_base_spans_go(spark):
+    rng = random.Random(4)
+    part = lambda: rng.choice(["me@x.org ", "10.0.0.1 ", "212-555-1234 ", "+49 212-555-1234 ", "a1b2c3d4e5f6a7b8 ", "k1k2k3k4k5k6@mail9.example.com ", "words "])
+    docs = [(i, "".join(part() for _ in range(rng.choice([3, 40, 900])))) for i in range(12)]
+    found = {r["doc_id"]: r for r in pii.found_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        base = [(x["s"], x["e"]) for k in pii.KINDS for x in found[i][k]]
+        plain = [m.span() for m in re.finditer(pii.PATTERN["tel"], text)]
+        assert [(x["s"], x["e"]) for x in found[i]["tel"]] == [(a, b) for a, b in plain if not any(s < b and a < e for s, e in base)]
+        assert all(text[x["s"] : x["e"]] == x["m"] for x in found[i]["tel"])
+
+
+def test_time_grows_with_the_matches(spark):
+    def took(n):
+        docs = spark.createDataFrame([(1, "a@b.co " * n)], "doc_id long, text string")
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            assert pii.pii(docs).first()["n_email"] == n
+            best = min(best, time.time() - began)
+        return best
+
+    took(1000)
+    assert took(40_000) < 2 * took(20_000) + 2
+
+
 def test_em_trusts_labelers_that_agree():
     counted = [((1, 1, 1, -1, 0, 0, 0), 100), ((-1, -1, -1, 1, 0, 0, 0), 100), ((1, 1, 0, 1, 0, 0, 0), 20), ((-1, -1, 0, -1, 0, 0, 0), 20)]
     p = pii.posteriors(counted)
