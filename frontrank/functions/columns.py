@@ -68,6 +68,19 @@ def average_rank(over: Sequence[str], by: Column, ties: Sequence[Column | str])
     return F.rank().over(Window.partitionBy(*over).orderBy(by)) + (tied - 1) / 2.0
 
 
+def exact_mean(c: Column | str, unit: float = 1e9) -> Column:
+    """Mean of values taken as whole multiples of 1 / unit: the sum is exact, so the order of addition can't show."""
+    c = F.col(c) if isinstance(c, str) else c
+    whole = F.sum(F.floor(c * unit + 0.5).cast("decimal(20,0)")).cast("double")
+    return F.try_divide(whole, unit * F.count(c))
+
+
+def half_up(c: Column | str, digits: int) -> Column:
+    """Rounded by plain multiplication, so that engines agree on halves too."""
+    scale = 10.0**digits
+    return F.floor((F.col(c) if isinstance(c, str) else c) * scale + 0.5) / scale
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Population correlation over a group; null where either side is constant."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

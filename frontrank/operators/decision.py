@@ -151,9 +151,10 @@ def rule_scores(df: DataFrame, objectives: Mapping[str, str], keep: Sequence[str
     return wide.select(FRONT, ITEM, *keep, *rule_names(objectives)).unpivot([FRONT, ITEM, *keep], rule_names(objectives), "rule", "score")
 
 
-def best_candidates(scores: DataFrame) -> DataFrame:
-    """The best item of each front under each rule; of equal scores the smallest item."""
-    return scores.groupBy(FRONT, "rule").agg(F.max_by(F.struct(ITEM, "score"), F.struct(F.col("score"), -F.col(ITEM))).alias("b")).select(FRONT, "rule", "b.*")
+def best_candidates(scores: DataFrame, digits: int | None = None) -> DataFrame:
+    """The best item of each front under each rule; of scores that are equal (to so many digits) the smallest item."""
+    by = F.col("score") if digits is None else F.round("score", digits)
+    return scores.groupBy(FRONT, "rule").agg(F.max_by(F.struct(ITEM, "score"), F.struct(by, -F.col(ITEM))).alias("b")).select(FRONT, "rule", "b.*")
 
 
 def direction_faults(objectives: DataFrame, columns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frontrank.functions import KS, average_rank, comb_ratio, pearson
+from frontrank.functions import KS, average_rank, comb_ratio, exact_mean, pearson
 from frontrank.operators.labels import FRONT, ITEM, SCORE, TARGET, item_pairs
 
 
@@ -104,7 +104,7 @@ def long_metrics(df: DataFrame, ks: Sequence[int] = KS, over: Sequence[str] = ()
 
 def front_mean(metrics: DataFrame, over: Sequence[str] = ()) -> DataFrame:
     """Plain mean over fronts that have the metric: fronts count alike, whatever their size."""
-    return metrics.groupBy(*over, "metric").agg(F.avg("value").alias("value"), F.count("value").alias("n_fronts"))
+    return metrics.groupBy(*over, "metric").agg(exact_mean("value").alias("value"), F.count("value").alias("n_fronts"))
 
 
 def evaluate(ranked: DataFrame, ks: Sequence[int] = KS, over: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frontrank.functions import KS, average_rank, direction, metric_family, metric_k
+from frontrank.functions import KS, average_rank, direction, exact_mean, metric_family, metric_k
 
 # Tier and place of each metric family; the place of k among KS is added.
 TIERS = {"Regret": "primary", "BestTarget": "primary", "Hit": "primary", "NDCG": "secondary", "Spearman": "tertiary", "KendallTau": "tertiary", "n_items": "aux"}
@@ -31,9 +31,10 @@ def paired(values: DataFrame, over: Sequence[str] = ("metric",)) -> DataFrame:
 
 
 def method_ranks(values: DataFrame, over: Sequence[str] = ("metric",)) -> DataFrame:
-    """Average rank of each method in each front; by the metric's direction, 1 is best."""
+    """Average rank of each method in each front; by the metric's direction, 1 is best. tied: how many share the value."""
     signed = values.withColumn("__v", F.col("value") * direction(F.col("metric")))
-    return signed.withColumn("rank", average_rank([*over, "front_id"], F.desc("__v"), ["__v"])).drop("__v")
+    tied = F.count(F.lit(1)).over(Window.partitionBy(*over, "front_id", "__v"))
+    return signed.withColumns({"rank": average_rank([*over, "front_id"], F.desc("__v"), ["__v"]), "tied": tied}).drop("__v")
 
 
 def common(values: DataFrame, key: str, over: Sequence[str] = ()) -> DataFrame:
@@ -53,10 +54,10 @@ def rank_stats(values: DataFrame, over: Sequence[str] = ("metric",)) -> DataFram
     """
     over = list(over)
     ranked = method_ranks(paired(values, over), over)
-    tied = ranked.groupBy(*over, "front_id", "rank").agg(F.count("*").alias("t")).groupBy(*over).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    per = ranked.groupBy(*over, "method").agg(F.avg("rank").alias("avg_rank"), F.sum("rank").alias("rank_sum"), F.count("*").alias("n_fronts"))
+    t = F.col("tied")  # t rows of t * t - 1 each make t^3 - t
+    per = ranked.groupBy(*over, "method").agg(F.avg("rank").alias("avg_rank"), F.sum("rank").alias("rank_sum"), F.count("*").alias("n_fronts"), F.sum(t * t - 1).alias("ties"))
     group = Window.partitionBy(*over)
-    per = per.withColumns({"k": F.count("*").over(group), "squares": F.sum(F.col("rank_sum") * F.col("rank_sum")).over(group)}).join(tied, over)
+    per = per.withColumns({"k": F.count("*").over(group), "squares": F.sum(F.col("rank_sum") * F.col("rank_sum")).over(group), "ties": F.sum("ties").over(group)})
     n, k = F.col("n_fronts").cast("double"), F.col("k").cast("double")
     plain = 12.0 / (n * k * (k + 1)) * F.col("squares") - 3 * n * (k + 1)
     fix = 1 - F.col("ties") / (n * (k * k * k - k))
@@ -115,7 +116,7 @@ def rank_tests(values: DataFrame, over: Sequence[str] = ("metric",)) -> DataFram
 
 def summary(values: DataFrame, over: Sequence[str] = ("method", "metric")) -> DataFrame:
     """Mean, sample standard deviation and count of each method and metric."""
-    return values.groupBy(*over).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n"))
+    return values.groupBy(*over).agg(exact_mean("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n"))
 
 
 def with_tiers(values: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def selected(summaries: DataFrame, ranks: DataFrame, n: int = 1, over: Sequence[
 def comparison(values: DataFrame) -> DataFrame:
     """Over fronts that all methods share: mean, std (0 for one front), fronts, mean rank."""
     ranked = method_ranks(paired(values))
-    return ranked.groupBy("metric", "method").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.count("*").alias("n_fronts"), F.avg("rank").alias("mean_rank"))
+    return ranked.groupBy("metric", "method").agg(exact_mean("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.count("*").alias("n_fronts"), F.avg("rank").alias("mean_rank"))
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -166,7 +167,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def front_profile(df: DataFrame) -> DataFrame:
     """n_items, target min, max, mean, std, range, distinct and best item of each front."""
     stats = df.groupBy("front_id").agg(
-        F.count("*").alias("n_items"), F.min("target").alias("low"), F.max("target").alias("high"), F.avg("target").alias("mean"), F.stddev_pop("target").alias("std"), F.count_distinct("target").alias("n_distinct"), F.max_by("item_id", F.struct(F.col("target"), -F.col("item_id"))).alias("best_item")
+        F.count("*").alias("n_items"), F.min("target").alias("low"), F.max("target").alias("high"), exact_mean("target").alias("mean"), F.stddev_pop("target").alias("std"), F.count_distinct("target").alias("n_distinct"), F.max_by("item_id", F.struct(F.col("target"), -F.col("item_id"))).alias("best_item")
     )
     return stats.withColumn("range", F.col("high") - F.col("low"))
 

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frontrank.functions import half_up
 from frontrank.operators import networks as N
 from frontrank.operators import stats as S
 from frontrank.plans import fixtures as X
 from frontrank.plans.ranking import RULE_METRICS, _with, rule_metrics
-from frontrank.plans.registry import query, r6
+from frontrank.plans.registry import half_sql, mean_sql, query, r6
+from frontrank.sources.tables import first_of, materialized
 
 _METHODS = (*RULE_METRICS, "v AS (SELECT rule AS method, front_id, metric, round(value, 9) AS value FROM methods)")
 
 
 def values(spark, d):
-    """(metric, front_id, method, value): decision rules as methods."""
-    return rule_metrics(spark, d).select(F.col("rule").alias("method"), "front_id", "metric", F.round("value", 9).alias("value"))
+    """(metric, front_id, method, value): decision rules as methods. A table, as most operators read it more than once."""
+    return materialized(rule_metrics(spark, d).select(F.col("rule").alias("method"), "front_id", "metric", F.round("value", 9).alias("value")), "values")
 
 
 _DIR = "(CASE WHEN metric LIKE 'Regret@%' THEN -1 ELSE 1 END)"
@@ -86,65 +88,62 @@ def s1(spark, d):
     return S.with_tiers(values(spark, d)).groupBy("metric", "tier", "order", "direction", "family", "k").agg(F.count("*").alias("n"))
 
 
-_SUMMARY = "summary AS (SELECT method, metric, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM v GROUP BY 1, 2)"
+_SUMMARY = f"summary AS (SELECT method, metric, {half_sql(mean_sql('value'), 7)} AS mean, stddev_samp(value) AS std, count(value) AS n FROM v GROUP BY 1, 2)"
 
 
-@query("s2_summary", _with(*_METHODS, _SUMMARY) + "SELECT method, metric, round(mean, 5) AS mean, round(std, 5) AS std, n FROM summary")
+@query("s2_summary", _with(*_METHODS, _SUMMARY) + "SELECT method, metric, (floor(mean * 1e5 + 0.5) / 1e5) AS mean, round(std, 5) AS std, n FROM summary")
 def s2(spark, d):
-    s = S.summary(values(spark, d))
-    return s.withColumns({"mean": F.round("mean", 5), "std": F.round("std", 5)})
+    s = _summaries(spark, d)
+    return s.withColumns({"mean": half_up("mean", 5), "std": F.round("std", 5)})
 
 
-@query("w11_leaderboard", _with(*_METHODS, _SUMMARY) + f"SELECT metric, method, row_number() OVER (PARTITION BY metric ORDER BY round(mean, 7) * {_DIR} DESC, method) AS place FROM summary")
+@query("w11_leaderboard", _with(*_METHODS, _SUMMARY) + f"SELECT metric, method, row_number() OVER (PARTITION BY metric ORDER BY (floor(mean * 1e7 + 0.5) / 1e7) * {_DIR} DESC, method) AS place FROM summary")
 def w11(spark, d):
-    s = S.summary(values(spark, d)).withColumn("mean", F.round("mean", 7))
-    return S.leaderboard(s).select("metric", "method", "place")
+    return S.leaderboard(_summaries(spark, d)).select("metric", "method", "place")
 
 
-_PIV = "wide AS (SELECT method, " + ", ".join(f"max(round(mean, 7)) FILTER (metric = '{m}') AS \"{m}\"" for m in ("Regret@5", "Hit@5", "Regret@1", "BestTarget@5")) + " FROM summary GROUP BY 1)"
+_PIV = "wide AS (SELECT method, " + ", ".join(f"max(floor(mean * 1e7 + 0.5) / 1e7) FILTER (metric = '{m}') AS \"{m}\"" for m in ("Regret@5", "Hit@5", "Regret@1", "BestTarget@5")) + " FROM summary GROUP BY 1)"
 _CHOICE = "ORDER BY round(avg_rank, 7), \"Regret@5\", \"Hit@5\" DESC, \"Regret@1\", \"BestTarget@5\" DESC, method"
 
 
 def _summaries(spark, d):
-    return S.summary(values(spark, d)).withColumn("mean", F.round("mean", 7))
+    return S.summary(values(spark, d)).withColumn("mean", half_up("mean", 7))
 
 
 def _ranks(spark, d):
     return S.rank_stats(values(spark, d)).withColumn("avg_rank", F.round("avg_rank", 7))
 
 
-@query("s11_selection", _with(*_ST, _SUMMARY, _PIV) + f"SELECT method, round(avg_rank, 5) AS avg_rank, round(\"Regret@5\", 5) AS regret FROM wide JOIN (SELECT method, avg_rank FROM stat WHERE metric = 'Regret@5') USING (method) {_CHOICE} LIMIT 3")
+@query("s11_selection", _with(*_ST, _SUMMARY, _PIV) + f"SELECT method, round(avg_rank, 5) AS avg_rank, (floor(\"Regret@5\" * 1e5 + 0.5) / 1e5) AS regret FROM wide JOIN (SELECT method, avg_rank FROM stat WHERE metric = 'Regret@5') USING (method) {_CHOICE} LIMIT 3")
 def s11(spark, d):
     best = S.selected(_summaries(spark, d), _ranks(spark, d), 3)
-    return best.select("method", F.round("avg_rank", 5).alias("avg_rank"), F.round("`Regret@5`", 5).alias("regret"))
+    return best.select("method", F.round("avg_rank", 5).alias("avg_rank"), half_up("`Regret@5`", 5).alias("regret"))
 
 
-@query("s12_candidates", _with(*_METHODS, _SUMMARY, _PIV) + "SELECT method, round(\"Regret@5\", 5) AS r5, round(\"Hit@5\", 5) AS h5, round(\"Regret@1\", 5) AS r1, round(\"BestTarget@5\", 5) AS b5 FROM wide")
+@query("s12_candidates", _with(*_METHODS, _SUMMARY, _PIV) + "SELECT method, (floor(\"Regret@5\" * 1e5 + 0.5) / 1e5) AS r5, (floor(\"Hit@5\" * 1e5 + 0.5) / 1e5) AS h5, (floor(\"Regret@1\" * 1e5 + 0.5) / 1e5) AS r1, (floor(\"BestTarget@5\" * 1e5 + 0.5) / 1e5) AS b5 FROM wide")
 def s12(spark, d):
     names = ["Regret@5", "Hit@5", "Regret@1", "BestTarget@5"]
     wide = S.pivoted(_summaries(spark, d), "method", "metric", names, "mean")
-    return wide.select("method", *[F.round(F.col(f"`{n}`"), 5).alias(a) for n, a in zip(names, ("r5", "h5", "r1", "b5"), strict=True)])
+    return wide.select("method", *[half_up(F.col(f"`{n}`"), 5).alias(a) for n, a in zip(names, ("r5", "h5", "r1", "b5"), strict=True)])
 
 
 @query("s13_best_of_family", _with(*_ST) + """SELECT split_part(method, '_', 1) AS family, method, round(avg_rank, 5) AS avg_rank FROM stat WHERE metric = 'Regret@5'
 QUALIFY row_number() OVER (PARTITION BY split_part(method, '_', 1) ORDER BY round(avg_rank, 7), method) = 1""")
 def s13(spark, d):
-    from frontrank.sources.tables import first_of
-
     ranked = _ranks(spark, d).filter("metric = 'Regret@5'").withColumn("family", F.split_part("method", F.lit("_"), F.lit(1)))
     return first_of(ranked, ["family"], ["avg_rank", "method"]).select("family", "method", F.round("avg_rank", 5).alias("avg_rank"))
 
 
-@query("s14_primary_rank_table", _with(*_ST, _SUMMARY) + "SELECT method, round(avg_rank, 5) AS avg_rank, position, round(mean, 5) AS mean, summary.n FROM stat JOIN summary USING (method, metric) WHERE metric = 'Regret@5'")
+@query("s14_primary_rank_table", _with(*_ST, _SUMMARY) + "SELECT method, round(avg_rank, 5) AS avg_rank, position, (floor(mean * 1e5 + 0.5) / 1e5) AS mean, summary.n FROM stat JOIN summary USING (method, metric) WHERE metric = 'Regret@5'")
 def s14(spark, d):
     joined = _ranks(spark, d).join(_summaries(spark, d), ["metric", "method"], "left").filter("metric = 'Regret@5'")
-    return joined.select("method", F.round("avg_rank", 5).alias("avg_rank"), "position", F.round("mean", 5).alias("mean"), "n")
+    return joined.select("method", F.round("avg_rank", 5).alias("avg_rank"), "position", half_up("mean", 5).alias("mean"), "n")
 
 
-@query("s16_comparison", _with(*_METHODS, _RANKED) + "SELECT metric, method, round(avg(value), 5) AS mean, round(coalesce(stddev_samp(value), 0), 5) AS std, count(*) AS n_fronts, round(avg(rank), 5) AS mean_rank FROM ranked GROUP BY 1, 2")
+@query("s16_comparison", _with(*_METHODS, _RANKED) + "SELECT metric, method, " + half_sql(mean_sql("value"), 5) + " AS mean, round(coalesce(stddev_samp(value), 0), 5) AS std, count(*) AS n_fronts, round(avg(rank), 5) AS mean_rank FROM ranked GROUP BY 1, 2")
 def s16(spark, d):
     c = S.comparison(values(spark, d))
-    return c.withColumns({n: F.round(n, 5) for n in ("mean", "std", "mean_rank")})
+    return c.select("metric", "method", half_up("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "n_fronts", F.round("mean_rank", 5).alias("mean_rank"))
 
 
 @query("s31_rank_heatmap", _with(*_ST) + "SELECT method, " + ", ".join(f"max(position) FILTER (metric = 'Regret@{k}') AS r{k}" for k in (1, 3, 5, 10)) + " FROM stat GROUP BY 1")
@@ -158,13 +157,14 @@ def s31(spark, d):
 round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std, round(count(*) FILTER ({c} = 0) / count(*), 6) AS zeros, count(DISTINCT {c}) <= 1 AS constant FROM lineitem""" for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")))
 def s19(spark, d):
     p = S.column_profile(X.table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
-    return p.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), "zeros": F.round("zeros", 6)})
+    return p.withColumns({"mean": half_up("mean", 4), "std": F.round("std", 4), "zeros": F.round("zeros", 6)})
 
 
-@query("s21_front_profile", _with(X.FRONTS) + """SELECT front_id, count(*) AS n_items, round(min(target), 6) AS low, round(max(target), 6) AS high, round(avg(target), 6) AS mean, round(stddev_pop(target), 6) AS std,
+@query("s21_front_profile", _with(X.FRONTS) + """SELECT front_id, count(*) AS n_items, round(min(target), 6) AS low, round(max(target), 6) AS high, """ + half_sql(mean_sql("target"), 6) + """ AS mean, round(stddev_pop(target), 6) AS std,
 round(max(target) - min(target), 6) AS range, count(DISTINCT target) AS n_distinct, arg_min(item_id, (-target, item_id)) AS best_item FROM fronts GROUP BY 1""")
 def s21(spark, d):
-    return r6(S.front_profile(X.fronts(spark, d)))
+    p = S.front_profile(X.fronts(spark, d))
+    return r6(p.drop("mean")).join(p.select("front_id", half_up("mean", 6).alias("mean")), "front_id")
 
 
 # ---- networks

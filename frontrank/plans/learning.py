@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frontrank.functions import half_up
 from frontrank.operators import decision as D
 from frontrank.operators import figures as G
 from frontrank.operators import labels as L
@@ -11,7 +12,7 @@ from frontrank.operators import ltr as R
 from frontrank.operators import metrics as M
 from frontrank.operators import stats as S
 from frontrank.plans import fixtures as X
-from frontrank.plans.comparing import _METHODS, _SUMMARY, values
+from frontrank.plans.comparing import _METHODS, _SUMMARY, _summaries, values
 from frontrank.plans.profiling import splits
 from frontrank.plans.ranking import _with
 from frontrank.plans.registry import query, r6
@@ -114,14 +115,14 @@ _PLACE = """place AS (SELECT method, row_number() OVER (ORDER BY round(avg(rank)
 rank() OVER (PARTITION BY front_id ORDER BY value) + (count(*) OVER (PARTITION BY front_id, value) - 1) / 2.0 AS rank FROM v WHERE metric = 'Regret@5') GROUP BY 1)"""
 
 
-@query("f6_top_k_table", _with(*_METHODS, _SUMMARY, _PLACE) + "SELECT method, split_part(metric, '@', 1) AS family, split_part(metric, '@', 2)::INT AS k, round(mean, 5) AS mean, place FROM summary LEFT JOIN place USING (method)")
+@query("f6_top_k_table", _with(*_METHODS, _SUMMARY, _PLACE) + "SELECT method, split_part(metric, '@', 1) AS family, split_part(metric, '@', 2)::INT AS k, (floor(mean * 1e5 + 0.5) / 1e5) AS mean, place FROM summary LEFT JOIN place USING (method)")
 def f6(spark, d):
     v = values(spark, d)
     ranks = S.rank_stats(v.filter("metric = 'Regret@5'")).withColumn("avg_rank", F.round("avg_rank", 7))
-    return G.top_k_table(S.summary(v), ranks).withColumn("mean", F.round("mean", 5))
+    return G.top_k_table(S.summary(v).withColumn("mean", half_up("mean", 7)), ranks).withColumn("mean", half_up("mean", 5))
 
 
-@query("f7_metric_pairs", _with(*_METHODS, _SUMMARY) + "SELECT method, round(max(mean) FILTER (metric = 'Regret@5'), 5) AS x, round(max(mean) FILTER (metric = 'Hit@5'), 5) AS y FROM summary GROUP BY 1")
+@query("f7_metric_pairs", _with(*_METHODS, _SUMMARY) + "SELECT method, (floor(max(mean) FILTER (metric = 'Regret@5') * 1e5 + 0.5) / 1e5) AS x, (floor(max(mean) FILTER (metric = 'Hit@5') * 1e5 + 0.5) / 1e5) AS y FROM summary GROUP BY 1")
 def f7(spark, d):
-    pairs = G.metric_pairs(S.summary(values(spark, d)), "Regret@5", "Hit@5")
-    return pairs.withColumns({"x": F.round("x", 5), "y": F.round("y", 5)})
+    pairs = G.metric_pairs(_summaries(spark, d), "Regret@5", "Hit@5")
+    return pairs.withColumns({"x": half_up("x", 5), "y": half_up("y", 5)})

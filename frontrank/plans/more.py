@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frontrank.functions import lenient, metric_family, metric_k
+from frontrank.functions import exact_mean, half_up, lenient, metric_family, metric_k
 from frontrank.operators import decision as D
 from frontrank.operators import evidence as V
 from frontrank.operators import figures as G
@@ -17,7 +17,7 @@ from frontrank.plans.comparing import _ST, _SUMMARY, _METHODS, _RANKED, _ranks,
 from frontrank.plans.profiling import _EV, _NAMED, _SPLIT, evidence, named, ranked, splits
 from frontrank.plans.profiling import _RANKED as _EDGE_RANKS
 from frontrank.plans.ranking import _SCORES, _with
-from frontrank.plans.registry import query, r6
+from frontrank.plans.registry import half_sql, mean_sql, query, r6
 from frontrank.sources import tables as T
 
 # ---- readers and writers
@@ -65,12 +65,12 @@ def a14(spark, d):
     return V.curated(p, "parts").select("source", "target", "resource").distinct()
 
 
-@query("a17_summary_reader", _with(*_METHODS, _SUMMARY) + "SELECT method, metric, round(mean, 5) AS mean, n FROM summary")
+@query("a17_summary_reader", _with(*_METHODS, _SUMMARY) + "SELECT method, metric, (floor(mean * 1e5 + 0.5) / 1e5) AS mean, n FROM summary")
 def a17(spark, d):
     path = T.fresh_path(spark, "summary")
     T.write_table(_summaries(spark, d), path, kind="csv")
     read = spark.read.schema("method string, metric string, mean double, std double, n long").csv(path, header=True)
-    return T.require(read, ["method", "metric", "mean"]).select("method", "metric", F.round("mean", 5).alias("mean"), "n")
+    return T.require(read, ["method", "metric", "mean"]).select("method", "metric", half_up("mean", 5).alias("mean"), "n")
 
 
 @query("a20_json_reports")
@@ -130,15 +130,15 @@ def j6(spark, d):
     return ranked(spark, d).join(known, ["src", "dst"], "left_semi").select("method", "src", "dst")
 
 
-@query("j7_ranks_and_means", _with(*_ST, _SUMMARY) + "SELECT metric, method, position, round(mean, 5) AS mean FROM stat LEFT JOIN summary USING (metric, method)")
+@query("j7_ranks_and_means", _with(*_ST, _SUMMARY) + "SELECT metric, method, position, (floor(mean * 1e5 + 0.5) / 1e5) AS mean FROM stat LEFT JOIN summary USING (metric, method)")
 def j7(spark, d):
-    return _ranks(spark, d).join(_summaries(spark, d), ["metric", "method"], "left").select("metric", "method", "position", F.round("mean", 5).alias("mean"))
+    return _ranks(spark, d).join(_summaries(spark, d), ["metric", "method"], "left").select("metric", "method", "position", half_up("mean", 5).alias("mean"))
 
 
-@query("j9_secondary_metrics", _with(*_METHODS, _SUMMARY) + "SELECT method, " + ", ".join(f"round(max(mean) FILTER (metric = 'Hit@{k}'), 5) AS h{k}" for k in (1, 3, 10)) + " FROM summary GROUP BY 1")
+@query("j9_secondary_metrics", _with(*_METHODS, _SUMMARY) + "SELECT method, " + ", ".join(f"(floor(max(mean) FILTER (metric = 'Hit@{k}') * 1e5 + 0.5) / 1e5) AS h{k}" for k in (1, 3, 10)) + " FROM summary GROUP BY 1")
 def j9(spark, d):
     wide = S.pivoted(_summaries(spark, d), "method", "metric", [f"Hit@{k}" for k in (1, 3, 10)], "mean")
-    return wide.select("method", *[F.round(F.col(f"`Hit@{k}`"), 5).alias(f"h{k}") for k in (1, 3, 10)])
+    return wide.select("method", *[half_up(F.col(f"`Hit@{k}`"), 5).alias(f"h{k}") for k in (1, 3, 10)])
 
 
 @query("j11_without_report", "SELECT c_custkey AS candidate FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -160,10 +160,10 @@ def n6(spark, d):
     return r6(N.global_features(networks(spark, d)).select("net_id", "density"))
 
 
-@query("s9_phase_summary", _with(*_METHODS, _SUMMARY) + "SELECT method, count(*) AS metrics, round(max(mean) FILTER (metric = 'Regret@5'), 5) AS primary_mean FROM summary GROUP BY 1")
+@query("s9_phase_summary", _with(*_METHODS, _SUMMARY) + "SELECT method, count(*) AS metrics, (floor(max(mean) FILTER (metric = 'Regret@5') * 1e5 + 0.5) / 1e5) AS primary_mean FROM summary GROUP BY 1")
 def s9(spark, d):
     s = _summaries(spark, d)
-    return s.groupBy("method").agg(F.count("*").alias("metrics"), F.round(F.max(F.when(F.col("metric") == "Regret@5", F.col("mean"))), 5).alias("primary_mean"))
+    return s.groupBy("method").agg(F.count("*").alias("metrics"), half_up(F.max(F.when(F.col("metric") == "Regret@5", F.col("mean"))), 5).alias("primary_mean"))
 
 
 @query("s10_selection_ranks", _with(*_ST) + "SELECT method, position FROM stat WHERE metric = 'Regret@5'")
@@ -179,10 +179,10 @@ def s15(spark, d):
     return S.rank_stats(v, ["single", "metric"]).select("single", "method", F.round("avg_rank", 5).alias("avg_rank"))
 
 
-@query("s18_comparison_summary", _with(*_METHODS, _RANKED) + "SELECT metric, count(DISTINCT method) AS methods, count(DISTINCT front_id) AS fronts, round(avg(value), 5) AS mean FROM ranked GROUP BY 1")
+@query("s18_comparison_summary", _with(*_METHODS, _RANKED) + "SELECT metric, count(DISTINCT method) AS methods, count(DISTINCT front_id) AS fronts, " + half_sql(mean_sql("value"), 5) + " AS mean FROM ranked GROUP BY 1")
 def s18(spark, d):
     v = S.paired(values(spark, d))
-    return v.groupBy("metric").agg(F.count_distinct("method").alias("methods"), F.count_distinct("front_id").alias("fronts"), F.round(F.avg("value"), 5).alias("mean"))
+    return v.groupBy("metric").agg(F.count_distinct("method").alias("methods"), F.count_distinct("front_id").alias("fronts"), half_up(exact_mean("value"), 5).alias("mean"))
 
 
 @query("s20_numeric_summary", "SELECT count(value) AS n, round(min(value), 4) AS low, round(max(value), 4) AS high, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events")
@@ -227,7 +227,7 @@ def t8(spark, d):
 WHERE rule = 'topsis' QUALIFY row_number() OVER (PARTITION BY front_id ORDER BY round(score, 9) DESC, item_id) = 1""")
 def t12(spark, d):
     f = X.fronts(spark, d)
-    best = D.best_candidates(D.score_rule(f, "topsis", X.OBJECTIVES).select("front_id", "item_id", F.lit("topsis").alias("rule"), F.round("score", 9).alias("score")))
+    best = D.best_candidates(D.score_rule(f, "topsis", X.OBJECTIVES).select("front_id", "item_id", F.lit("topsis").alias("rule"), "score"), digits=9)
     return r6(best.join(f.select("front_id", "item_id", "price", "discount"), ["front_id", "item_id"]).drop("rule"))
 
 
@@ -270,13 +270,13 @@ def p29(spark, d):
     return f.groupBy("front_id").agg(F.count("*").alias("n"), (F.count_distinct("front_id") == 1).alias("one"))
 
 
-@query("f5_rule_ranks", _with(*_ST, _SUMMARY) + "SELECT method, position, round(avg_rank, 5) AS avg_rank, round(mean, 5) AS mean, position = 1 AS winner FROM stat JOIN summary USING (metric, method) WHERE metric = 'Regret@5'")
+@query("f5_rule_ranks", _with(*_ST, _SUMMARY) + "SELECT method, position, round(avg_rank, 5) AS avg_rank, (floor(mean * 1e5 + 0.5) / 1e5) AS mean, position = 1 AS winner FROM stat JOIN summary USING (metric, method) WHERE metric = 'Regret@5'")
 def f5(spark, d):
     joined = _ranks(spark, d).join(_summaries(spark, d), ["metric", "method"]).filter("metric = 'Regret@5'")
-    return joined.select("method", "position", F.round("avg_rank", 5).alias("avg_rank"), F.round("mean", 5).alias("mean"), (F.col("position") == 1).alias("winner"))
+    return joined.select("method", "position", F.round("avg_rank", 5).alias("avg_rank"), half_up("mean", 5).alias("mean"), (F.col("position") == 1).alias("winner"))
 
 
-@query("f8_curves", _with(*_METHODS, _SUMMARY) + "SELECT method, split_part(metric, '@', 2)::INT AS k, round(mean, 5) AS mean, round(std, 5) AS std FROM summary WHERE metric LIKE 'Regret@%'")
+@query("f8_curves", _with(*_METHODS, _SUMMARY) + "SELECT method, split_part(metric, '@', 2)::INT AS k, (floor(mean * 1e5 + 0.5) / 1e5) AS mean, round(std, 5) AS std FROM summary WHERE metric LIKE 'Regret@%'")
 def f8(spark, d):
-    s = S.summary(values(spark, d)).filter("metric LIKE 'Regret@%'")
-    return s.select("method", metric_k(F.col("metric")).alias("k"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+    s = _summaries(spark, d).filter("metric LIKE 'Regret@%'")
+    return s.select("method", metric_k(F.col("metric")).alias("k"), half_up("mean", 5).alias("mean"), F.round("std", 5).alias("std"))

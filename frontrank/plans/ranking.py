@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frontrank.functions import exact_mean, half_up
 from frontrank.operators import decision as D
 from frontrank.operators import labels as L
 from frontrank.operators import metrics as M
 from frontrank.plans import fixtures as X
-from frontrank.plans.registry import query, r6
+from frontrank.plans.registry import half_sql, mean_sql, query, r6
 
 KEYS = ["front_id", "item_id"]
 
@@ -206,14 +207,14 @@ def m9(spark, d):
     return r6(M.long_metrics(X.fronts(spark, d)))
 
 
-@query("m10_front_mean", _with(*_ALL) + "SELECT metric, round(avg(value), 6) AS value, count(value) AS n_fronts FROM long GROUP BY 1")
+@query("m10_front_mean", _with(*_ALL) + "SELECT metric, " + half_sql(mean_sql("value"), 6) + " AS value, count(value) AS n_fronts FROM long GROUP BY 1")
 def m10(spark, d):
-    return r6(M.front_mean(M.long_metrics(X.fronts(spark, d))))
+    return M.front_mean(M.long_metrics(X.fronts(spark, d))).withColumn("value", half_up("value", 6))
 
 
-@query("m11_evaluate", _with(*_ALL) + "SELECT metric, round(avg(value), 6) AS value, count(value) AS n_fronts FROM long WHERE metric LIKE '%@5' OR metric = 'Spearman' GROUP BY 1")
+@query("m11_evaluate", _with(*_ALL) + "SELECT metric, " + half_sql(mean_sql("value"), 6) + " AS value, count(value) AS n_fronts FROM long WHERE metric LIKE '%@5' OR metric = 'Spearman' GROUP BY 1")
 def m11(spark, d):
-    return r6(M.evaluate(X.fronts(spark, d), ks=(5,)))
+    return M.evaluate(X.fronts(spark, d), ks=(5,)).withColumn("value", half_up("value", 6))
 
 
 # ---- decision rules
@@ -282,10 +283,10 @@ def d11(spark, d):
     return r6(D.score_rule(X.fronts(spark, d), "topsis", X.OBJECTIVES).select(*KEYS, "score"))
 
 
-@query("d12_rule_scores", _with(*_SCORES) + "SELECT rule, count(*) AS n, round(avg(score), 6) AS mean, round(max(score), 6) AS most FROM scores GROUP BY 1")
+@query("d12_rule_scores", _with(*_SCORES) + "SELECT rule, count(*) AS n, " + half_sql(mean_sql("score"), 6) + " AS mean, round(max(score), 6) AS most FROM scores GROUP BY 1")
 def d12(spark, d):
     scores = D.rule_scores(X.fronts(spark, d), X.OBJECTIVES)
-    return r6(scores.groupBy("rule").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.max("score").alias("most")))
+    return scores.groupBy("rule").agg(F.count("*").alias("n"), half_up(exact_mean("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("most"))
 
 
 _RULE_FRONTS = "fronts_of AS (SELECT rule || ':' || front_id AS front_id, rule, front_id AS own, item_id, target, round(score, 9) AS score FROM scores)"
@@ -306,25 +307,24 @@ SELECT front_id, 'Regret@' || k AS metric, greatest(best - best_target, 0) AS va
 UNION ALL SELECT front_id, 'Hit@' || k, hit FROM topk))""")
 
 
-@query("d13_rules_evaluated", _with(*RULE_METRICS) + "SELECT rule, metric, round(avg(value), 5) AS value, count(*) AS n_fronts FROM methods GROUP BY 1, 2")
+@query("d13_rules_evaluated", _with(*RULE_METRICS) + "SELECT rule, metric, " + half_sql(mean_sql("value"), 5) + " AS value, count(*) AS n_fronts FROM methods GROUP BY 1, 2")
 def d13(spark, d):
-    means = rule_metrics(spark, d).groupBy("rule", "metric").agg(F.avg("value").alias("value"), F.count("*").alias("n_fronts"))
-    return means.withColumn("value", F.round("value", 5))
+    return rule_metrics(spark, d).groupBy("rule", "metric").agg(half_up(exact_mean("value"), 5).alias("value"), F.count("*").alias("n_fronts"))
 
 
 @query("d14_selected_by_rule", _with(*_SCORES) + """, b AS (SELECT rule, target FROM scores QUALIFY row_number() OVER (PARTITION BY front_id, rule ORDER BY round(score, 9) DESC, item_id) = 1)
-SELECT rule, count(*) AS n_fronts, round(avg(target), 5) AS mean_target FROM b GROUP BY 1""")
+SELECT rule, count(*) AS n_fronts, """ + half_sql(mean_sql("target"), 5) + " AS mean_target FROM b GROUP BY 1")
 def d14(spark, d):
     scores = D.rule_scores(X.fronts(spark, d), X.OBJECTIVES).withColumn("score", F.round("score", 9))
     best = D.best_candidates(scores).join(scores.select("front_id", "rule", "item_id", "target"), ["front_id", "rule", "item_id"])
-    return best.groupBy("rule").agg(F.count("*").alias("n_fronts"), F.round(F.avg("target"), 5).alias("mean_target"))
+    return best.groupBy("rule").agg(F.count("*").alias("n_fronts"), half_up(exact_mean("target"), 5).alias("mean_target"))
 
 
 @query("t1_best_candidates", _with(*_SCORES) + """
 SELECT front_id, rule, item_id, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY front_id, rule ORDER BY round(score, 9) DESC, item_id) = 1""")
 def t1(spark, d):
-    scores = D.rule_scores(X.fronts(spark, d), X.OBJECTIVES).withColumn("score", F.round("score", 9))
-    return r6(D.best_candidates(scores))
+    scores = D.rule_scores(X.fronts(spark, d), X.OBJECTIVES, keep=())
+    return r6(D.best_candidates(scores, digits=9))
 
 
 @query("p25_directed_objective", _with(X.FRONTS) + "SELECT front_id, item_id, -price AS price, discount FROM fronts")

@@ -25,7 +25,17 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-def r6(df: DataFrame, *also: str) -> DataFrame:
+def r6(df: DataFrame) -> DataFrame:
     """Doubles rounded to six digits, so that engines that add in another order agree."""
     made = {c: F.round(F.col(c), 6) for c, kind in df.dtypes if kind == "double"}
     return df.withColumns(made) if made else df
+
+
+def mean_sql(x: str) -> str:
+    """exact_mean in SQL."""
+    return f"(sum(floor({x} * 1e9 + 0.5)::HUGEINT)::DOUBLE / (1e9 * count({x})))"
+
+
+def half_sql(x: str, digits: int) -> str:
+    """half_up in SQL."""
+    return f"(floor({x} * 1e{digits} + 0.5) / 1e{digits})"
