@@ -217,9 +217,9 @@ def differences(met: DataFrame, docs: DataFrame) -> DataFrame:
 
 def candidates(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different class, among them all of similarity THRESHOLD that have a hub in common. members: (h, x, class)."""
-    found = written(differences(members.select("h", "x"), docs), "differences")
+    found = written(differences(members.select("h", "x"), docs).join(members, ["h", "x"]), "differences")
     of = ["h", "ht", "x", "xt"]
-    flat = found.select(*of, "n", "m", "d", F.explode("elements").alias("e"))
+    flat = found.select(*of, "class", "n", "m", "d", F.explode("elements").alias("e"))
     often = flat.groupBy("h", "ht", "e").agg(F.count("*").alias("often")).filter("often > 1")
     known = flat.join(often, ["h", "ht", "e"])
     own = Window.partitionBy(*of)
@@ -227,7 +227,7 @@ def candidates(members: DataFrame, docs: DataFrame) -> DataFrame:
     far = F.col("d") > C * (F.col("n") + F.col("m")) + 1e-9  # no link of the hub
     must = F.floor((F.col("d") + C * (F.col("m") - F.col("n"))) / 2 + 1e-9)  # to be shared with one that is no link: more than this
     some = F.greatest(F.lit(1), F.ceil((F.col("d") - C * (F.col("n") + F.col("m"))) / 2 - 1e-9))  # with a link of the hub: at least this
-    ends = placed.select(*of, "n", "d", "e", "u", "at", far.alias("far"), (F.col("u") - must).alias("p"), (F.col("u") - some + 1).alias("q")).join(members.select("h", "x", "class"), ["h", "x"])
+    ends = placed.select(*of, "class", "n", "d", "e", "u", "at", far.alias("far"), (F.col("u") - must).alias("p"), (F.col("u") - some + 1).alias("q"))
     ends = written(ends.filter("at <= p OR far AND at <= q"), "prefixes")
 
     def side(name: str, rows: DataFrame) -> DataFrame:
@@ -312,6 +312,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             if turn == 1:
                 alone = written(lone_shingles(docs, written(members.select("doc_id").distinct(), "open")), "alone")
             able = members.join(alone, "doc_id").withColumn("s", F.col("shingles") - F.col("alone")).filter(F.col("s") >= F.col("shingles") * (THRESHOLD - 1e-9))
+            least = able.groupBy("key").agg(F.min("shingles").alias("least"))  # no member can share more than s, nor be met by a smaller one
+            able = able.join(least, "key").filter(F.col("s") * (1 + THRESHOLD) >= (F.col("shingles") + F.col("least")) * (THRESHOLD - 1e-9)).drop("least")
             members = able.join(_open(able), "key")
         else:
             members = members.withColumn("s", F.col("shingles"))
