@@ -11,15 +11,16 @@ empty component go on with twice the time, so that signatures stay exact.
 Exact copies are folded first. The texts left are banded (ROWS components a band), and in each bucket members are
 compared with one member, the hub, that changes from round to round: work is linear in the bucket. A pair passes if the
 multiset Jaccard similarity of its whole texts is at least THRESHOLD. Pairs already in one class need no check. After
-the first round, shingles that no other open member has bound what a member can share; the second hub is the member
-with the fewest of them, which is close to what the copies were made from.
+the first round buckets are parted by size, and shingles that no other open member has bound what a member can share; the
+second hub is a small member with few of them, which is close to what the copies were made from or have in common, and
+the third the best that this one meets in any bucket.
 
 Members that still differ in class are then joined exactly, without making all pairs of a bucket. Each is written as its
 signed difference from its hub h: shingles added and shingles missing, each as often as it is (d of them). Similarity
 THRESHOLD of x and y means that d(x) + d(y) less twice what their differences share is at most C * (n(x) + n(y)), with
 C = (1 - THRESHOLD) / (1 + THRESHOLD). If x is no link of h, d(x) > C * (n(x) + n(h)), so the two must share more than
-(d(y) + C * (n(h) - n(y))) / 2 of y's difference: edits, not the common body. Differences that one member alone has are
-left out, the others ordered with the rarest first, and only pairs that share one among the first few (all but what must
+(d(y) + C * (n(h) - n(y))) / 2 of y's difference: edits, not the common body. Differences that one class alone has are
+left out, as are those that no such x has, the others ordered with the rarest first, and only pairs that share one among the first few (all but what must
 be shared, and one) with enough behind it are checked. No link between members of a bucket is lost. Signatures that
 agree in so few components that similarity THRESHOLD is 5 standard deviations off spare the check of the texts.
 
@@ -31,6 +32,7 @@ null doc_id has no class (null). An empty table gives an empty result. Extra col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from frontrank.llm.common import SHINGLE, bag, bag_jaccard, mixed, read, slices,
 
 SIZE, ROWS = 125, 5
 BANDS = SIZE // ROWS
-THRESHOLD, ROUNDS = 0.8, 2
+THRESHOLD, ROUNDS = 0.8, 3
 #: Two bags of n and m shingles reach THRESHOLD if they differ in at most C * (n + m).
 C = (1 - THRESHOLD) / (1 + THRESHOLD)
 #: Texts that one copy of a hub's text is joined to.
@@ -179,23 +181,18 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_texts(pairs, docs).mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def difference(hub: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A hash for each shingle that own has more often than hub or less often, for each time that it does."""
+def difference(hub: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each shingle that own has more often than hub or less often (one for either case), and how much."""
     _, i, j = np.intersect1d(hub[0], own[0], assume_unique=True, return_indices=True)
     less, more = hub[1].astype(np.int64), own[1].astype(np.int64)
     shared = np.minimum(less[i], more[j])
     less[i] -= shared
     more[j] -= shared
-    out = []
-    for sign, (hashes, left) in enumerate(((hub[0], less), (own[0], more))):
-        which = np.repeat(np.arange(len(left)), left)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(left) - left, left)
-        out.append(mixed(hashes[which] + _B * (2 * nth + sign + 1).astype(np.uint64)))
-    return np.concatenate(out)
+    return np.concatenate([mixed(hub[0][less > 0] + _A), mixed(own[0][more > 0] + _B)]), np.concatenate([less[less > 0], more[more > 0]])
 
 
 def differences(met: DataFrame, docs: DataFrame) -> DataFrame:
-    """For pairs (h, x) of a hub and a member: h, ht, x, xt, n and m (shingles of x and of h), d and its elements.
+    """For pairs (h, x) of a hub and a member: h, ht, x, xt, n and m (shingles of x and of h), d, its elements and their weights.
 
     ht and xt are hashes of the texts: a doc_id may stand for several.
     """
@@ -205,37 +202,39 @@ def differences(met: DataFrame, docs: DataFrame) -> DataFrame:
 
         for batch, bags in _by_head(batches):
             found = [difference(x, y) for x, y in bags]
-            sizes = np.array([len(f) for f in found])
+            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+            elements = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]).view(np.int64))) for i in (0, 1)]
             hashes = [pa.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in batch.column(i).to_pylist()], pa.int64()) for i in (2, 3)]
             counts = [pa.array([int(b[i][1].sum()) for b in bags], pa.int64()) for i in (1, 0)]
-            elements = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hashes[0], batch.column(1), hashes[1], *counts, pa.array(sizes, pa.int64()), elements], ["h", "ht", "x", "xt", "n", "m", "d", "elements"])
+            total = pa.array([int(f[1].sum()) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes[0], batch.column(1), hashes[1], *counts, total, *elements], ["h", "ht", "x", "xt", "n", "m", "d", "elements", "weights"])
 
     pairs = met.select(F.col("h").alias("a"), F.col("x").alias("b"))
-    return with_texts(pairs, docs).mapInArrow(run, "h long, ht long, x long, xt long, n long, m long, d long, elements array<long>").dropDuplicates(["h", "ht", "x", "xt"])
+    return with_texts(pairs, docs).mapInArrow(run, "h long, ht long, x long, xt long, n long, m long, d long, elements array<long>, weights array<long>").dropDuplicates(["h", "ht", "x", "xt"])
 
 
 def candidates(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different class, among them all of similarity THRESHOLD that have a hub in common. members: (h, x, class)."""
     found = written(differences(members.select("h", "x"), docs).join(members, ["h", "x"]), "differences")
     of = ["h", "ht", "x", "xt"]
-    flat = found.select(*of, "class", "n", "m", "d", F.explode("elements").alias("e"))
-    often = flat.groupBy("h", "ht", "e").agg(F.count("*").alias("often")).filter("often > 1")
+    far = F.col("d") > C * (F.col("n") + F.col("m")) + 1e-9  # no link of the hub; one of a pair is
+    flat = found.select(*of, "class", "n", "m", "d", far.alias("far"), F.explode(F.arrays_zip("elements", "weights")).alias("e"))
+    flat = flat.withColumns({"e": F.col("e.elements"), "w": F.col("e.weights")})
+    often = flat.groupBy("h", "ht", "e").agg(F.count("*").alias("often"), F.min("class").alias("low"), F.max("class").alias("high"), F.bool_or("far").alias("some")).filter("low < high AND some").select("h", "ht", "e", "often")
     known = flat.join(often, ["h", "ht", "e"])
-    own = Window.partitionBy(*of)
-    placed = known.withColumn("u", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("often", "e")))
-    far = F.col("d") > C * (F.col("n") + F.col("m")) + 1e-9  # no link of the hub
-    must = F.floor((F.col("d") + C * (F.col("m") - F.col("n"))) / 2 + 1e-9)  # to be shared with one that is no link: more than this
-    some = F.greatest(F.lit(1), F.ceil((F.col("d") - C * (F.col("n") + F.col("m"))) / 2 - 1e-9))  # with a link of the hub: at least this
-    ends = placed.select(*of, "class", "n", "d", "e", "u", "at", far.alias("far"), (F.col("u") - must).alias("p"), (F.col("u") - some + 1).alias("q"))
-    ends = written(ends.filter("at <= p OR far AND at <= q"), "prefixes")
+    # What is left of a difference from each element on, rarest first: two can't share more than that behind the first that they share.
+    left = F.sum("w").over(Window.partitionBy(*of).orderBy(F.desc("often"), F.desc("e")).rowsBetween(Window.unboundedPreceding, 0))
+    must = F.floor((F.col("d") + C * (F.col("m") - F.col("n"))) / 2 + 1e-9)  # to be shared with one that is far: more than this
+    some = F.greatest(F.lit(1), F.ceil((F.col("d") - C * (F.col("n") + F.col("m"))) / 2 - 1e-9))  # with one that isn't: at least this
+    ends = known.select(*of, "class", "n", "d", "e", "far", left.alias("left"), (must + 1).alias("must"), some.alias("some"))
+    ends = written(ends.filter("left >= must OR far AND left >= some"), "prefixes")
 
     def side(name: str, rows: DataFrame) -> DataFrame:
-        return rows.select("h", "ht", "e", *[F.col(c).alias(f"{c}{name}") for c in ("x", "n", "d", "u", "at", "class")])
+        return rows.select("h", "ht", "e", *[F.col(c).alias(f"{c}{name}") for c in ("x", "n", "d", "left", "class")])
 
-    enough = f"classa <> classb AND least(ua - ata, ub - atb) + 1 >= (da + db - {C!r} * (na + nb)) / 2 - 1e-9"
-    both_far = side("a", ends.filter("far AND at <= p")).join(side("b", ends.filter("far AND at <= p")), ["h", "ht", "e"]).filter(f"xa < xb AND {enough}")
-    one_far = side("a", ends.filter("far AND at <= q")).join(side("b", ends.filter("NOT far AND at <= p")), ["h", "ht", "e"]).filter(enough)
+    enough = f"classa <> classb AND least(lefta, leftb) >= (da + db - {C!r} * (na + nb)) / 2 - 1e-9"
+    both_far = side("a", ends.filter("far AND left >= must")).join(side("b", ends.filter("far AND left >= must")), ["h", "ht", "e"]).filter(f"xa < xb AND {enough}")
+    one_far = side("a", ends.filter("far AND left >= some")).join(side("b", ends.filter("NOT far AND left >= must")), ["h", "ht", "e"]).filter(enough)
     return both_far.union(one_far).select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")).distinct()
 
 
@@ -288,6 +287,13 @@ def folded(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(classes.join(joined, "class", "left").select("node", F.coalesce("to", "class").alias("class")), "classes")
 
 
+def by_size(members: DataFrame) -> DataFrame:
+    """Buckets parted by numbers of shingles: two members that can be linked share one of the parts."""
+    step = -log(THRESHOLD) * (1 + 1e-6)
+    part = F.floor(F.log("shingles") / step).cast("int")
+    return members.withColumn("part", F.explode(F.array(part, part - 1))).withColumn("key", F.xxhash64("key", "part"))
+
+
 def _open(members: DataFrame) -> DataFrame:
     """Buckets (key) whose members are of more than one class."""
     return members.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x < y").select("key")
@@ -307,8 +313,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     within = "least(sa, sb) >= {t} * (na + nb - least(sa, sb))".format(t=THRESHOLD - 1e-9)
     for turn in range(ROUNDS + 1):
         members = shared.join(classes.select(F.col("node").alias("doc_id"), "class"), "doc_id")
-        if turn:  # only buckets in which classes still differ
-            members = members.join(_open(members), "key")
+        if turn:  # only buckets in which classes still differ, parted by size
+            members = by_size(members.join(_open(members), "key"))
             if turn == 1:
                 alone = written(lone_shingles(docs, written(members.select("doc_id").distinct(), "open")), "alone")
             able = members.join(alone, "doc_id").withColumn("s", F.col("shingles") - F.col("alone")).filter(F.col("s") >= F.col("shingles") * (THRESHOLD - 1e-9))
@@ -316,11 +322,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             able = able.join(least, "key").filter(F.col("s") * (1 + THRESHOLD) >= (F.col("shingles") + F.col("least")) * (THRESHOLD - 1e-9)).drop("least")
             members = able.join(_open(able), "key")
         else:
-            members = members.withColumn("s", F.col("shingles"))
+            members = members.withColumns({"s": F.col("shingles"), "part": F.lit(0)})
         if turn < ROUNDS:
-            order = F.struct((1 - F.col("s") / F.col("shingles")).alias("alone"), "doc_id", "class", "s", "shingles")
-            hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.doc_id").alias("h"), F.col("hub.class").alias("hc"), F.col("hub.s").alias("sb"), F.col("hub.shingles").alias("nb"))
-            hubs = written(hubs, "hubs")
+            share = 1 - F.col("s") / F.col("shingles")
+            order = F.struct(F.floor(share * 25).alias("few"), F.floor(F.log("shingles") * 20).alias("size"), share.alias("alone"), "doc_id", "class", "s", "shingles")
+            hubs = members.groupBy("key", "part").agg(F.min(order).alias("hub"))
+            if turn == ROUNDS - 1:  # the hub of a bucket gives way to the best hub that it meets in another, so that buckets of one text share it
+                hubs = written(hubs, "own")
+                met = members.select("key", "doc_id").join(hubs, "key").groupBy("doc_id", "part").agg(F.min("hub").alias("best"))
+                hubs = hubs.join(met.withColumnRenamed("part", "own"), (F.col("hub.doc_id") == F.col("doc_id")) & (F.col("part") == F.col("own"))).select("key", F.col("best").alias("hub"))
+            hubs = written(hubs.select("key", F.col("hub.doc_id").alias("h"), F.col("hub.class").alias("hc"), F.col("hub.s").alias("sb"), F.col("hub.shingles").alias("nb")), "hubs")
             met = members.join(hubs, "key").withColumnsRenamed({"s": "sa", "shingles": "na"}).filter("class <> hc").filter(within)
             pairs = met.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct()
         else:
