@@ -157,6 +157,20 @@ def best_candidates(scores: DataFrame, digits: int | None = None) -> DataFrame:
     return scores.groupBy(FRONT, "rule").agg(F.max_by(F.struct(ITEM, "score"), F.struct(by, -F.col(ITEM))).alias("b")).select(FRONT, "rule", "b.*")
 
 
+def case_faults(df: DataFrame, case: str, objectives: Sequence[str], weights: Sequence[str] = ()) -> DataFrame:
+    """(case, fault): cases of more than one front, and those that miss values of an objective or weight."""
+    per = df.groupBy(case).agg(F.count_distinct(FRONT).alias("fronts"), *[F.count_if(F.col(c).isNull()).alias(f"__{c}") for c in (*objectives, *weights)])
+    missing = [F.when(F.col(f"__{c}") > 0, F.concat(F.lit("no "), F.lit(c))) for c in (*objectives, *weights)]
+    return per.select(case, F.explode(F.array_compact(F.array(F.when(F.col("fronts") > 1, "several fronts"), *missing))).alias("fault"))
+
+
+def selectable(candidates: DataFrame, reports: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, selectable, reason): a candidate needs a report and a value that is there and not negative."""
+    has = reports.select(key).distinct().withColumn("__has", F.lit(True))
+    reason = F.when(F.col("__has").isNull(), "no report").when(F.col(value).isNull() | (F.col(value) < 0), "negative").otherwise("ok")
+    return candidates.join(has, key, "left").select(key, (reason == "ok").alias("selectable"), reason.alias("reason"))
+
+
 def direction_faults(objectives: DataFrame, columns: DataFrame) -> DataFrame:
     """Objectives (objective, direction) that name no column or no known direction. columns: (column)."""
     missing = objectives.join(columns, objectives["objective"] == columns["column"], "left_anti").select("objective", F.lit("no such column").alias("fault"))

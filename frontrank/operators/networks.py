@@ -260,6 +260,17 @@ def network_features(edges: DataFrame, blocks: Sequence[str] = ("global", "stren
     return joined.select(NET, *[F.col(c).alias(f"grn_{c}") for c in joined.columns if c != NET])
 
 
+def build_data(candidates: DataFrame, weights: DataFrame, edges: DataFrame, expression: DataFrame, blocks: Sequence[str] = ("global", "reciprocity")) -> DataFrame:
+    """candidates (front_id, net_id, ...) with the features of their consensus networks and of their front's expression.
+
+    weights: (net_id, technique, weight); edges: (technique, src, dst, w); expression: a row for each front_id with columns
+    expr_<...>. Candidates without a network keep nulls. Feature columns come last, in order of their names.
+    """
+    grown = network_features(consensus(positive_weights(weights), edges), blocks)
+    joined = candidates.join(grown, NET, "left").join(expression, "front_id", "left")
+    return joined.select(*candidates.columns, *sorted(c for c in joined.columns if c not in candidates.columns))
+
+
 def ranked_edges(edges: DataFrame) -> DataFrame:
     """edge_rank of each edge in its network: heaviest first, then by name."""
     return edges.withColumn("edge_rank", F.row_number().over(Window.partitionBy(NET).orderBy(F.desc("w"), "src", "dst")))

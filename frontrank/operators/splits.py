@@ -46,18 +46,43 @@ def parsed_names(df: DataFrame, name: str = "front_name") -> DataFrame:
     return df.withColumns({"family": found[0], "source": found[1], "size": found[2].try_cast("int"), "condition": found[3]})
 
 
+def lightest_folds(counts: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[int]]]:
+    """Folds for fronts of each size, largest first, each to the lightest fold: (size, the first folds, then a cycle of k).
+
+    counts: (size, fronts). Once loads differ by less than one front's size, equal fronts go round in one order.
+    """
+    loads, out = [0] * k, []
+    for size, n in sorted(counts, reverse=True):
+        head: list[int] = []
+        while len(head) < n and max(loads) - min(loads) >= size:
+            fold = loads.index(min(loads))
+            loads[fold] += size
+            head.append(fold)
+        cycle = sorted(range(k), key=lambda f: (loads[f], f))
+        rest = n - len(head)
+        for i, fold in enumerate(cycle):
+            loads[fold] += size * (rest // k + (i < rest % k))
+        out.append((size, head, cycle))
+    return out
+
+
 def balanced_folds(df: DataFrame, k: int = 5) -> DataFrame:
-    """(front_id, n_items, fold): fronts by size go to folds in turn, there and back, so that loads stay level.
+    """(front_id, n_items, fold): the largest front goes to the lightest fold, and so on; equal fronts by hash.
 
-    Ranks come from counts of sizes and a window inside each size, so no window runs over all fronts.
+    The driver sees how many fronts there are of each size (a row for each size). Places among fronts of one size come
+    from counts by the first digits of their hashes and a window inside each, so no window runs over all fronts.
     """
-    sizes = df.groupBy("front_id").agg(F.count("*").alias("n_items"))
-    per = sizes.groupBy("n_items").agg(F.count("*").alias("c"))
-    larger = per.alias("a").join(per.alias("b"), F.col("b.n_items") > F.col("a.n_items"), "left").groupBy(F.col("a.n_items").alias("n_items")).agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))
-    placed = sizes.withColumn("i", F.row_number().over(Window.partitionBy("n_items").orderBy(split_key(0, F.col("front_id")), "front_id"))).join(larger, "n_items")
-    at = F.col("before") + F.col("i") - 1
-    turn = F.pmod(at, F.lit(2 * k))
-    return placed.select("front_id", "n_items", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    sizes = df.groupBy("front_id").agg(F.count("*").alias("n_items")).withColumn("hash", split_key(0, F.col("front_id")))
+    sizes = materialized(sizes.withColumn("part", F.substring("hash", 1, 3)), "sizes")
+    per = sizes.groupBy("n_items", "part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("n_items").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("n_items", "part").orderBy("hash", "front_id"))
+    placed = sizes.withColumn("own", own).join(per.select("n_items", "part", before.alias("before")), ["n_items", "part"]).withColumn("i", F.col("before") + F.col("own") - 1)
+    counts = [tuple(r) for r in sizes.groupBy("n_items").count().collect()]
+    folds = df.sparkSession.createDataFrame(lightest_folds(counts, k), "n_items long, head array<int>, cycle array<int>")
+    late = F.col("i") - F.size("head")
+    fold = F.when(late < 0, F.get("head", F.col("i").cast("int"))).otherwise(F.get("cycle", F.pmod(late, F.lit(k)).cast("int")))
+    return placed.join(folds, "n_items").select("front_id", "n_items", fold.alias("fold"))
 
 
 def test_quotas(families: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -107,6 +132,13 @@ def diverse_test_fronts(families: DataFrame, quotas: DataFrame, seed: int = 42)
     return chosen.select("front_id", "family", "turn") if chosen is not None else families.select("front_id", "family", F.lit(0).alias("turn")).limit(0)
 
 
+def audited_split(families: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """families with the split of quotas and diverse test fronts; the fraction must lie between 0 and 1."""
+    if not 0.0 < fraction < 1.0:
+        raise ValueError("the test fraction must be between 0 and 1")
+    return assigned(families, diverse_test_fronts(families, test_quotas(families, fraction, seed), seed))
+
+
 def assigned(families: DataFrame, chosen: DataFrame) -> DataFrame:
     return families.join(chosen.select("front_id", F.lit(TEST).alias("split")), "front_id", "left").withColumn("split", F.coalesce("split", F.lit(DEVELOPMENT)))
 
@@ -146,6 +178,12 @@ def split_crosstab(df: DataFrame) -> DataFrame:
 PREFIXES = {"technique_weights": ["GRN_"], "expression": ["expr_", "exp_", "ts_"], "network": ["grn_", "net_", "entropy_"]}
 
 
+def catalog(df: DataFrame) -> DataFrame:
+    """(column, position, n_values, n_numbers) of each column: values that are there, and those that are numbers."""
+    of = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.count(c).alias("n_values"), F.count(F.col(c).cast("string").try_cast("double")).alias("n_numbers")) for i, c in enumerate(df.columns)]
+    return df.agg(F.array(*of).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def classified(columns: DataFrame, control: Sequence[str] = ("front_id", "item_id"), target: str = "AUPR") -> DataFrame:
     """kind of each column name: control, target, one of PREFIXES, or objective_or_metadata."""
     c = F.col("column")

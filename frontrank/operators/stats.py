@@ -149,6 +149,25 @@ def selected(summaries: DataFrame, ranks: DataFrame, n: int = 1, over: Sequence[
     return wide.orderBy(*keys).limit(n)
 
 
+def cv_summary(values: DataFrame, required: Sequence[str] = ()) -> DataFrame:
+    """A cross-validation report as a whole: mean, std and n of each method and metric, its place, and its average rank.
+
+    values: (method, front_id, metric, value). Metrics in `required` must be there, else it raises.
+    """
+    if required:
+        have = {r[0] for r in values.select("metric").filter(F.col("metric").isin(*required)).distinct().collect()}
+        if missing := sorted(set(required) - have):
+            raise ValueError(f"missing metrics: {', '.join(missing)}")
+    ranks = rank_stats(values).select("metric", "method", "avg_rank", "friedman", "z")
+    return leaderboard(summary(values)).join(ranks, ["metric", "method"], "left")
+
+
+def comparison_summary(values: DataFrame, primary: str = "Regret@5") -> DataFrame:
+    """Means over common fronts with the tests of the primary metric: the final comparison, and likewise ablations and baselines."""
+    tests = rank_tests(values.filter(F.col("metric") == primary)).select("method", "z", "friedman", "p_holm", "significant")
+    return comparison(values).join(tests, "method", "left")
+
+
 def comparison(values: DataFrame) -> DataFrame:
     """Over fronts that all methods share: mean, std (0 for one front), fronts, mean rank."""
     ranked = method_ranks(paired(values))

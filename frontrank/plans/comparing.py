@@ -70,7 +70,8 @@ def s7(spark, d):
 
 @query("s17_rank_tests")
 def s17(spark, d):
-    return S.rank_tests(values(spark, d))
+    t = S.rank_tests(values(spark, d))
+    return t.withColumns({c: F.round(c, n) for c, n in (("avg_rank", 5), ("friedman", 3), ("z", 4), ("friedman_p", 5), ("p", 5), ("p_holm", 5))})
 
 
 @query("s4_holm", _with(*_METHODS) + """, p AS (SELECT metric, method, round(avg(value) / (1 + avg(value)) / 10, 9) AS p FROM v WHERE metric LIKE 'Regret@%' GROUP BY 1, 2),

@@ -108,7 +108,7 @@ def l12(spark, d):
 
 @query("f1_screening_table")
 def f1(spark, d):
-    return G.screening_table(S.rank_tests(values(spark, d).filter("metric = 'Regret@5'")), ["topsis"])
+    return G.screening_table(S.rank_tests(values(spark, d).filter("metric = 'Regret@5'")), ["topsis"]).withColumn("avg_rank", F.round("avg_rank", 5))
 
 
 _PLACE = """place AS (SELECT method, row_number() OVER (ORDER BY round(avg(rank), 7), method) AS place FROM (SELECT method, front_id,

@@ -73,10 +73,10 @@ def a17(spark, d):
     return T.require(read, ["method", "metric", "mean"]).select("method", "metric", half_up("mean", 5).alias("mean"), "n")
 
 
-@query("a20_json_reports")
+@query("a20_json_reports", _with(*_METHODS) + "SELECT method AS model, 0 AS fold, count(DISTINCT front_id) AS n_fronts, string_agg(DISTINCT metric, ',' ORDER BY metric) AS metrics FROM v GROUP BY 1")
 def a20(spark, d):
     v = values(spark, d).select(F.col("method").alias("model"), F.lit(0).alias("fold"), "front_id", "metric", "value")
-    return T.reports(v).select("model", "fold", F.size("groups").alias("n_fronts"), F.map_keys("agg").alias("metrics"))
+    return T.reports(v).select("model", "fold", F.size("groups").cast("long").alias("n_fronts"), F.array_join(F.map_keys("agg"), ",").alias("metrics"))
 
 
 # ---- filters and names
@@ -236,7 +236,7 @@ def f3(spark, d):
     v = values(spark, d).filter("metric = 'Regret@5'")
     s = splits(spark, d).select("front_id", "split")
     both = {k: S.rank_stats(v.join(s.filter(F.col("split") == k), "front_id", "left_semi")) for k in ("development", "test")}
-    return G.ablation_table(both["development"], both["test"], "topsis")
+    return G.ablation_table(both["development"], both["test"]).withColumns({c: F.round(c, 5) for c in ("dev_rank", "test_rank")})
 
 
 @query("t3_edges_to_cutoff", _with(*_EDGE_RANKS) + "SELECT method, src, dst, edge_rank FROM g WHERE edge_rank <= 50")
@@ -258,16 +258,8 @@ def t7(spark, d):
 @query("p12_selectable", """SELECT c_custkey AS candidate, c_acctbal >= 0 AND n IS NOT NULL AS selectable, CASE WHEN n IS NULL THEN 'no report' WHEN c_acctbal < 0 THEN 'negative' ELSE 'ok' END AS reason
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def p12(spark, d):
-    n = X.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    c = X.table(spark, d, "customer").join(n, "c_custkey", "left")
-    reason = F.when(F.col("n").isNull(), "no report").when(F.col("c_acctbal") < 0, "negative").otherwise("ok")
-    return c.select(F.col("c_custkey").alias("candidate"), (reason == "ok").alias("selectable"), reason.alias("reason"))
-
-
-@query("p29_one_front", _with(X.FRONTS) + "SELECT front_id, count(*) AS n, count(DISTINCT front_id) = 1 AS one FROM fronts GROUP BY 1")
-def p29(spark, d):
-    f = T.require(X.fronts(spark, d), list(X.OBJECTIVES))
-    return f.groupBy("front_id").agg(F.count("*").alias("n"), (F.count_distinct("front_id") == 1).alias("one"))
+    c = X.table(spark, d, "customer").withColumnRenamed("c_custkey", "candidate")
+    return D.selectable(c, X.table(spark, d, "orders").withColumnRenamed("o_custkey", "candidate"), "candidate", "c_acctbal")
 
 
 @query("f5_rule_ranks", _with(*_ST, _SUMMARY) + "SELECT method, position, round(avg_rank, 5) AS avg_rank, (floor(mean * 1e5 + 0.5) / 1e5) AS mean, position = 1 AS winner FROM stat JOIN summary USING (metric, method) WHERE metric = 'Regret@5'")

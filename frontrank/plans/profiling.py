@@ -107,7 +107,7 @@ def e9(spark, d):
 
 @query("e10_expression_features")
 def e10(spark, d):
-    return E.expression_features(cells(spark, d), ("global", "gene", "condition", "time"))
+    return r4(E.expression_features(cells(spark, d), ("global", "gene", "condition", "time")))
 
 
 @query("j3_attached_features", _with(*_C) + """, g AS (SELECT front_id AS block, round(avg(value), 4) AS expr_mean FROM cells GROUP BY 1)
@@ -155,9 +155,11 @@ def p7(spark, d):
 # ---- splits
 
 
-@query("w12_balanced_folds", _with(X.FRONTS) + """, s AS (SELECT front_id, count(*) AS n_items FROM fronts GROUP BY 1),
-o AS (SELECT *, (row_number() OVER (ORDER BY n_items DESC, substr(sha256('0:' || front_id), 1, 16), front_id) - 1) % 10 AS t FROM s)
-SELECT front_id, n_items, (CASE WHEN t < 5 THEN t ELSE 9 - t END)::INT AS fold FROM o""")
+@query("w12_balanced_folds", "WITH RECURSIVE " + X.FRONTS + """, s AS (SELECT front_id, count(*) AS n_items FROM fronts GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY n_items DESC, substr(sha256('0:' || front_id), 1, 16), front_id) AS i FROM s),
+r(i, fold, loads) AS (SELECT 0::BIGINT, -1::BIGINT, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL SELECT o.i, list_position(loads, list_min(loads)) - 1,
+list_transform(loads, lambda x, j: x + CASE WHEN j = list_position(loads, list_min(loads)) THEN o.n_items ELSE 0 END) FROM r JOIN o ON o.i = r.i + 1)
+SELECT front_id, n_items, fold::INT AS fold FROM o JOIN r USING (i)""")
 def w12(spark, d):
     return P.balanced_folds(X.fronts(spark, d))
 
@@ -256,46 +258,6 @@ def a11(spark, d):
     return T.split_faults(X.families(spark, d).select((F.col("front_id") % 500).alias("front_id"), split.alias("split")))
 
 
-def _columns(spark, d, table):
-    names = X.table(spark, d, table).columns
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "column string, position int")
-
-
-@query("p3_column_kinds", "SELECT column_name AS \"column\", 'objective_or_metadata' AS kind FROM (DESCRIBE lineitem)")
-def p3(spark, d):
-    return P.classified(_columns(spark, d, "lineitem")).select("column", "kind")
-
-
-def _blocks(spark, d):
-    rules = spark.createDataFrame([("keys", None, "l_order"), ("keys", "l_partkey", None), ("money", "l_tax", None), ("money", None, "l_ex"), ("flags", None, "l_re"), ("flags", "l_tax", None)], "block string, column string, prefix string")
-    return P.resolved_blocks(_columns(spark, d, "lineitem"), rules)
-
-
-_B = "b(block, \"column\") AS (VALUES ('keys', 'l_orderkey'), ('keys', 'l_partkey'), ('money', 'l_extendedprice'), ('money', 'l_tax'), ('flags', 'l_tax'), ('flags', 'l_returnflag'))"
-
-
-@query("p4_feature_blocks", _with(_B) + "SELECT * FROM b WHERE \"column\" IN (SELECT column_name FROM (DESCRIBE lineitem))")
-def p4(spark, d):
-    return _blocks(spark, d).select("block", "column")
-
-
-@query("s26_shared_columns", _with(_B) + "SELECT \"column\", count(*) AS n_blocks FROM b GROUP BY 1 HAVING count(*) > 1")
-def s26(spark, d):
-    return P.shared_columns(_blocks(spark, d)).select("column", "n_blocks")
-
-
-@query("p5_feature_sets", _with(_B) + "SELECT s.s AS feature_set, string_agg(DISTINCT \"column\", ',' ORDER BY \"column\") AS columns FROM b JOIN (VALUES ('full', 'keys'), ('full', 'money'), ('lean', 'keys')) s(s, block) USING (block) GROUP BY 1")
-def p5(spark, d):
-    sets = spark.createDataFrame([("full", "keys"), ("full", "money"), ("lean", "keys")], "feature_set string, block string")
-    return P.resolved_sets(_blocks(spark, d), sets).select("feature_set", F.array_join(F.array_sort("columns"), ",").alias("columns"))
-
-
-@query("p6_ablation_order", "SELECT * FROM (VALUES ('full', 1), ('lean', 2), ('extra', 3)) t(feature_set, \"order\")")
-def p6(spark, d):
-    sets = _blocks(spark, d).select(F.when(F.col("block") == "keys", "lean").when(F.col("block") == "money", "full").otherwise("extra").alias("feature_set"))
-    return P.ordered_sets(sets, ["full", "lean"])
-
-
 @query("s25_contract_faults", """SELECT 'l_weight' AS "column", 'missing' AS fault UNION ALL SELECT 'l_tax', 'forbidden' UNION ALL SELECT 'l_shipdate', 'unassigned' UNION ALL SELECT 'l_returnflag', 'not numeric' WHERE EXISTS (SELECT 1 FROM lineitem)""")
 def s25(spark, d):
     df = X.table(spark, d, "lineitem").select("l_tax", "l_quantity", "l_returnflag", "l_shipdate")
@@ -334,12 +296,6 @@ def p32(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", row_fingerprint("o_orderkey", "o_custkey", "o_totalprice").alias("fingerprint"))
 
 
-@query("p28_ranked_faults", """SELECT count(*) AS n, count(*) FILTER (l_discount IS NULL) AS null_scores, count(*) FILTER (try_cast(l_returnflag AS DOUBLE) IS NULL) AS text_values FROM lineitem""")
-def p28(spark, d):
-    line = X.table(spark, d, "lineitem")
-    return line.agg(F.count("*").alias("n"), F.count_if(F.col("l_discount").isNull()).alias("null_scores"), F.count_if(lenient("l_returnflag").isNull()).alias("text_values"))
-
-
 # ---- evidence
 
 _EV = "ev AS (SELECT DISTINCT 'N' || lpad(s_nationkey::VARCHAR, 2, '0') AS source, 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS target FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 0.08 AND l_quantity > 48 AND s_nationkey <> c_nationkey)"

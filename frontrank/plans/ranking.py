@@ -332,15 +332,6 @@ def p25(spark, d):
     return X.fronts(spark, d).select(*KEYS, D.directed("price", "minimize").alias("price"), D.directed("discount", "maximize").alias("discount"))
 
 
-@query("p26_direction_faults", """WITH o(objective, direction) AS (VALUES ('l_tax', 'minimize'), ('l_discount', 'up'), ('l_weight', 'maximize'))
-SELECT objective, 'no such column' AS fault FROM o WHERE objective NOT IN (SELECT column_name FROM (DESCRIBE lineitem))
-UNION ALL SELECT objective, 'unknown direction' FROM o WHERE direction NOT IN ('minimize', 'maximize')""")
-def p26(spark, d):
-    columns = spark.createDataFrame([(c,) for c in X.table(spark, d, "lineitem").columns], "column string")
-    objectives = spark.createDataFrame([("l_tax", "minimize"), ("l_discount", "up"), ("l_weight", "maximize")], "objective string, direction string")
-    return D.direction_faults(objectives, columns)
-
-
 def flagship(spark, sf_dir):
     """Mean regret and hit rate of TOPSIS over all fronts."""
     ranked = D.score_rule(X.fronts(spark, sf_dir), "topsis", X.OBJECTIVES)

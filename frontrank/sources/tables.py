@@ -108,6 +108,30 @@ def write_table(df: DataFrame, path: str, existing: str = "default", kind: str =
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+def read_figure_table(spark: SparkSession, path: str, schema: str, required: Sequence[str]) -> DataFrame:
+    """A rank, metric or test table for figures from CSV with a header: required columns must be there, others that are absent are null.
+
+    Only the header line is looked at for names; the schema has the types.
+    """
+    text = require(spark.read.csv(path, header=True), required)
+    wanted = spark.createDataFrame([], schema).schema
+    return text.select(*[(F.col(f"`{f.name}`") if f.name in text.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def ranked_faults(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, rows, nulls, texts) of a ranked table's columns: missing values, and values that aren't numbers."""
+    of = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(F.col(c).isNotNull() & lenient(F.col(c).cast("string")).isNull()).alias("texts")) for c in require(df, columns).select(*columns).columns]
+    return df.agg(F.array(*of).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def checked_ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df, if its columns are there without nulls and hold numbers only; else an error that names the faults."""
+    faults = ranked_faults(df, columns).filter("nulls > 0 OR texts > 0").collect()  # a row for each named column at most
+    if faults:
+        raise ValueError("; ".join(f"{r['column']}: {r['nulls']} nulls, {r['texts']} texts" for r in faults))
+    return df
+
+
 def json_clean(df: DataFrame) -> DataFrame:
     """NaN and infinities of all double columns as null."""
     return df.withColumns({c: no_nan(F.col(c)) for c, kind in df.dtypes if kind == "double"})
