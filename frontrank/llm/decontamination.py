@@ -12,7 +12,7 @@ more.) Items of fewer than five words use one shingle of all their words; a text
 Items are taken in blocks of about ITEMS; each block goes to all tasks and passes once over the documents, so memory
 stays bounded for a benchmark of any size. Documents are never shuffled.
 
-Null and empty texts hold no passage, empty items match nothing. Rows that repeat give results that repeat. An empty
+Null and empty texts hold no passage, empty items match nothing; an item without an id is compared like any other. Rows that repeat give results that repeat. An empty
 table gives an empty result (no document is dropped if the benchmark is empty). Extra columns are passed through by
 `decontaminated` and ignored elsewhere.
 """
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from frontrank.llm.common import SHINGLE, bag, bag_jaccard, read, shingle_hashes, slices, small_batches, texts, word_hashes
 
 THRESHOLD, RADIUS, BLOCKS, ITEMS = 0.8, 23, 8, 5000
+#: Windows times items that are looked at together in a text.
+WINDOWS = 1 << 20
 _FOUND = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
 _FILTER = 22
 _FLIPS = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)])
@@ -47,10 +49,19 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little")
 
 
+def in_reach(starts: np.ndarray, reach: int) -> Iterator[np.ndarray]:
+    """Sorted starts in runs that lie within so many places, so that sums and tables stay small in a text of any length."""
+    begin = 0
+    while begin < len(starts):
+        end = int(np.searchsorted(starts, starts[begin] + reach))
+        yield starts[begin:end]
+        begin = end
+
+
 class Items:
     """A block of benchmark items, by shingle size and by number of words."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[int | None, str | None]]) -> None:
         words, offsets = word_hashes(pa.array([t or "" for _, t in rows], pa.string()))
         self.ids, self.bags, self.size = [r[0] for r in rows], [], np.diff(offsets)
         self.holders: dict[int, dict[int, list[int]]] = {}
@@ -89,16 +100,17 @@ class Items:
             items, span = np.array(sorted(found)), min(size, len(words))
             starts = np.unique((hits[:, None] - np.arange(span - k + 1)).ravel())
             starts = starts[(starts >= 0) & (starts <= len(words) - span)]
-            first, last = int(starts[0]), int(starts[-1]) + span - k + 1
-            sums = bit_sums(hashes[first:last])
-            prints = fingerprints(sums[starts - first + span - k + 1] - sums[starts - first])
-            at, which = np.nonzero(self.near(prints, items))
-            away = _FLIPS[prints[at], self.prints[items[which]]].sum(axis=1)
             best: dict[int, tuple] = {}
-            for x, i, d in zip(starts[at[away <= RADIUS]].tolist(), items[which[away <= RADIUS]].tolist(), away[away <= RADIUS].tolist(), strict=True):
-                similar = bag_jaccard(self.bags[i], np.unique(hashes[x : x + span - k + 1], return_counts=True))
-                if similar >= THRESHOLD - 1e-9 and (i not in best or similar > best[i][4]):
-                    best[i] = (i, x, span, d, similar)
+            for own in in_reach(starts, max(256, WINDOWS // len(items))):
+                first, last = int(own[0]), int(own[-1]) + span - k + 1
+                sums = bit_sums(hashes[first:last])
+                prints = fingerprints(sums[own - first + span - k + 1] - sums[own - first])
+                at, which = np.nonzero(self.near(prints, items))
+                away = _FLIPS[prints[at], self.prints[items[which]]].sum(axis=1)
+                for x, i, d in zip(own[at[away <= RADIUS]].tolist(), items[which[away <= RADIUS]].tolist(), away[away <= RADIUS].tolist(), strict=True):
+                    similar = bag_jaccard(self.bags[i], np.unique(hashes[x : x + span - k + 1], return_counts=True))
+                    if similar >= THRESHOLD - 1e-9 and (i not in best or similar > best[i][4]):
+                        best[i] = (i, x, span, d, similar)
             yield from best.values()
 
     def search(self, column: pa.Array) -> list[tuple]:
@@ -122,7 +134,7 @@ class Items:
 
 def item_blocks(benchmark: DataFrame) -> list[Items]:
     """The benchmark in blocks of about ITEMS items, each collected on its own."""
-    known = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    known = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     blocks = max(1, -(-known.count() // ITEMS))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     return [Items([tuple(r) for r in known.filter(place == i).sort("item_id", "text").collect()]) for i in range(blocks)]

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frontrank.llm import language_gru, pii, quality_cnn, url_filter
 from frontrank.llm.common import chunk_bytes, chunk_starts, read
@@ -122,7 +123,7 @@ def test_pii_odd_rows(odd_docs, no_docs):
 
 def test_url_parts_rules_and_verdicts(spark):
     urls = ["https://WWW.Example.com/en/a?x", "http://example.com/en/1#t", "http://a.b.net/fr/x", "nothing", None, "x://h", "http://casino-win.example.org/en/5", "http://library.example.org/en/5", "a://b://c/d", "http://notexample.com/en/", "http://h?p=/x"]
-    labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label int")
+    labelled = spark.createDataFrame(url_filter.labelled_urls()[0], "url string, label int")
     got = {r["page_id"]: r for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), labelled, url_filter.RULES).collect()}
     assert [(got[i]["host"], got[i]["path"]) for i in (0, 1, 3, 4, 5, 8, 10)] == [("www.example.com", "/en/a"), ("example.com", "/en/1"), ("", ""), ("", ""), ("h", ""), ("b:", "//c/d"), ("h", "")]
     assert (got[0]["rule"], got[0]["verdict"]) == ("www.example.com/en/", "allow") and (got[1]["rule"], got[1]["verdict"]) == ("example.com/en/", "block")
@@ -136,6 +137,33 @@ def test_url_parts_rules_and_verdicts(spark):
             url_filter.MOST = old
 
 
+def test_url_filter_on_held_out_hosts(spark, odd_docs):
+    fit, held = url_filter.labelled_urls()
+    assert not {u for u, _ in fit} & {u for u, _ in held} and len(fit) <= url_filter.MOST
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judged(pages, spark.createDataFrame(fit, "url string, label int"), []).collect()}
+    hits, said, true = sum(got[i] and y for i, (_, y) in enumerate(held)), sum(got.values()), sum(y for _, y in held)
+    print(f"held out: recall {hits / true:.3f}, precision {hits / said:.3f}")
+    assert hits / true >= 0.9 and hits / said >= 0.95
+
+
+def test_url_parts_equal_sql_and_odd_pages(spark):
+    import duckdb
+
+    urls = [None, "", "x", "://", "a://", "HTTP://A.B/C?d#e", "h://x#y/z", "h://x?y://z", "h:///p", "h://\u00c4.de/\n\u00e9", "h://" + "a" * 5000 + "/en/"] * 2
+    docs = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("q"), "rule": F.lit(1), "block_score": F.lit(2)})
+    labelled = spark.createDataFrame(url_filter.labelled_urls()[0], "url string, label int")
+    got = sorted((r["page_id"], r["host"], r["path"]) for r in url_filter.judged(docs, labelled, url_filter.RULES).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    cut = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    host = f"regexp_extract({cut}, '^[^/?#]*')"
+    sql = f"SELECT page_id, coalesce(translate({host}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), coalesce(regexp_extract(substr({cut}, length({host}) + 1), '^[^?#]*'), '') FROM pages ORDER BY 1"
+    assert got == con.execute(sql).fetchall()
+    assert url_filter.judged(docs.limit(0), labelled, url_filter.RULES).count() == 0
+
+
 def test_chunks_cover_each_text():
     sizes = np.array([0, 1, 259, 260, 261, 5000])
     counts, starts = chunk_starts(sizes, quality_cnn.SPAN, quality_cnn.CHUNK, flush=True)

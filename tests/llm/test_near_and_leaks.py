@@ -174,6 +174,19 @@ def test_leaks_against_all_windows(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in expected}
 
 
+def test_items_without_id_and_long_texts_in_runs(spark):
+    rng = random.Random(1)
+    items = [(None, " ".join(words(rng, 12))), (5, " ".join(words(rng, 30)))]
+    text = " ".join([*words(rng, 3000), items[0][1], *words(rng, 2000), items[1][1], items[1][1], *words(rng, 900), items[0][1]])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it")], "doc_id long, text string")
+    found = lambda: sorted((str(r["item_id"]), r["start_word"], r["n_words"], r["similarity"]) for r in decontamination.contaminated(docs, bench).collect())
+    assert found() == [("5", 5012, 30, 1.0), ("None", 3000, 12, 1.0)]
+    assert [r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()] == [2]
+    starts = np.array([1, 2, 5, 9, 300, 301])
+    assert [r.tolist() for r in decontamination.in_reach(starts, 5)] == [[1, 2, 5], [9], [300, 301]]
+
+
 def test_blocks_lose_none_within_the_radius():
     rng = np.random.default_rng(2)
     items = decontamination.Items([(i, " ".join(words(random.Random(i), 20))) for i in range(5)])
