@@ -63,14 +63,14 @@ def load(spark: SparkSession, path: str) -> Ranker:
     return Ranker(kind, list(order), list(PipelineModel.load(f"{path}/models").stages), list(weights))
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """Pairs of one front with the better item as a, and the change of NDCG if they swapped places by score."""
+def _pairs(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs of one front with the better item as a, and the change of NDCG if they swapped places by score. carry: columns that come along, as <name>_a and <name>_b."""
     at = F.row_number().over(Window.partitionBy("front_id").orderBy(F.desc("score"), "item_id"))
     ideal = F.row_number().over(Window.partitionBy("front_id").orderBy(F.desc("label"), "item_id"))
-    placed = df.select(*KEYS, "label", "score", at.alias("at"), ideal.alias("ideal"))
+    placed = df.select(*KEYS, "label", "score", *carry, at.alias("at"), ideal.alias("ideal"))
     placed = placed.withColumn("best", F.sum(F.col("label") / F.log2(F.col("ideal") + 1.0)).over(Window.partitionBy("front_id")))
-    a = placed.select("front_id", F.col("item_id").alias("a"), F.col("label").alias("la"), F.col("score").alias("sa"), F.col("at").alias("pa"), "best")
-    b = placed.select("front_id", F.col("item_id").alias("b"), F.col("label").alias("lb"), F.col("score").alias("sb"), F.col("at").alias("pb"))
+    a = placed.select("front_id", F.col("item_id").alias("a"), F.col("label").alias("la"), F.col("score").alias("sa"), F.col("at").alias("pa"), "best", *[F.col(c).alias(f"{c}_a") for c in carry])
+    b = placed.select("front_id", F.col("item_id").alias("b"), F.col("label").alias("lb"), F.col("score").alias("sb"), F.col("at").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in carry])
     change = F.abs((F.col("la") - F.col("lb")) * (1 / F.log2(F.col("pa") + 1.0) - 1 / F.log2(F.col("pb") + 1.0)))
     return a.join(b, "front_id").filter("la > lb").withColumn("delta", F.coalesce(F.try_divide(change, F.col("best")), F.lit(0.0)))
 
@@ -93,11 +93,9 @@ def fit(df: DataFrame, kind: str, order: Sequence[str], params: Mapping | None =
         model = GBTRegressor(featuresCol="features", labelCol="label", maxIter=p["rounds"], maxDepth=p["depth"], subsamplingRate=0.8, seed=seed).fit(vectors)
         return Ranker(kind, order, [model], [1.0])
     if kind == "pairwise":
-        pairs = _pairs(vectors.withColumn("score", F.lit(0.0))).filter("delta > 0").select("front_id", "a", "b", "delta")
-        x = vectors.select("front_id", "item_id", vector_to_array("features").alias("x"))
-        both = pairs.join(x.withColumnsRenamed({"item_id": "a", "x": "xa"}), ["front_id", "a"]).join(x.withColumnsRenamed({"item_id": "b", "x": "xb"}), ["front_id", "b"])
+        both = _pairs(vectors.withColumns({"score": F.lit(0.0), "x": vector_to_array("features")}), ["x"]).filter("delta > 0")
         side = F.when(F.xxhash64("front_id", "a", "b") % 2 == 0, 1.0).otherwise(-1.0)  # both classes, so that a bias can't win
-        made = both.withColumn("side", side).select(((F.col("side") + 1) / 2).alias("label"), "delta", *[((F.col("xa")[i] - F.col("xb")[i]) * F.col("side")).alias(f"d{i}") for i in range(len(order))])
+        made = both.withColumn("side", side).select(((F.col("side") + 1) / 2).alias("label"), "delta", *[((F.col("x_a")[i] - F.col("x_b")[i]) * F.col("side")).alias(f"d{i}") for i in range(len(order))])
         ready = VectorAssembler(inputCols=[f"d{i}" for i in range(len(order))], outputCol="features").transform(made)
         model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="delta", regParam=p["reg"], fitIntercept=False, maxIter=50).fit(ready)
         return Ranker(kind, order, [], [float(v) for v in model.coefficients])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,18 +215,39 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return each.groupBy(NET).agg(F.sum(F.coalesce("own", F.lit(0.0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), F.lit(2))).alias("modularity"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
+    """(net, node, part) by Louvain: nodes move to neighbouring parts, then parts become nodes, until nothing moves any more."""
+    parts = materialized(nodes(edges).withColumn("part", F.col("node")), "parts")
+    while True:
+        found = moved_nodes(edges)
+        if found.filter("node <> part").isEmpty():
+            return parts
+        step = found.select(NET, F.col("part").alias("to"), F.col("node").alias("part"))
+        parts = materialized(parts.join(step, [NET, "part"]).select(NET, "node", F.col("to").alias("part")), "parts")
+        a, b = (found.withColumnsRenamed({"node": side, "part": f"p_{side}"}) for side in ("src", "dst"))
+        between = edges.join(a, [NET, "src"]).join(b, [NET, "dst"]).groupBy(NET, F.col("p_src").alias("src"), F.col("p_dst").alias("dst"))
+        edges = materialized(between.agg(F.sum("w").alias("w")), "contracted")
+
+
+def moved_nodes(edges: DataFrame, every: int = 8) -> DataFrame:
     """(net, node, part) by moving nodes to the neighbouring part of the largest modularity gain.
 
     In a round only nodes whose hash parity matches may move, so that neighbours don't swap for ever; a node moves only
-    for a positive gain, ties go to the smallest part. Ends when two rounds in a row move nothing.
+    for a positive gain, ties go to the smallest part. Ends when two rounds in a row move nothing, or when the sum of
+    modularities hasn't grown in `every` rounds, which are then undone.
     """
     sym = edges.filter("src <> dst").select(NET, "src", "dst", "w").union(edges.filter("src <> dst").select(NET, "dst", "src", "w"))
     sym = materialized(sym.groupBy(NET, "src", "dst").agg(F.sum("w").alias("w")), "sym")
     degree = materialized(strengths(edges).select(NET, "node", F.col("total_s").alias("deg")), "degree")
     total = materialized(edges.groupBy(NET).agg(F.sum("w").alias("m")), "total")
     parts, still = materialized(degree.select(NET, "node", F.col("node").alias("part")), "parts"), 0
-    for turn in range(rounds):
+    best_parts, height = parts, None
+    for turn in count():
+        if turn % every == 0:
+            now = modularity(edges, parts).agg(F.sum("modularity")).first()[0] or 0.0
+            if height is not None and now <= height + 1e-12:
+                return best_parts
+            best_parts, height = parts, now
         mass = parts.join(degree, [NET, "node"]).groupBy(NET, "part").agg(F.sum("deg").alias("mass"))
         links = sym.join(parts.withColumnRenamed("node", "dst"), [NET, "dst"]).groupBy(NET, F.col("src").alias("node"), "part").agg(F.sum("w").alias("to"))
         own = parts.withColumnRenamed("part", "now").join(degree, [NET, "node"]).join(total, NET)
@@ -240,8 +262,7 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
         still = still + 1 if new.filter("moved").isEmpty() else 0
         parts = new.drop("moved")
         if still == 2:
-            break
-    return parts
+            return parts
 
 
 def community_features(edges: DataFrame) -> DataFrame:

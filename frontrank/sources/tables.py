@@ -38,6 +38,12 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that jobs have left in the shared folder; for when none of their results is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/frontrank")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df, if it has all columns."""
     if missing := [c for c in columns if c not in df.columns]:
