@@ -1,11 +1,9 @@
-"""What the operators share: the cluster's shared folder, Arrow text access, word shingles."""
+"""What the operators share: written tables, Arrow text access, word shingles."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frontrank.sources.tables import materialized as written  # noqa: F401  (the operators take it from here)
+
 #: Text handled at once inside a task; longer single texts are still handled whole.
 SLICE_BYTES = 4 << 20
 #: Rows that Spark hands to a Python worker at once.
@@ -27,23 +27,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{tempfile.gettempdir()}/frontrank-shared"
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, no lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/frontrank/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def without_ids(docs: DataFrame, ids: DataFrame, n_ids: int, keys: list[str], most: int = 1_000_000) -> DataFrame:
     """Rows of docs whose keys are not in ids. Up to `most` keys are broadcast; above, a shuffled join."""
     return docs.join(F.broadcast(ids) if n_ids <= most else ids, keys, "left_anti")
