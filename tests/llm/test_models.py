@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,35 @@ def test_recurrent_gradients_match_differences():
             assert g[key][at] == pytest.approx((loss(up) - loss(down)) / (2 * step), rel=0.05, abs=2e-3)
 
 
+def test_scores_are_those_of_the_plain_network():
+    """The network spelled out: every filter at every place, largest answers, hidden layer, mean over chunks."""
+    w = quality_cnn.fresh(3)
+    rng = np.random.default_rng(4)
+    wanted = ["", "short", "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 300)), "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 900)) + "\u00e9"]
+    for text, score in zip(wanted, quality_cnn.score_texts(w, pa.array(wanted)), strict=True):
+        data = list(text.encode())
+        logits = []
+        n = max(1, -(-(len(data) - (quality_cnn.SPAN - quality_cnn.CHUNK)) // quality_cnn.CHUNK))
+        for i in range(n):
+            start = min(i * quality_cnn.CHUNK, max(0, len(data) - quality_cnn.SPAN))
+            chunk = data[start : start + quality_cnn.SPAN]
+            filled = np.sqrt(len(chunk) / quality_cnn.SPAN)
+            chunk = chunk + [256] * (quality_cnn.SPAN - len(chunk))
+            answers = [np.concatenate([w["embed"][b] for b in chunk[x : x + quality_cnn.WIDTH]]) @ w["conv"] + w["bias"] for x in range(quality_cnn.CHUNK)]
+            top = np.append(np.maximum(np.max(answers, axis=0), 0), filled)
+            logits.append(np.tanh(top @ w["join"] + w["shift"]) @ w["out"] + w["base"][0])
+        assert score == pytest.approx(1 / (1 + np.exp(-np.mean(logits))), abs=1e-4)
+
+
+def test_states_for_scoring_are_those_of_fitting():
+    w = language_gru.fresh(3, 5)
+    rng = np.random.default_rng(6)
+    x = np.ascontiguousarray(rng.integers(60, 90, (20, 7)))
+    x[15:, 2] = x[3:, 4] = x[:, 6] = 256
+    for side in "fb":
+        assert np.allclose(language_gru.states_of(language_gru.thirds(w, side), x, side == "b"), language_gru.one_way(w, side, x), atol=1e-5)
+
+
 def test_quality_on_held_out_rows(spark, odd_docs, no_docs):
     docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
     got = {r["doc_id"]: r for r in quality_cnn.quality(docs, labels).collect()}
@@ -228,12 +258,37 @@ def test_language_on_held_out_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language_gru.predicted(odd_docs, None).collect()} == {"und"}
 
 
-def test_pipeline_stages_keep_columns_and_decide(spark):
+def test_pipeline_whole_with_odd_rows(spark, odd_docs, monkeypatch):
+    """All stages chained over a table with odd rows and clashing names, each against plain Python on its own input."""
     sys.path.insert(0, str(Path(__file__).parents[2]))
     import corpus_pipeline
+    from frontrank.llm.common import written
+    from tests.llm.test_near_and_leaks import brute_classes
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "decontaminate", "pack"]
-    docs = read(spark, DATA, "documents")
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, docs, DATA)
-        assert sorted(out.columns) == sorted(docs.columns) and 0 < out.count() < docs.count()
+    docs = read(spark, DATA, "documents").drop("n_chars").withColumns({"score": F.lit(1).cast("long"), "kept": F.lit("x")})
+    odd = odd_docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    docs = docs.select(odd.columns).unionByName(odd).withColumns({c: F.lit(1) for c in ("class", "key", "n", "line", "doc", "__dropped")})
+    names, rows = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = rows, written(stage(spark, docs, DATA), f"test-{name}")
+        rows = docs.collect()
+        if name == "pack":
+            break
+        assert docs.columns == names and len(rows) > 100
+        ids = lambda found: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found)
+        if name == "exact":
+            best = {}
+            for r in before:
+                best[r["text"] or ""] = max(best.get(r["text"] or "", (False, 0)), (r["doc_id"] is not None, r["doc_id"] or 0))
+            assert ids(rows) == sorted((not known, i) for known, i in best.values())
+        if name == "near":
+            known = [(r["doc_id"], r["text"] or "") for r in before if r["doc_id"] is not None]
+            classes = brute_classes([(i, t) for i, t in known if t.split()])
+            empty = min((i for i, t in known if not t.split()), default=None)
+            assert ids(r for r in rows if r["doc_id"] is not None) == sorted((False, i) for i, t in known if classes.get(i, empty) == i)
+            assert sum(r["doc_id"] is None for r in rows) == sum(r["doc_id"] is None for r in before)
+        if name == "decontaminate":
+            assert len(rows) < len(before) and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in before}
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before}
+    assert sum(r["start"] == 0 for r in rows) == len(before)
