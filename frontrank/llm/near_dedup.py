@@ -12,8 +12,8 @@ Exact copies are folded first. The texts left are banded (ROWS components a band
 compared with one member, the hub, that changes from round to round: work is linear in the bucket. A pair passes if the
 multiset Jaccard similarity of its whole texts is at least THRESHOLD. Pairs already in one class need no check. After
 the first round buckets are parted by size, and shingles that no other open member has bound what a member can share; the
-second hub is a small member with few of them, which is close to what the copies were made from or have in common, and
-the third the best that this one meets in any bucket.
+second hub is a small member with few of them, which is close to what the copies were made from or have in common, or
+the best such member that it meets in any bucket.
 
 Members that still differ in class are then joined exactly, without making all pairs of a bucket. Each is written as its
 signed difference from its hub h: shingles added and shingles missing, each as often as it is (d of them). Similarity
@@ -44,7 +44,7 @@ from frontrank.llm.common import SHINGLE, bag, bag_jaccard, mixed, read, slices,
 
 SIZE, ROWS = 125, 5
 BANDS = SIZE // ROWS
-THRESHOLD, ROUNDS = 0.8, 3
+THRESHOLD, ROUNDS = 0.8, 2
 #: Two bags of n and m shingles reach THRESHOLD if they differ in at most C * (n + m).
 C = (1 - THRESHOLD) / (1 + THRESHOLD)
 #: Texts that one copy of a hub's text is joined to.
