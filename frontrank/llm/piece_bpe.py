@@ -178,6 +178,12 @@ class Vocabulary:
 
     def fresh(self, chunks: pa.Array) -> list[Ragged]:
         """Ids of chunks, checked against the library."""
+        found = self.merge(chunks)
+        self.check(chunks, *found)
+        return [found]
+
+    def merge(self, chunks: pa.Array) -> Ragged:
+        """Ids of chunks."""
         joined = "".join(chunks.to_pylist())
         symbols, sizes = self.single[codepoints(joined)], np.asarray(pc.utf8_length(chunks), np.int64)
         short = sizes <= SIDE_BY_SIDE
@@ -192,9 +198,7 @@ class Vocabulary:
             out[np.repeat(short, merged)] = ids
             out[np.repeat(~short, merged)] = np.concatenate(each)
             ids = out
-        found = self.spelled(ids, merged)
-        self.check(chunks, *found)
-        return [found]
+        return self.spelled(ids, merged)
 
     def check(self, chunks: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         """An error where the library's ids of any of these chunks are others."""
