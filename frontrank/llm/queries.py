@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frontrank.llm import decontamination, exact_dedup, language_gru, license_scan, line_dedup, near_dedup, packing, piece_bpe, pii, quality_cnn, token_links, url_filter
+from frontrank.llm import decontamination, exact_dedup, hard_negatives, language_gru, license_scan, line_dedup, near_dedup, packing, piece_bpe, pii, quality_cnn, token_links, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,7 +15,8 @@ QUERIES = {
     "op9_language_id": language_gru.op9_language_id,
     "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_token_links": token_links.op12_token_links,
     "op13_sentencepiece": piece_bpe.op13_sentencepiece,
 }
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_license_scan": license_scan.ORACLE_SQL}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op8_license_scan": license_scan.ORACLE_SQL}
