@@ -15,7 +15,7 @@ hot cell (one vector many times) is split, and each joined row is a product of t
 cells (at most CODES x CODES) and the sample pass through the driver.
 
 Rows without id, label or vector, or with a null or non-finite component, take no part. Shorter vectors are filled with
-zeros. Rows that repeat are rows of their own, an anchor's other rows included; equal scores go by the smaller vec_id. Anchors
+zeros. Scores are exact below 2**53; components that could pass it are an error. Rows that repeat are rows of their own, an anchor's other rows included; equal scores go by the smaller vec_id. Anchors
 without positives, and windows without rows (all windows of negative scores), give nothing. An empty table gives an empty
 result. Extra columns are ignored, whatever their names.
 """
@@ -67,7 +67,6 @@ class Index:
 
     dims: int
     kind: str
-    exact: bool
     books: tuple[np.ndarray, np.ndarray]
     radii: tuple[np.ndarray, np.ndarray] | None = None
     counts: np.ndarray | None = None
@@ -143,6 +142,8 @@ def built(rows: DataFrame) -> tuple[Index, DataFrame, DataFrame] | None:
     if not n:
         return None
     most = (most or 0.0) + 1
+    if dims * most * most >= 2**53:
+        raise ValueError("components are too large for exact scores")
     kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
     some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < SAMPLE).limit(2 * SAMPLE)
     if n <= 2 * SAMPLE:
@@ -150,7 +151,7 @@ def built(rows: DataFrame) -> tuple[Index, DataFrame, DataFrame] | None:
     found = some.select("vec").toArrow().column(0).combine_chunks()
     sample = vectors(found, dims) if len(found) else np.zeros((1, dims))
     codes = int(np.clip(round(n**0.25), 4, CODES))
-    index = Index(dims, kind, dims * most * most < 2**53, (fitted(sample[:, : dims // 2], codes), fitted(sample[:, dims // 2 :], codes)))
+    index = Index(dims, kind, (fitted(sample[:, : dims // 2], codes), fitted(sample[:, dims // 2 :], codes)))
     table = written(assigned(rows, index), "hard-negatives")
     cells = table.groupBy("i", "j").agg(F.count("*").alias("n"), F.max("far_i").alias("far_i"), F.max("far_j").alias("far_j")).collect()  # at most CODES x CODES
     index.counts = np.zeros((len(index.books[0]), len(index.books[1])), np.int64)
@@ -232,7 +233,7 @@ def scored(pairs: DataFrame, index: Index, same: bool, most: int) -> DataFrame:
                 anchors, own, rows, ids, labels = (np.frombuffer(x, np.int64) for x in numbers[:5])
                 floors, highs = (np.frombuffer(x, np.float64).reshape(len(anchors), -1) for x in numbers[5:])
                 a, b = index.matrix(points, len(anchors)), index.matrix(vecs, len(rows))
-                scores = a @ b.T if index.exact else a.astype(object) @ b.astype(object).T
+                scores = a @ b.T
                 fits = (own[:, None] == labels) == same
                 fits &= anchors[:, None] != rows
                 fits &= scores >= floors.min(1)[:, None]
