@@ -2,12 +2,15 @@
 
 Three families: `listwise` boosts trees on lambda gradients weighted by the change of NDCG, `pairwise` is a logistic
 regression on pair differences, `pointwise` boosts trees on min-max labels. Pairs are made inside fronts only.
+
+Screening, tuning and ablation have many fits; they grow together in one job (boosting.py), with its three families.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -18,16 +21,22 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frontrank.operators import boosting as B
 from frontrank.operators import labels as L
 from frontrank.operators import metrics as M
 from frontrank.operators import splits as P
-from frontrank.sources.tables import aligned, materialized, require
+from frontrank.sources.tables import Scratch, aligned, materialized, require
 
 KINDS = ("listwise", "pairwise", "pointwise")
 KEYS = ["front_id", "item_id"]
 DEFAULTS: dict[str, dict] = {"listwise": {"rounds": 10, "depth": 4, "rate": 0.3}, "pairwise": {"reg": 0.01}, "pointwise": {"rounds": 10, "depth": 4}}
-# Settings that tuning tries for each family.
-GRID = {"listwise": [{"rounds": r, "depth": d} for r in (5, 10, 20) for d in (3, 4, 5)], "pairwise": [{"reg": x} for x in (0.0, 0.01, 0.1)], "pointwise": [{"rounds": r, "depth": d} for r in (5, 10, 20) for d in (3, 4, 5)]}
+# Settings that tuning tries for each family, 27, 36 and 36; depths 5, 6 and 7 have 32, 64 and 128 leaves at most.
+GRID: dict[str, list[dict]] = {
+    "listwise": [{"depth": d, "least_rows": n, "rate": r} for d in (5, 6, 7) for n in (30, 50, 100) for r in (0.03, 0.05, 0.1)],
+    "pairwise": [{"depth": d, "share": s, "least_weight": w, "rate": r} for d in (4, 6, 8) for s in (0.8, 1.0) for w in (1, 5, 10) for r in (0.03, 0.05)],
+    "sampled": [{"depth": d, "l2": x, "rate": r} for d in (4, 6, 8) for x in (3, 5, 7, 10) for r in (0.03, 0.05, 0.1)],
+}
+TAGS = {"depth": "d", "least_rows": "mcs", "share": "ss", "least_weight": "mcw", "rate": "lr"}
 
 
 @dataclass
@@ -131,28 +140,62 @@ def cv_metrics(ranked: DataFrame, ks: Sequence[int] = (1, 5)) -> DataFrame:
     return M.long_metrics(ranked, ks, over=["fold"])
 
 
-def screening(df: DataFrame, order: Sequence[str], kinds: Sequence[str] = KINDS, modes: Sequence[str] = L.MODES, k: int = 3, params: Mapping[str, Mapping] | None = None) -> DataFrame:
-    """Long metrics (method, front_id, metric, value) of every kind and label mode, as <kind>__<mode>."""
-    runs = []
-    for kind in kinds:
-        for mode in modes:
-            ranked = materialized(cross_validate(df, kind, order, mode, (params or {}).get(kind), k), "ranked")
-            runs.append(cv_metrics(ranked).select(F.lit(f"{kind}__{mode}").alias("method"), "front_id", "metric", "value"))
-    return reduce(DataFrame.unionByName, runs)
+def _measured(df: DataFrame, order: Sequence[str], runs: Sequence[B.Run], judged: Mapping[int, Sequence[int]], label: str, seed: int = 42) -> DataFrame:
+    """(method, fold, front_id, metric, value) of all runs, fitted in one job; judged: the runs whose scores count on each fold."""
+    with Scratch(df.sparkSession) as scratch:
+        _, state = B.boosted(df, order, runs, scratch, seed)
+        names = F.broadcast(df.sparkSession.createDataFrame([(i, r.name) for i, r in enumerate(runs)], "run int, method string"))  # a row for each run
+        found = M.long_metrics(B.scores_of(state, runs, judged), (1, 5), over=["run", "fold"]).join(names, "run").select("method", "fold", "front_id", "metric", "value")
+        return materialized(found, label)
+
+
+def _cross_validated(df: DataFrame, order: Sequence[str], fits: Sequence[B.Run], k: int, label: str) -> DataFrame:
+    """Out-of-fold metrics (method, front_id, metric, value) of fits, each over the same k folds."""
+    runs = [replace(r, without=(f,)) for r in fits for f in range(k)]
+    folded = df.join(P.balanced_folds(df, k).select("front_id", F.col("fold").cast("int").alias("fold")), "front_id")
+    return _measured(folded, order, runs, {f: range(f, len(runs), k) for f in range(k)}, label).drop("fold")
+
+
+def ranked_by(df: DataFrame, order: Sequence[str], kind: str, mode: str = "continuous", params: Mapping | None = None, seed: int = 42) -> DataFrame:
+    """df's fronts scored and ranked by one run of a boosted family that learns from all of them."""
+    run = B.Run(kind, kind, mode, setting=setting(params))
+    with Scratch(df.sparkSession) as scratch:
+        _, state = B.boosted(df.withColumn("fold", F.lit(0)), order, [run], scratch, seed)
+        return L.rank_in_front(materialized(B.scores_of(state, [run], {0: [0]}).drop("run", "fold"), "ranked"), seed)
+
+
+def setting(params: Mapping | None) -> tuple[tuple[str, float], ...]:
+    return tuple((params or {}).items())
+
+
+def screening_runs(kinds: Sequence[str] = B.FAMILIES, modes: Sequence[str] = L.MODES, params: Mapping[str, Mapping] | None = None) -> list[B.Run]:
+    """Every family with every label mode, as <family>__<mode>."""
+    return [B.Run(f"{kind}__{mode}", kind, mode, setting=setting((params or {}).get(kind))) for kind in kinds for mode in modes]
+
+
+def screening(df: DataFrame, order: Sequence[str], kinds: Sequence[str] = B.FAMILIES, modes: Sequence[str] = L.MODES, k: int = 3, params: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """Long metrics (method, front_id, metric, value) of every family and label mode; all fits of all folds grow in one job."""
+    return _cross_validated(df, order, screening_runs(kinds, modes, params), k, "screened")
+
+
+def tag(params: Mapping) -> str:
+    return "_".join(f"{TAGS.get(name, name)}{value}".replace(".", "") for name, value in params.items())
+
+
+def tuning_runs(shortlist: Sequence[tuple[str, str]], grid: Mapping[str, Sequence[Mapping]] = GRID) -> list[B.Run]:
+    """Each setting of each shortlisted (family, mode), as <family>__<mode>__<tag>; a name that comes twice is an error."""
+    runs = [B.Run(f"{kind}__{mode}__{tag(params)}", kind, mode, setting=setting(params)) for kind, mode in shortlist for params in grid[kind]]
+    for name, times in Counter(r.name for r in runs).items():
+        if times > 1:
+            raise ValueError(f"{name} is listed twice")
+    if not runs:
+        raise ValueError("the grid is empty")
+    return runs
 
 
 def tuning(df: DataFrame, order: Sequence[str], shortlist: Sequence[tuple[str, str]], grid: Mapping[str, Sequence[Mapping]] = GRID, k: int = 3) -> DataFrame:
-    """Long metrics of each setting of each shortlisted (kind, mode), as <kind>__<mode>__<tag>."""
-    runs, seen = [], set()
-    for kind, mode in shortlist:
-        for setting in grid[kind]:
-            tag = "_".join(f"{name}{value}".replace(".", "") for name, value in setting.items())
-            if (name := f"{kind}__{mode}__{tag}") in seen:
-                raise ValueError(f"{name} is listed twice")
-            seen.add(name)
-            ranked = materialized(cross_validate(df, kind, order, mode, setting, k), "ranked")
-            runs.append(cv_metrics(ranked).select(F.lit(name).alias("method"), "front_id", "metric", "value"))
-    return reduce(DataFrame.unionByName, runs)
+    """Long metrics of each setting of each shortlisted (family, mode); all fits of all folds grow in one job."""
+    return _cross_validated(df, order, tuning_runs(shortlist, grid), k, "tuned")
 
 
 def held_out(df: DataFrame, splits: DataFrame, kind: str, order: Sequence[str], mode: str = "continuous", params: Mapping | None = None) -> DataFrame:
@@ -162,10 +205,22 @@ def held_out(df: DataFrame, splits: DataFrame, kind: str, order: Sequence[str],
     return rank_fronts(rows.filter("split = 'test'"), ranker)
 
 
-def ablation(df: DataFrame, splits: DataFrame, sets: Mapping[str, Sequence[str]], kind: str = "pairwise", mode: str = "continuous", params: Mapping | None = None) -> DataFrame:
-    """Held-out metrics (method, front_id, metric, value) of each feature set."""
-    runs = [M.long_metrics(materialized(held_out(df, splits, kind, order, mode, params), "ranked"), (1, 5)).withColumn("method", F.lit(name)) for name, order in sets.items()]
-    return reduce(DataFrame.unionByName, runs).select("method", "front_id", "metric", "value")
+def ablation(df: DataFrame, splits: DataFrame, sets: Mapping[str, Sequence[str]], kind: str = "listwise", mode: str = "continuous", params: Mapping | None = None, k: int = 3) -> DataFrame:
+    """Metrics (method, split, front_id, metric, value) of each feature set: out of fold on development fronts, and held out on test fronts.
+
+    All sets share the folds, and all fits grow in one job. No fit sees a test front.
+    """
+    order = sorted({c for own in sets.values() for c in own})
+    rows = P.with_split(df, splits)
+    folds = P.balanced_folds(rows.filter("split = 'development'"), k).select("front_id", F.col("fold").cast("int").alias("own"))
+    folded = rows.join(folds, "front_id", "left").withColumn("fold", F.coalesce("own", F.lit(B.TEST_FOLD))).drop("own")
+    runs, judged = [], {f: [] for f in (*range(k), B.TEST_FOLD)}
+    for name, own in sets.items():
+        for f in judged:
+            judged[f].append(len(runs))
+            runs.append(B.Run(name, kind, mode, (f, B.TEST_FOLD) if f != B.TEST_FOLD else (f,), tuple(order.index(c) for c in own), setting(params)))
+    found = _measured(folded, order, runs, judged, "ablated")
+    return found.select("method", F.when(F.col("fold") == B.TEST_FOLD, "test").otherwise("development").alias("split"), "front_id", "metric", "value")
 
 
 def with_learned(rule_scores: DataFrame, ranked: DataFrame, name: str = "learned") -> DataFrame:

@@ -46,6 +46,11 @@ def l3(spark, d):
     return _fitted(spark, d, "pointwise")
 
 
+@query("l3_sampled_pairs")
+def l3_sampled(spark, d):
+    return r6(M.evaluate(R.ranked_by(rows(spark, d), ORDER, "sampled")))
+
+
 @query("l5_cross_validated")
 def l5(spark, d):
     return r6(M.front_mean(R.cv_metrics(R.cross_validate(rows(spark, d), "pairwise", ORDER)), ["fold"]))
@@ -65,7 +70,7 @@ def l7(spark, d):
 
 
 def screened(df):
-    return materialized(R.screening(df, ORDER, modes=SCREENED), "screened")
+    return R.screening(df, ORDER, modes=SCREENED)
 
 
 @query("l8_screening")
@@ -73,6 +78,17 @@ def l8(spark, d):
     return S.leaderboard(S.summary(screened(rows(spark, d))))
 
 
+#: Every run, and how many fronts have each of its metrics: what SQL can say of screening and tuning.
+_COUNTED = ("m AS (SELECT metric, count(*) AS n FROM (SELECT unnest(['Regret@1', 'BestTarget@1', 'Hit@1'] || CASE WHEN n > 1 THEN ['NDCG@1'] ELSE [] END || "
+    "CASE WHEN n >= 5 THEN ['Regret@5', 'BestTarget@5', 'Hit@5', 'NDCG@5'] ELSE [] END || ['Spearman']) AS metric FROM (SELECT front_id, count(*) AS n FROM fronts GROUP BY 1)) GROUP BY 1)")
+_MODES = "mode AS (SELECT unnest(['rank_dense', 'rank_avg', 'quantiles', 'continuous', 'reversed', 'shuffled', 'quantiles5', 'quantiles15']) AS mode)"
+
+
+@query("l8_screened_runs", f"WITH {X.FRONTS}, {_COUNTED}, {_MODES} SELECT family || '__' || mode AS method, metric, n FROM (SELECT unnest(['listwise', 'pairwise', 'sampled']) AS family), mode, m")
+def l8_runs(spark, d):
+    return S.summary(screened(rows(spark, d))).select("method", "metric", "n")
+
+
 def shortlist(runs):
     """The best (kind, label mode) of each family."""
     family = F.split_part(F.col("method"), F.lit("__"), F.lit(1))
@@ -80,10 +96,29 @@ def shortlist(runs):
     return sorted(tuple(r["method"].split("__")) for r in best.select("method").collect())
 
 
+def tuned(spark, d):
+    df = rows(spark, d)
+    return R.tuning(df, ORDER, shortlist(screened(df)))
+
+
 @query("l9_tuning")
 def l9(spark, d):
-    df = rows(spark, d)
-    return G.tuning_table(S.summary(R.tuning(df, ORDER, shortlist(screened(df)))), [])
+    return G.tuning_table(S.summary(tuned(spark, d)), [])
+
+
+def _list(values):
+    return f"(SELECT unnest({list(values)}) AS x)"
+
+
+_TAGS = f"""tags AS (SELECT 'listwise' AS family, 'd' || a.x || '_mcs' || b.x || '_lr' || c.x AS tag FROM {_list([5, 6, 7])} a, {_list([30, 50, 100])} b, {_list(["003", "005", "01"])} c
+UNION ALL SELECT 'pairwise', 'd' || a.x || '_ss' || b.x || '_mcw' || c.x || '_lr' || e.x FROM {_list([4, 6, 8])} a, {_list(["08", "10"])} b, {_list([1, 5, 10])} c, {_list(["003", "005"])} e
+UNION ALL SELECT 'sampled', 'd' || a.x || '_l2' || b.x || '_lr' || c.x FROM {_list([4, 6, 8])} a, {_list([3, 5, 7, 10])} b, {_list(["003", "005", "01"])} c)"""
+
+
+@query("l9_tuned_settings", f"WITH {X.FRONTS}, {_COUNTED}, {_TAGS} SELECT family, tag, metric, n FROM tags, m")
+def l9_settings(spark, d):
+    part = lambda i: F.split_part(F.col("method"), F.lit("__"), F.lit(i))
+    return S.summary(tuned(spark, d)).select(part(1).alias("family"), part(3).alias("tag"), "metric", "n")
 
 
 @query("l10_held_out")
@@ -91,10 +126,19 @@ def l10(spark, d):
     return r6(M.evaluate(R.held_out(rows(spark, d), splits(spark, d), "pairwise", ORDER)))
 
 
+SETS = {"full": ORDER, "money": ["price", "tax"], "rest": ["discount", "quantity"]}
+
+
+def ablated(spark, d):
+    return R.ablation(rows(spark, d), splits(spark, d), SETS)
+
+
 @query("l11_ablation")
 def l11(spark, d):
-    sets = {"full": ORDER, "money": ["price", "tax"], "rest": ["discount", "quantity"]}
-    return S.comparison(R.ablation(rows(spark, d), splits(spark, d), sets))
+    """Every feature set out of fold on development fronts, and held out on test fronts."""
+    found = ablated(spark, d)
+    both = [S.comparison(found.filter(F.col("split") == part).drop("split")).withColumn("split", F.lit(part)) for part in ("development", "test")]
+    return both[0].unionByName(both[1])
 
 
 @query("l12_learned_among_rules")

@@ -38,10 +38,44 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """The tables of an iterative job, under a name each. A table lives until the next of its name is written, or the scope ends.
+
+    What a job returns unread must be written under a name that it keeps: `keep` hands it over to the caller.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def turn(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table in the shared folder; the table that had this name goes, so df is its last reader."""
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        if name in self.paths:
+            _delete(self.spark, self.paths[name])
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, name: str) -> None:
+        self.paths.pop(name, None)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths.values():
+            _delete(self.spark, path)
+        self.paths = {}
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes all tables that jobs have left in the shared folder; for when none of their results is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/frontrank")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/frontrank")
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
