@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frontrank.functions import split_key
-from frontrank.sources.tables import first_of, materialized
+from frontrank.sources.tables import materialized
 
 DEVELOPMENT, TEST = "development", "test"
 
@@ -85,58 +87,96 @@ def balanced_folds(df: DataFrame, k: int = 5) -> DataFrame:
     return placed.join(folds, "n_items").select("front_id", "n_items", fold.alias("fold"))
 
 
-def test_quotas(families: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """(family, n, quota): floor of the share, at least 1 where a family has more than one front, at most n - 1.
+def _sum_before(df: DataFrame, value: Column, steps: Column, order: Sequence[Column], over: Sequence[str] = ()) -> DataFrame:
+    """df with __before: the sum of value over the rows that come first by (steps, order), inside each `over`.
 
-    What lacks to the rounded total goes to the families with the largest remainder, each up to its maximum; what is too
-    much is taken from the smallest remainders, down to the minimum.
+    steps has a bounded number of values, and order follows it: so no window holds all rows.
+    """
+    df = df.withColumns({"__value": value, "__step": steps})
+    per = df.groupBy(*over, "__step").agg(F.sum("__value").alias("__sum"))
+    earlier = F.sum("__sum").over(Window.partitionBy(*over).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1))  # a row for each step
+    own = F.sum("__value").over(Window.partitionBy(*over, "__step").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = df.join(per.select(*over, "__step", F.coalesce(earlier, F.lit(0)).alias("__earlier")), [*over, "__step"])
+    return joined.withColumn("__before", F.col("__earlier") + F.coalesce(own, F.lit(0))).drop("__value", "__step", "__earlier")
+
+
+STEPS = 1024
+
+
+def test_quotas(families: DataFrame, fraction: float = 0.2) -> DataFrame:
+    """(family, n, quota): each family's share of the test fronts.
+
+    There are round-half-even(all x fraction) test fronts, at most all but one. A family gets the whole part of its share,
+    at least 1 where it has more than one front, at most n - 1. What lacks goes to the families with the largest remainder,
+    each up to its maximum; what is too much is taken from the smallest remainders, down to the minimum. Equal remainders go
+    by a hash of the family.
     """
     size = families.groupBy("family").agg(F.count("*").alias("n"))
-    low = F.when(F.col("n") > 1, 1).otherwise(0)
-    high = F.greatest(F.col("n") - 1, F.lit(0))
-    base = size.withColumns({"low": low, "high": high, "exact": F.col("n") * fraction})
-    base = base.withColumns({"quota": F.least(F.greatest(F.floor("exact"), F.col("low")), F.col("high")), "rest": F.col("exact") - F.floor("exact"), "tie": split_key(seed, F.col("family"))})
-    every = base.agg(F.round(F.sum("n") * fraction).cast("long").alias("want"), F.sum("quota").alias("have"))
-    base = base.join(F.broadcast(every), F.lit(True))  # one row
-    lack = F.col("want") - F.col("have")
-    family_order = Window.orderBy(F.desc("rest"), "tie", "family").rowsBetween(Window.unboundedPreceding, -1)  # a row for each family
-    back_order = Window.orderBy("rest", F.desc("tie"), "family").rowsBetween(Window.unboundedPreceding, -1)
-    room, spare = F.col("high") - F.col("quota"), F.col("quota") - F.col("low")
-    more = F.greatest(F.least(lack - F.coalesce(F.sum(room).over(family_order), F.lit(0)), room), F.lit(0))
-    less = F.greatest(F.least(-lack - F.coalesce(F.sum(spare).over(back_order), F.lit(0)), spare), F.lit(0))
+    every = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    every = every.select("all", F.least(F.bround(F.col("all") * fraction).cast("long"), F.greatest(F.col("all") - 1, F.lit(0))).alias("want"))
+    low, high = F.when(F.col("n") > 1, 1).otherwise(0), F.greatest(F.col("n") - 1, F.lit(0))
+    base = size.join(F.broadcast(every), F.lit(True)).withColumns({"low": low, "high": high, "share": F.col("n") * F.col("want") / F.greatest(F.col("all"), F.lit(1))})  # one row
+    base = base.withColumns({"quota": F.least(F.greatest(F.floor("share"), F.col("low")), F.col("high")), "rest": F.col("share") - F.floor("share"), "tie": split_key(0, F.col("family"))})
+    base = base.join(F.broadcast(base.agg(F.sum("quota").alias("have"))), F.lit(True))  # one row
+    lack, room, spare = F.col("want") - F.col("have"), F.col("high") - F.col("quota"), F.col("quota") - F.col("low")
+    base = _sum_before(base, room, F.floor((1 - F.col("rest")) * STEPS), [F.desc("rest"), F.asc("tie"), F.asc("family")]).withColumnRenamed("__before", "filled")
+    base = _sum_before(base, spare, F.floor(F.col("rest") * STEPS), [F.asc("rest"), F.desc("tie"), F.asc("family")]).withColumnRenamed("__before", "drained")
+    more = F.greatest(F.least(lack - F.col("filled"), room), F.lit(0))
+    less = F.greatest(F.least(-lack - F.col("drained"), spare), F.lit(0))
     return base.withColumn("given", F.when(lack >= 0, more).otherwise(-less)).select("family", "n", (F.col("quota") + F.col("given")).cast("long").alias("quota"))
 
 
-def diverse_test_fronts(families: DataFrame, quotas: DataFrame, seed: int = 42) -> DataFrame:
-    """(front_id, family, turn): greedy choice for each family, all families in the same round.
+NOVELTY = {"size": 8, "condition": 4, "source": 2}
+
 
-    A front scores 8 for a size that the family's choice doesn't have yet, 4 for a condition, 2 for a source.
+def _novel(combinations: pa.Table) -> pa.Table:
+    """Greedy choice of one family among its combinations: front_id and turn while something new is left.
+
+    A lazy heap: what a combination adds only falls as values are seen, so the top is right once its own count is fresh.
+    """
+    rows = combinations.select([*NOVELTY, "key", "front_id"]).to_pylist()
+    quota, points, seen = combinations.column("quota")[0].as_py(), tuple(NOVELTY.values()), [set() for _ in NOVELTY]
+    values = [tuple(r[c] for c in NOVELTY) for r in rows]
+    heap = [(-sum(points), r["key"], r["front_id"], i) for i, r in enumerate(rows)]
+    heapq.heapify(heap)
+    picked: list[int] = []
+    while heap and len(picked) < quota:
+        score, key, front, i = heapq.heappop(heap)
+        fresh = -sum(p for p, known, v in zip(points, seen, values[i], strict=True) if v not in known)
+        if fresh == score:
+            picked.append(front)
+            for known, v in zip(seen, values[i], strict=True):
+                known.add(v)
+        elif fresh:
+            heapq.heappush(heap, (fresh, key, front, i))
+    return pa.table({"family": pa.array([combinations.column("family")[0].as_py()] * len(picked), pa.string()), "front_id": pa.array(picked, pa.int64()), "turn": pa.array(range(1, len(picked) + 1), pa.int64())})
+
+
+def diverse_test_fronts(families: DataFrame, quotas: DataFrame, seed: int = 42, name: str = "front_id") -> DataFrame:
+    """(front_id, family, turn): greedy choice of each family's test fronts, as many as its quota.
+
+    A front scores 8 for a size that the family's choice doesn't have yet, 4 for a condition, 2 for a source; null is the
+    value unknown. Equal scores go by a hash of `name`, then by front_id. Only the first front of each combination of values
+    can be chosen while something new is left; these go through a heap for each family. Then the order is the hash's alone,
+    placed by counts of the hash's first digits.
     """
-    left = materialized(families.select("front_id", "family", "size", "condition", "source").join(quotas.select("family", "quota"), "family"), "left")
-    most = quotas.agg(F.max("quota")).first()[0] or 0
-    chosen: DataFrame | None = None
-    for turn in range(1, most + 1):
-        scored = left.filter(F.col("quota") >= turn)
-        score = F.lit(0)
-        for column, points in (("size", 8), ("condition", 4), ("source", 2)):
-            if chosen is None:
-                score = score + points
-                continue
-            seen = chosen.select("family", column, F.lit(0).alias(f"new_{column}")).distinct()
-            scored = scored.join(seen.withColumnRenamed(column, f"__{column}").withColumnRenamed("family", "__family"), (F.col("family") == F.col("__family")) & F.col(column).eqNullSafe(F.col(f"__{column}")), "left").drop("__family", f"__{column}")
-            score = score + F.coalesce(F.col(f"new_{column}"), F.lit(1)) * points
-        best = first_of(scored.withColumn("__s", score), ["family"], [F.desc("__s"), split_key(seed, F.col("front_id")), F.col("front_id")])
-        picked = best.select("front_id", "family", "size", "condition", "source", F.lit(turn).alias("turn"))
-        chosen = materialized(picked if chosen is None else chosen.unionByName(picked), "chosen")
-        left = materialized(left.join(picked.select("front_id"), "front_id", "left_anti"), "left")
-    return chosen.select("front_id", "family", "turn") if chosen is not None else families.select("front_id", "family", F.lit(0).alias("turn")).limit(0)
-
-
-def audited_split(families: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    known = {c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in NOVELTY}
+    rows = families.select(F.col("front_id").cast("long").alias("front_id"), F.col("family").cast("string").alias("family"), *[v.alias(c) for c, v in known.items()], split_key(seed, F.col(name)).alias("key"))
+    rows = rows.join(quotas.filter("quota > 0").select("family", "quota"), "family")
+    first = rows.groupBy("family", *NOVELTY).agg(F.min(F.struct("key", "front_id")).alias("x"), F.first("quota").alias("quota"))
+    novel = materialized(first.select("family", *NOVELTY, "x.key", "x.front_id", "quota").groupBy("family").applyInArrow(_novel, "family string, front_id long, turn long"), "novel")
+    done = novel.groupBy("family").agg(F.count("*").alias("done"))
+    rest = rows.join(novel.select("family", "front_id"), ["family", "front_id"], "left_anti").join(done, "family", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    placed = _sum_before(rest.filter("done < quota"), F.lit(1), F.substring("key", 1, 3), [F.asc("key"), F.asc("front_id")], ["family"])
+    late = placed.withColumn("turn", F.col("done") + F.col("__before") + 1).filter("turn <= quota")
+    return novel.select("front_id", "family", "turn").unionByName(late.select("front_id", "family", "turn"))
+
+
+def audited_split(families: DataFrame, fraction: float = 0.2, seed: int = 42, name: str = "front_id") -> DataFrame:
     """families with the split of quotas and diverse test fronts; the fraction must lie between 0 and 1."""
     if not 0.0 < fraction < 1.0:
         raise ValueError("the test fraction must be between 0 and 1")
-    return assigned(families, diverse_test_fronts(families, test_quotas(families, fraction, seed), seed))
+    return assigned(families, diverse_test_fronts(families, test_quotas(families, fraction), seed, name))
 
 
 def assigned(families: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -165,10 +165,31 @@ def w12(spark, d):
 
 
 _QUOTA = """sz AS (SELECT family, count(*) AS n FROM families GROUP BY 1),
-b AS (SELECT *, (n > 1)::INT AS low, greatest(n - 1, 0) AS high, least(greatest(floor(n * 0.2), (n > 1)::INT), greatest(n - 1, 0)) AS quota, n * 0.2 - floor(n * 0.2) AS rest, substr(sha256('42:' || family), 1, 16) AS tie FROM sz),
-w AS (SELECT *, round(sum(n) OVER () * 0.2) - sum(quota) OVER () AS lack FROM b),
+t AS (SELECT sum(n) AS total, least(round_even(sum(n) * 0.2, 0), greatest(sum(n) - 1, 0)) AS want FROM sz),
+b AS (SELECT family, n, want, (n > 1)::INT AS low, greatest(n - 1, 0) AS high, n * want / total - floor(n * want / total) AS rest, least(greatest(floor(n * want / total), (n > 1)::INT), greatest(n - 1, 0)) AS quota, substr(sha256('0:' || family), 1, 16) AS tie FROM sz, t),
+w AS (SELECT *, want - sum(quota) OVER () AS lack FROM b),
 q AS (SELECT family, n, (quota + CASE WHEN lack >= 0 THEN greatest(least(lack - coalesce(sum(high - quota) OVER (ORDER BY rest DESC, tie, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), high - quota), 0)
 ELSE -greatest(least(-lack - coalesce(sum(quota - low) OVER (ORDER BY rest, tie DESC, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), quota - low), 0) END)::BIGINT AS quota FROM w)"""
+#: Plain greedy: a step for each front of the largest quota.
+_GREEDY = """g AS (SELECT family, 0 AS turn, []::BIGINT[] AS ids, []::VARCHAR[] AS sizes, []::VARCHAR[] AS conditions, []::VARCHAR[] AS sources FROM q
+UNION ALL SELECT family, turn + 1, list_append(ids, b.front_id), list_append(sizes, b.size), list_append(conditions, b.condition), list_append(sources, b.source) FROM (
+SELECT g.family, any_value(g.turn) AS turn, any_value(ids) AS ids, any_value(sizes) AS sizes, any_value(conditions) AS conditions, any_value(sources) AS sources,
+arg_min({'front_id': f.front_id, 'size': f.size, 'condition': f.condition, 'source': f.source},
+{'s': -(8 * (NOT list_contains(sizes, f.size))::INT + 4 * (NOT list_contains(conditions, f.condition))::INT + 2 * (NOT list_contains(sources, f.source))::INT), 'k': f.key, 'i': f.front_id}) AS b
+FROM g JOIN q USING (family) JOIN f USING (family) WHERE g.turn < q.quota AND NOT list_contains(ids, f.front_id) GROUP BY g.family)),
+chosen AS (SELECT family, unnest(ids) AS front_id, generate_subscripts(ids, 1) AS turn FROM g JOIN q USING (family) WHERE turn = quota)"""
+_FRONT_META = """families AS (SELECT p_partkey AS front_id, substr(p_brand, 1, 7) AS family, p_size AS size, p_type AS condition, split_part(p_name, ' ', 1) AS source, p_name AS front_name FROM part),
+f AS (SELECT front_id, family, coalesce(size::VARCHAR, 'unknown') AS size, coalesce(condition, 'unknown') AS condition, coalesce(source, 'unknown') AS source, substr(sha256('42:' || front_name), 1, 16) AS key FROM families)"""
+
+
+def _recursive(last):
+    return f"WITH RECURSIVE {_FRONT_META}, {_QUOTA}, {_GREEDY} {last}"
+
+
+def front_meta(spark, d):
+    """Parts as fronts with a name, of some five families."""
+    p = X.table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("front_id"), F.substring("p_brand", 1, 7).alias("family"), F.col("p_size").alias("size"), F.col("p_type").alias("condition"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("source"), F.col("p_name").alias("front_name"))
 
 
 @query("w13_test_quotas", _with(X.FAMILIES, _QUOTA) + "SELECT family, n, quota FROM q")
@@ -176,22 +197,16 @@ def w13(spark, d):
     return P.test_quotas(X.families(spark, d))
 
 
-def _assigned(spark, d):
-    f = X.families(spark, d).withColumn("source", F.lit("part"))
-    f = f.withColumn("family", F.substring("family", 1, 7))  # some ten families
-    quotas = P.test_quotas(f, 0.02)
-    return P.assigned(f, P.diverse_test_fronts(f, quotas))
-
-
-@query("w15_assigned_splits")
+@query("w15_assigned_splits", _recursive("SELECT front_id, family, CASE WHEN c.turn IS NULL THEN 'development' ELSE 'test' END AS split FROM families LEFT JOIN chosen AS c USING (front_id, family)"))
 def w15(spark, d):
-    return _assigned(spark, d).select("front_id", "family", "split")
+    f = front_meta(spark, d)
+    return P.assigned(f, P.diverse_test_fronts(f, P.test_quotas(f), name="front_name")).select("front_id", "family", "split")
 
 
-@query("w14_diverse_fronts")
+@query("w14_diverse_fronts", _recursive("SELECT front_id, family, turn FROM chosen"))
 def w14(spark, d):
-    f = X.families(spark, d).withColumn("source", F.lit("part")).withColumn("family", F.substring("family", 1, 7))
-    return P.diverse_test_fronts(f, P.test_quotas(f, 0.01))
+    f = front_meta(spark, d)
+    return P.diverse_test_fronts(f, P.test_quotas(f), name="front_name")
 
 
 _SPLIT = "splits AS (SELECT front_id, family, size, CASE WHEN substr(sha256('7:' || front_id), 1, 1) < '3' THEN 'test' ELSE 'development' END AS split FROM families)"
@@ -343,7 +358,7 @@ def p17(spark, d):
 @query("a15_gene_sets", "WITH w AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b FROM part) SELECT a AS source, b AS target FROM w WHERE a <> b AND b <> ''")
 def a15(spark, d):
     """Part names as gene-set lines: a term, a description and a target."""
-    p = X.table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b")).distinct()
+    p = X.table(spark, d, "part").select(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b")).distinct()
     path = T.fresh_path(spark, "sets")
     p.select(F.concat_ws("\t", F.concat("a", F.lit(" (set)")), F.lit("of"), "b").alias("value")).write.text(path)
     genes = V.universe(p.select(F.col("a").alias("gene_symbol")).union(p.select("b")))
@@ -353,7 +368,7 @@ def a15(spark, d):
 @query("p16_term_factors", "SELECT DISTINCT p_name, upper(split_part(p_name, ' ', 1)) || '/X' AS factors FROM part")
 def p16(spark, d):
     p = X.table(spark, d, "part").select("p_name").distinct()
-    return p.select("p_name", F.array_join(V.term_factors(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("(a)::x/X "), F.col("p_name"))), "/").alias("factors"))
+    return p.select("p_name", F.array_join(V.term_factors(F.concat(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)), F.lit("(a)::x/X "), F.col("p_name"))), "/").alias("factors"))
 
 
 @query("a16_factor_scores", "SELECT upper(o_orderstatus) AS source, upper(trim(o_orderpriority)) AS target, count(*) AS n, round(sum(greatest(o_totalprice - 200000, o_custkey - 10)), 2) AS total FROM orders WHERE greatest(o_totalprice - 200000, o_custkey - 10) > 0 GROUP BY 1, 2")

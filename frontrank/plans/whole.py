@@ -16,7 +16,7 @@ from frontrank.operators import stats as S
 from frontrank.plans import fixtures as X
 from frontrank.plans.comparing import _CHOICE, _DIR, _METHODS, _PIV, _RANKED, _ST, _SUMMARY, _ranks, _summaries, values
 from frontrank.plans.learning import ORDER, rows
-from frontrank.plans.profiling import _C, _SPLIT, cells, splits
+from frontrank.plans.profiling import _C, _SPLIT, _recursive, cells, front_meta, splits
 from frontrank.plans.ranking import _with
 from frontrank.plans.registry import ORACLE_SQL, half_sql, mean_sql, query, r6
 from frontrank.sources import tables as T
@@ -187,10 +187,9 @@ def f4(spark, d):
 # ---- splits and built data
 
 
-@query("w16_audited_split")
+@query("w16_audited_split", _recursive("SELECT family, CASE WHEN c.turn IS NULL THEN 'development' ELSE 'test' END AS split, count(*) AS fronts FROM families LEFT JOIN chosen AS c USING (front_id, family) GROUP BY 1, 2"))
 def w16(spark, d):
-    f = X.families(spark, d).withColumn("source", F.lit("part")).withColumn("family", F.substring("family", 1, 7))
-    return P.audited_split(f, 0.02).groupBy("family", "split").agg(F.count("*").alias("fronts"))
+    return P.audited_split(front_meta(spark, d), name="front_name").groupBy("family", "split").agg(F.count("*").alias("fronts"))
 
 
 _NET_SQL = """once AS (SELECT technique, src, dst, avg(w) AS w FROM edge_lists GROUP BY 1, 2, 3),
