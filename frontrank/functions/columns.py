@@ -52,9 +52,10 @@ def md5_hash(seed: int, *keys: str) -> Column:
     return F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), "UTF-8"))
 
 
-def row_fingerprint(*columns: str) -> Column:
-    """crc32 over the text of all columns, `<NA>` for null: a stable key for rows without an id."""
-    return F.crc32(F.encode(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in columns]), "UTF-8"))
+def row_fingerprint(*columns: str, hashed: str = "crc32") -> Column:
+    """crc32 (or md5) over the text of all columns, `<NA>` for null: a stable key for rows without an id."""
+    text = F.encode(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in columns]), "UTF-8")
+    return F.md5(text) if hashed == "md5" else F.crc32(text)
 
 
 def split_key(seed: int, value: Column) -> Column:

@@ -148,7 +148,8 @@ def score_rule(df: DataFrame, rule: str, objectives: Mapping[str, str], weights:
 def rule_scores(df: DataFrame, objectives: Mapping[str, str], keep: Sequence[str] = ("target",)) -> DataFrame:
     """Long form (front, item, keep, rule, score) of all rules from one pass."""
     wide = with_rules(df, objectives)
-    return wide.select(FRONT, ITEM, *keep, *rule_names(objectives)).unpivot([FRONT, ITEM, *keep], rule_names(objectives), "rule", "score")
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in rule_names(objectives)])  # explode keeps the exchange by front, unpivot wouldn't
+    return wide.select(FRONT, ITEM, *keep, F.explode(each).alias("x")).select(FRONT, ITEM, *keep, "x.rule", "x.score")
 
 
 def best_candidates(scores: DataFrame, digits: int | None = None) -> DataFrame:

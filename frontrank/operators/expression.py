@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import random
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from math import gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +58,115 @@ def condition_features(cells: DataFrame) -> DataFrame:
     return each.groupBy(FRONT).agg(*[x for c in ("mean", "std", "cv", "zeros", "missing") for x in _five(c)], F.max("z").alias("max_z"))
 
 
+#: Vectors of a tile, and values of each that a tile holds.
+TILE, SPAN = 256, 512
+
+
+def _numbered(cells: DataFrame, key: str) -> DataFrame:
+    """(front, key, at): the keys of each front counted from 0."""
+    return cells.select(FRONT, key).distinct().withColumn("at", F.row_number().over(Window.partitionBy(FRONT).orderBy(key)) - 1)
+
+
+def _pair_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shared cells, sums, sums of squares and of products for each row of x with each row of y; NaN is no value."""
+    mx, my = ~np.isnan(x), ~np.isnan(y)
+    x, y, mx, my = np.nan_to_num(x), np.nan_to_num(y), mx.astype(float), my.astype(float)
+    return np.stack([mx @ my.T, x @ my.T, mx @ y.T, (x * x) @ my.T, mx @ (y * y).T, x @ y.T])
+
+
+def _pair_rows(front: int, a: int, b: int, sums: np.ndarray) -> pa.RecordBatch:
+    n, x, y, xx, yy, xy = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = xx / n - (x / n) ** 2, yy / n - (y / n) ** 2
+        flat = (vx <= 1e-13 * (xx / n)) | (vy <= 1e-13 * (yy / n))
+        r = np.where(flat, np.nan, (xy / n - x / n * y / n) / np.sqrt(vx * vy))
+    i, j = np.nonzero((n >= 2) & ~np.isnan(r) & ((a < b) | (np.arange(n.shape[0])[:, None] < np.arange(n.shape[1]))))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), front), pa.int64()), pa.array(a * TILE + i, pa.int64()), pa.array(b * TILE + j, pa.int64()), pa.array(r[i, j])], [FRONT, "i", "j", "r"])
+
+
+def _tile_pairs(cells: DataFrame, key: str, other: str) -> DataFrame:
+    """(front, i, j, r) of all pairs of numbered keys. What is shuffled are tiles, once for each tile that they meet.
+
+    A tile holds TILE vectors over SPAN places of the other side, each vector less its mean. Pairs of tiles come to one
+    task, span by span in order, and their sums are added up there.
+    """
+    left, right = _numbered(cells, key), _numbered(cells, other)
+    mean = F.avg("value").over(Window.partitionBy(FRONT, key))  # a vector
+    placed = cells.withColumn("value", F.col("value") - mean).join(left.withColumnRenamed("at", "row"), [FRONT, key]).join(right.withColumnRenamed("at", "col"), [FRONT, other])
+    cell = F.struct((F.col("row") % TILE).cast("int").alias("r"), (F.col("col") % SPAN).cast("int").alias("c"), F.col("value").alias("v"))
+    tiles = placed.groupBy(FRONT, F.floor(F.col("row") / TILE).alias("tile"), F.floor(F.col("col") / SPAN).alias("span")).agg(F.collect_list(cell).alias("cells"))  # TILE x SPAN cells at most
+    counts = left.groupBy(FRONT).agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    met = tiles.join(counts, FRONT).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    sides = F.when(F.col("tile") == F.col("with"), F.array(F.lit(0), F.lit(1))).when(F.col("tile") < F.col("with"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+    sent = met.select(FRONT, F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "span", F.explode(sides).alias("side"), F.col("cells.r").alias("r"), F.col("cells.c").alias("c"), F.col("cells.v").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, span, held, sums = None, None, {}, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                front, a, b, part, side = (batch.column(c)[k].as_py() for c in range(5))
+                if now != (front, a, b):
+                    if sums is not None:
+                        yield _pair_rows(*now, sums)
+                    now, span, held, sums = (front, a, b), None, {}, None
+                if span != part:
+                    span, held = part, {}
+                tile = np.full((TILE, SPAN), np.nan)
+                tile[tuple(np.asarray(batch.column(c)[k].values) for c in (5, 6))] = np.asarray(batch.column(7)[k].values.to_numpy(zero_copy_only=False), float)
+                held[side] = tile
+                if len(held) == 2:
+                    more = _pair_sums(held[0], held[1])
+                    sums = more if sums is None else sums + more
+        if sums is not None:
+            yield _pair_rows(*now, sums)
+
+    return sent.repartition(FRONT, "a", "b").sortWithinPartitions(FRONT, "a", "b", "span", "side").mapInArrow(run, f"{FRONT} long, i long, j long, r double")
+
+
+def _drawn_pairs(numbered: DataFrame, sample: int, seed: int) -> DataFrame:
+    """(front, i, j): `sample` different pairs of each front's numbers, all where there are fewer; drawn before any cell is met.
+
+    Pairs have numbers from 0 to total - 1; every step-th of them, step prime to total, comes in turn.
+    """
+    rng = random.Random(seed)
+    start, stride = rng.random(), rng.randrange(1 << 40)
+    n = numbered.groupBy(FRONT).agg(F.count("*").alias("n")).withColumn("total", F.expr("n * (n - 1) div 2")).filter("total > 0")
+
+    def draw(front: pd.Series, n: pd.Series, total: pd.Series) -> pd.DataFrame:
+        out = []
+        for f, size, all_ in zip(front, n, total, strict=True):
+            size, all_ = int(size), int(all_)
+            step = stride % all_ or 1
+            while gcd(step, all_) > 1:
+                step = step % all_ + 1
+            p = (int(start * all_) + step * np.arange(min(sample, all_), dtype=object)) % all_
+            p = p.astype(np.int64)
+            j = ((1 + np.sqrt(1 + 8.0 * p)) // 2).astype(np.int64)
+            j = np.where(j * (j - 1) // 2 > p, j - 1, j)
+            j = np.where((j + 1) * j // 2 <= p, j + 1, j)
+            out.append(pd.DataFrame({FRONT: f, "i": p - j * (j - 1) // 2, "j": j}))
+        return pd.concat(out)
+
+    return n.select(FRONT, "n", "total").mapInPandas(lambda frames: (draw(x[FRONT], x["n"], x["total"]) for x in frames if len(x)), f"{FRONT} long, i long, j long")
+
+
 def correlations(cells: DataFrame, key: str = "gene", sample: int | None = None, seed: int = 0) -> DataFrame:
     """(front, a, b, r) for pairs of genes over shared conditions (or the reverse), two shared cells at least.
 
-    sample keeps that many pairs of each front, those with the smallest hash.
+    All pairs go by tiles; with sample, that many pairs of each front are drawn first, and only their cells are joined.
     """
     other = "cond" if key == "gene" else "gene"
-    known = cells.filter("value IS NOT NULL")
-    left = known.select(FRONT, F.col(key).alias("a"), other, F.col("value").alias("x"))
-    right = known.select(FRONT, F.col(key).alias("b"), other, F.col("value").alias("y"))
-    r = left.join(right, [FRONT, other]).filter("a < b").groupBy(FRONT, "a", "b").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("r")).filter("n >= 2 AND r IS NOT NULL")
-    if sample is not None:
-        r = r.withColumn("__i", F.row_number().over(Window.partitionBy(FRONT).orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b"))).filter(F.col("__i") <= sample).drop("__i")
-    return r.drop("n")
+    known = cells.filter("value IS NOT NULL").select(FRONT, "gene", "cond", F.col("value").cast("double").alias("value"))
+    names = _numbered(known, key)
+    if sample is None:
+        r = _tile_pairs(known, key, other)
+    else:
+        row = known.join(names, [FRONT, key])
+        x, y = (row.select(FRONT, F.col("at").cast("long").alias(side), other, F.col("value").alias(v)) for side, v in (("i", "x"), ("j", "y")))
+        joined = _drawn_pairs(names, sample, seed).join(x, [FRONT, "i"]).join(y, [FRONT, "j", other])
+        r = joined.groupBy(FRONT, "i", "j").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("r")).filter("n >= 2 AND r IS NOT NULL")
+    a, b = (names.select(FRONT, F.col("at").cast("long").alias(at), F.col(key).alias(name)) for at, name in (("i", "a"), ("j", "b")))
+    return r.join(a, [FRONT, "i"]).join(b, [FRONT, "j"]).select(FRONT, "a", "b", "r")
 
 
 def correlation_features(cells: DataFrame, key: str = "gene", sample: int | None = None) -> DataFrame:
@@ -75,26 +174,59 @@ def correlation_features(cells: DataFrame, key: str = "gene", sample: int | None
     return r.groupBy(FRONT).agg(F.avg("r").alias(f"{key}_r_mean"), F.stddev_pop("r").alias(f"{key}_r_std"), F.avg("m").alias(f"{key}_r_abs_mean"), F.percentile("m", F.lit(0.9)).alias(f"{key}_r_abs_p90"))
 
 
+#: Numbers of Gram matrices that a task holds before it hands them on.
+HELD = 1 << 22
+
+
+def _gram(cells: DataFrame, center: str, other: str) -> DataFrame:
+    """(front, size, gram): partial Gram matrices over `center`, one for each front and task, of the centered cells."""
+    means = cells.groupBy(FRONT, center).agg(F.avg("value").alias("mean"))
+    at = F.row_number().over(Window.partitionBy(FRONT).orderBy(center)) - 1  # a row for each place of the matrix
+    means = means.withColumns({"at": at, "size": F.count("*").over(Window.partitionBy(FRONT))})
+    centered = cells.join(means, [FRONT, center]).select(FRONT, other, "size", F.struct("at", (F.col("value") - F.col("mean")).alias("v")).alias("x")).filter("x.v IS NOT NULL")
+    rows = centered.groupBy(FRONT, other).agg(F.first("size").alias("size"), F.collect_list("x").alias("x")).select(FRONT, "size", "x.at", "x.v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([len(g) for g in total.values()], pa.int32()), pa.array([g.tobytes() for g in total.values()], pa.binary())], [FRONT, "size", "gram"])
+
+        for batch in batches:
+            front, size = (np.asarray(batch.column(c), np.int64) for c in (0, 1))
+            ends = np.asarray(batch.column(2).offsets, np.int64)
+            ends, at, v = ends - ends[0], np.asarray(batch.column(2).flatten(), np.int64), np.asarray(batch.column(3).flatten())
+            for f in np.unique(front):
+                own = np.flatnonzero(front == f)
+                step = max(1, HELD // int(size[own[0]]))
+                for some in (own[k : k + step] for k in range(0, len(own), step)):
+                    m = np.zeros((len(some), int(size[some[0]])))
+                    for line, k in enumerate(some):
+                        m[line, at[ends[k] : ends[k + 1]]] = v[ends[k] : ends[k + 1]]
+                    total[int(f)] = total.get(int(f), 0) + m.T @ m
+            if sum(g.size for g in total.values()) > HELD:
+                yield out()
+                total.clear()
+        if total:
+            yield out()
+
+    return rows.mapInArrow(run, f"{FRONT} long, size int, gram binary")
+
+
 def spectrum(cells: DataFrame, center: str = "cond") -> DataFrame:
     """(front, place, eigenvalue) of the centered matrix's Gram matrix over conditions, missing cells 0 after centering.
 
-    The Gram matrix is a distributed sum over genes; only it (conditions squared) goes to one task for each front.
+    Tasks add up outer products of the rows they have; only such partial sums meet, for each front in one task. A front
+    whose cells are all missing has none.
     """
-    mean = F.avg("value").over(Window.partitionBy(FRONT, center))
-    c = cells.withColumn("v", F.coalesce(F.col("value") - mean, F.lit(0.0)))
-    left, right = c.select(FRONT, "gene", F.col("cond").alias("i"), F.col("v").alias("x")), c.select(FRONT, "gene", F.col("cond").alias("j"), F.col("v").alias("y"))
-    gram = left.join(right, [FRONT, "gene"]).filter("i <= j").groupBy(FRONT, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["i"]) | set(pdf["j"]))
-        at = {n: k for k, n in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        i, j = pdf["i"].map(at), pdf["j"].map(at)
-        m[i, j] = m[j, i] = pdf["g"]
-        values = np.maximum(np.sort(np.linalg.eigvalsh(m))[::-1], 0)
-        return pd.DataFrame({FRONT: key[0], "place": np.arange(1, len(values) + 1), "eigenvalue": values})
+    def solve(table: pa.Table) -> pa.Table:
+        n = table.column("size")[0].as_py()
+        gram = np.sum([np.frombuffer(x).reshape(n, n) for x in table.column("gram").to_pylist()], axis=0)
+        values = np.maximum(np.linalg.eigvalsh(gram)[::-1], 0)
+        return pa.table({FRONT: pa.array([table.column(FRONT)[0].as_py()] * n, pa.int64()), "place": pa.array(range(1, n + 1), pa.int32()), "eigenvalue": values})
 
-    return gram.groupBy(FRONT).applyInPandas(solve, f"{FRONT} long, place int, eigenvalue double")
+    return _gram(cells, center, "gene" if center == "cond" else "cond").groupBy(FRONT).applyInArrow(solve, f"{FRONT} long, place int, eigenvalue double")
 
 
 def effective_rank(values: DataFrame, value: str = "eigenvalue") -> DataFrame:
@@ -141,14 +273,14 @@ def time_features(cells: DataFrame, lag: int = 1) -> DataFrame:
 BLOCKS = {"global": global_features, "gene": gene_features, "condition": condition_features, "gene_r": correlation_features, "cond_r": lambda c: correlation_features(c, "cond"), "pca": pca_features, "time": time_features}
 
 
-def expression_features(cells: DataFrame, blocks: Sequence[str] = ("global", "gene", "condition", "gene_r", "time")) -> DataFrame:
+def expression_features(cells: DataFrame, blocks: Sequence[str] = tuple(BLOCKS)) -> DataFrame:
     """The chosen blocks side by side, a row for each matrix; columns get the prefix expr_<block>_."""
 
     def named(b: str) -> DataFrame:
         df = BLOCKS[b](cells)
         return df.select(FRONT, *[F.col(c).alias(f"expr_{b}_{c}") for c in df.columns if c != FRONT])
 
-    return reduce(lambda a, b: a.join(b, FRONT), [named(b) for b in blocks])
+    return reduce(lambda a, b: a.join(b, FRONT, "left"), [named(b) for b in blocks], cells.select(FRONT).distinct())
 
 
 def exploded_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

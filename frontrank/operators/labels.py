@@ -43,24 +43,27 @@ def continuous() -> Column:
     return F.coalesce(ratio(F.col(TARGET) - low, high - low), F.lit(0.0))
 
 
-def quantile_edges(df: DataFrame, quantiles: int) -> DataFrame:
-    """For each front, linearly interpolated edges of min(quantiles, distinct) bins, without repeats."""
-    sorted_ = df.groupBy(FRONT).agg(F.sort_array(F.collect_list(TARGET)).alias("v"), F.least(F.lit(quantiles), F.count_distinct(TARGET)).cast("int").alias("q"))
+def with_quantiles(df: DataFrame, quantiles: int = 10) -> DataFrame:
+    """Right-closed bins from 0, by linearly interpolated edges of min(quantiles, distinct) bins without repeats.
 
-    def edge(i: Column) -> Column:
-        at = i * (F.size("v") - 1) / F.col("q")
-        low = F.get("v", F.floor(at).cast("int"))
-        high = F.get("v", F.least(F.floor(at).cast("int") + 1, F.size("v") - 1))
-        return low + (high - low) * (at - F.floor(at))
+    A front's targets are one sorted array beside its items, so there is one exchange and no join back.
+    """
 
-    return sorted_.select(FRONT, F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("q")), edge)).alias("edges"))
+    def edges(v: Column) -> Column:
+        q = F.least(F.lit(quantiles), F.size(F.array_distinct(v)))
 
+        def edge(i: Column) -> Column:
+            at = i * (F.size(v) - 1) / q
+            low = F.get(v, F.floor(at).cast("int"))
+            high = F.get(v, F.least(F.floor(at).cast("int") + 1, F.size(v) - 1))
+            return low + (high - low) * (at - F.floor(at))
 
-def with_quantiles(df: DataFrame, quantiles: int = 10) -> DataFrame:
-    """Right-closed bins from 0; a front's sorted targets are one array, bounded by the front."""
-    edges = quantile_edges(df, quantiles)
-    below = F.size(F.filter("edges", lambda e: e < F.col(TARGET)))
-    return df.join(edges, FRONT).withColumn("label", F.greatest(below - 1, F.lit(0))).drop("edges")
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), q), edge))
+
+    rows = df.groupBy(FRONT).agg(F.collect_list(F.struct(*df.columns)).alias("rows"), F.sort_array(F.collect_list(TARGET)).alias("v"))
+    cut = rows.select("rows", edges(F.col("v")).alias("edges")).select("edges", F.explode("rows").alias("row"))
+    below = F.size(F.filter("edges", lambda e: e < F.col(f"row.{TARGET}")))
+    return cut.select("row.*", F.greatest(below - 1, F.lit(0)).alias("label"))
 
 
 def with_shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -105,6 +108,14 @@ def item_pairs(df: DataFrame, *columns: str) -> DataFrame:
     return left.join(right, FRONT).filter("item_a < item_b")
 
 
+def pair_counts(df: DataFrame, column: str) -> DataFrame:
+    """(front, pairs, tied): pairs of items of each front of two or more, and those equal in column, from the sizes of its blocks."""
+    block = df.groupBy(FRONT, column).agg(F.count("*").alias("t"))
+    pairs = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
+    tied = F.when(F.col(column).isNotNull(), pairs("t")).otherwise(0)
+    return block.groupBy(FRONT).agg(F.sum("t").alias("n"), F.sum(tied).alias("tied")).filter("n > 1").select(FRONT, pairs("n").alias("pairs"), "tied")
+
+
 def position_ids(df: DataFrame, by: list[str]) -> DataFrame:
     """item_id 1..n in each front by an explicit order, for tables without an id."""
     return df.withColumn(ITEM, F.row_number().over(Window.partitionBy(FRONT).orderBy(*by)))

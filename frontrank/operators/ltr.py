@@ -108,14 +108,15 @@ def fit(df: DataFrame, kind: str, order: Sequence[str], params: Mapping | None =
         ready = VectorAssembler(inputCols=[f"d{i}" for i in range(len(order))], outputCol="features").transform(made)
         model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="delta", regParam=p["reg"], fitIntercept=False, maxIter=50).fit(ready)
         return Ranker(kind, order, [], [float(v) for v in model.coefficients])
-    state, models = materialized(vectors.select(*KEYS, "label", F.lit(0.0).alias("score")), "scores"), []
-    x = vectors.select(*KEYS, "features")
-    for turn in range(p["rounds"]):
-        step = x.join(lambdas(state), KEYS, "left").withColumn("gradient", F.coalesce("gradient", F.lit(0.0)))
-        model = DecisionTreeRegressor(featuresCol="features", labelCol="gradient", predictionCol="step", maxDepth=p["depth"], seed=seed + turn).fit(step)
-        models.append(model)
-        moved = state.join(model.transform(x).select(*KEYS, "step"), KEYS).select(*KEYS, "label", (F.col("score") + p["rate"] * F.col("step")).alias("score"))
-        state = materialized(moved, "scores")
+    models, x = [], vectors.select(*KEYS, "features")
+    with Scratch(df.sparkSession) as scratch:
+        state = scratch.turn(vectors.select(*KEYS, "label", F.lit(0.0).alias("score")), "scores")
+        for turn in range(p["rounds"]):
+            step = x.join(lambdas(state), KEYS, "left").withColumn("gradient", F.coalesce("gradient", F.lit(0.0)))
+            model = DecisionTreeRegressor(featuresCol="features", labelCol="gradient", predictionCol="step", maxDepth=p["depth"], seed=seed + turn).fit(step)
+            models.append(model)
+            moved = state.join(model.transform(x).select(*KEYS, "step"), KEYS).select(*KEYS, "label", (F.col("score") + p["rate"] * F.col("step")).alias("score"))
+            state = scratch.turn(moved, "scores")
     return Ranker(kind, order, models, [p["rate"]] * len(models))
 
 

@@ -5,13 +5,15 @@ Everything is windows over fronts plus one small explode over ks; subsets of tie
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frontrank.functions import KS, average_rank, comb_ratio, exact_mean, pearson
-from frontrank.operators.labels import FRONT, ITEM, SCORE, TARGET, item_pairs
+from frontrank.operators.labels import FRONT, SCORE, TARGET
 
 
 def _keys(df: DataFrame, over: Sequence[str]) -> list[str]:
@@ -83,12 +85,70 @@ def spearman(df: DataFrame, over: Sequence[str] = ()) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.coalesce(pearson(F.col("x"), F.col("y")), F.lit(0.0)).alias("spearman"))
 
 
+def inversions(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each place, how many earlier places of its group hold a larger value; groups lie on end.
+
+    Merges from the bottom up, all groups at once: in each round, blocks of twice the width are put in order, and a place
+    of a right half counts those of the left half that come behind it.
+    """
+    n = len(values)
+    out = np.zeros(n, np.int64)
+    begin = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, n))
+    place = np.arange(n) - np.repeat(begin, sizes)
+    rank = np.unique(values, return_inverse=True)[1]
+    order, width, longest = np.arange(n), 1, sizes.max() if n else 0
+    while width < longest:
+        block = place[order] // (2 * width)
+        order = order[np.lexsort((place[order], rank[order], block, group[order]))]
+        left = (place[order] // width) % 2 == 0
+        key = group[order].astype(np.int64) * (longest + 1) + place[order] // (2 * width)
+        heads = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        seen = np.cumsum(left)
+        before = np.repeat(seen[heads] - left[heads], np.diff(np.append(heads, n)))
+        whole = np.repeat(np.append(seen[heads[1:] - 1], seen[-1]) - (seen[heads] - left[heads]), np.diff(np.append(heads, n)))
+        late = ~left
+        out[order[late]] += (whole - (seen - before))[late]
+        width *= 2
+    return out
+
+
+def _tied(group: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """For each group, pairs of places that are equal in all values."""
+    order = np.lexsort((*values, group))
+    new = np.diff(group[order], prepend=-1) != 0
+    for v in values:
+        new |= np.diff(v[order], prepend=np.nan) != 0
+    heads = np.flatnonzero(new)
+    t = np.diff(np.append(heads, len(order)))
+    return np.bincount(group[order][heads], t * (t - 1) // 2, group.max() + 1 if len(group) else 0)
+
+
 def kendall(df: DataFrame) -> DataFrame:
-    """tau-b from pairs inside each front; 0 where a side is constant."""
-    pairs = item_pairs(df, SCORE, TARGET).select(FRONT, F.signum(F.col("score_a") - F.col("score_b")).alias("x"), F.signum(F.col("target_a") - F.col("target_b")).alias("y"))
-    agreed = F.sum(F.col("x") * F.col("y"))
-    apart = F.sqrt(F.count_if(F.col("x") != 0) * F.count_if(F.col("y") != 0).cast("double"))
-    return pairs.groupBy(FRONT).agg(F.coalesce(F.try_divide(agreed, apart), F.lit(0.0)).alias("kendall"))
+    """tau-b of each front of two items or more; 0 where a side is constant. Items without score or target don't count.
+
+    By inversion counts: with items in order of score, then target, pairs that disagree are those whose targets fall.
+    n items cost n log n; a front's scores and targets are two arrays of a row.
+    """
+    pair = F.when(F.col(SCORE).isNotNull() & F.col(TARGET).isNotNull(), F.struct(F.col(SCORE).cast("double").alias("x"), F.col(TARGET).cast("double").alias("y")))
+    fronts = df.groupBy(FRONT).agg(F.count("*").alias("n"), F.collect_list(pair).alias("p")).filter("n >= 2").select(FRONT, "p.x", "p.y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(1).value_lengths(), np.int64)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            x, y = (np.asarray(batch.column(c).flatten(), np.float64) for c in (1, 2))
+            tau = np.zeros(len(sizes))
+            if len(group):
+                order = np.lexsort((y, x, group))
+                against = np.bincount(group, inversions(group, y[order]), len(sizes))
+                pad = lambda t: np.pad(t, (0, len(sizes) - len(t)))  # noqa: B023, E731
+                pairs, by_x, by_y, both = sizes * (sizes - 1) // 2, pad(_tied(group, x)), pad(_tied(group, y)), pad(_tied(group, x, y))
+                apart = np.sqrt((pairs - by_x) * (pairs - by_y))
+                tau = np.where(apart > 0, (pairs - by_x - by_y + both - 2 * against) / np.where(apart > 0, apart, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tau)], [FRONT, "kendall"])
+
+    return fronts.mapInArrow(run, f"{FRONT} {dict(df.dtypes)[FRONT]}, kendall double")
 
 
 def long_metrics(df: DataFrame, ks: Sequence[int] = KS, over: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frontrank.functions import EPS_GRAPH, pearson
-from frontrank.sources.tables import materialized
+from frontrank.sources.tables import Scratch, materialized
 
 NET = "net_id"
 
@@ -116,14 +116,23 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """Mean weighted clustering: geometric mean of a triangle's weights over the largest weight (Onnela et al. 2005)."""
+    """Mean weighted clustering: geometric mean of a triangle's weights over the largest weight (Onnela et al. 2005).
+
+    Edges point from the node of fewer edges to that of more, and only two edges out of one node make a wedge: a hub
+    makes none with its leaves, and m edges make m ** 1.5 wedges at most.
+    """
     u = undirected(edges)
     top = edges.groupBy(NET).agg(F.max("w").alias("top"))
     scaled = u.join(top, NET).select(NET, "a", "b", F.cbrt(F.col("w") / F.col("top")).alias("g"))
-    ab, bc, ac = scaled, scaled.select(NET, F.col("a").alias("b"), F.col("b").alias("c"), F.col("g").alias("g2")), scaled.select(NET, "a", F.col("b").alias("c"), F.col("g").alias("g3"))
-    triangles = ab.join(bc, [NET, "b"]).join(ac, [NET, "a", "c"]).select(NET, "a", "b", "c", (F.col("g") * F.col("g2") * F.col("g3")).alias("t"))
-    at = triangles.select(NET, F.explode(F.array("a", "b", "c")).alias("node"), "t").groupBy(NET, "node").agg(F.sum("t").alias("t"))
     degree = u.select(NET, F.explode(F.array("a", "b")).alias("node")).groupBy(NET, "node").agg(F.count("*").alias("d"))
+    ranks = [degree.select(NET, F.col("node").alias(side), F.struct("d", "node").alias(f"r{side}")) for side in ("a", "b")]
+    placed = scaled.join(ranks[0], [NET, "a"]).join(ranks[1], [NET, "b"])
+    order = placed.select(NET, F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"), "g")
+    two = order.select(NET, "lo", F.col("hi").alias("far"), F.col("g").alias("g2"))
+    third = order.select(NET, F.col("lo").alias("hi"), F.col("hi").alias("far"), F.col("g").alias("g3"))
+    wedges = order.join(two, [NET, "lo"]).filter("hi < far")
+    triangles = wedges.join(third, [NET, "hi", "far"]).select(NET, F.col("lo.node").alias("a"), F.col("hi.node").alias("b"), F.col("far.node").alias("c"), (F.col("g") * F.col("g2") * F.col("g3")).alias("t"))
+    at = triangles.select(NET, F.explode(F.array("a", "b", "c")).alias("node"), "t").groupBy(NET, "node").agg(F.sum("t").alias("t"))
     each = nodes(edges).join(degree, [NET, "node"], "left").join(at, [NET, "node"], "left")
     value = F.when(F.col("d") >= 2, 2 * F.coalesce("t", F.lit(0.0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
     return each.groupBy(NET).agg(F.avg(value).alias("clustering"))
@@ -139,35 +148,77 @@ def entropies(edges: DataFrame) -> DataFrame:
     return entropy(edges, "w", [NET], "edge_entropy").join(entropy(strengths(edges), "total_s", [NET], "node_entropy"), NET)
 
 
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Smallest label that reaches each node along edges, by rounds of joins until nothing changes."""
-    current = materialized(labels, "labels")
+def _spread(edges: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Smallest label that reaches each node along edges, by rounds of joins until nothing changes.
+
+    A label is a node's name, and what reaches that node reaches all that have its label: each round also takes over the
+    label of one's label, so that a label goes twice as far each time along a path.
+    """
+    current = scratch.turn(labels, name)
     while True:
         reached = edges.join(current.select(NET, F.col("node").alias("src"), "label"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.min("label").alias("l"))
-        new = materialized(current.join(reached, [NET, "node"], "left").select(NET, "node", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("moved")), "labels")
+        jumped = current.select(NET, F.col("node").alias("label"), F.col("label").alias("j"))
+        both = current.join(reached, [NET, "node"], "left").join(jumped, [NET, "label"], "left")
+        new = scratch.turn(both.select(NET, "node", F.least("label", "l", "j").alias("label"), (F.least("l", "j") < F.col("label")).alias("moved")), name)
         if new.filter("moved").isEmpty():
             return new.drop("moved")
         current = new.drop("moved")
 
 
+def _hanging(edges: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(net, node): nodes that no cycle can hold, as the only way into them starts at a node without a way in.
+
+    A node with a single edge in points at its source; pointers double until they end at a node with none or several.
+    """
+    way = edges.groupBy(NET, F.col("dst").alias("node")).agg(F.min("src").alias("up"), F.count("*").alias("n"))
+    start = members.join(way, [NET, "node"], "left").select(NET, "node", F.when(F.col("n") == 1, F.col("up")).alias("up"), F.col("n").isNull().alias("free"))
+    current = scratch.turn(start, "hanging")
+    while True:  # log2 of the longest chain; what is left pointing when nothing more is freed or ended lies on or behind a cycle
+        above = current.select(NET, F.col("node").alias("up"), F.col("up").alias("next"), F.col("free").alias("freed"))
+        new = current.join(above, [NET, "up"], "left").select(NET, "node", F.col("next").alias("up"), (F.col("free") | F.coalesce("freed", F.lit(False))).alias("free"), F.col("up").isNotNull().alias("open"))
+        new = scratch.turn(new, "hanging")
+        now = new.agg(F.count_if("open")).first()[0]
+        if now == 0 or now == new.agg(F.count_if(F.col("up").isNotNull())).first()[0]:
+            return new.filter("free").select(NET, "node")
+        current = new.drop("open")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(net, node, component): strongly connected components of all networks at once.
 
-    In each round, nodes take the smallest label that reaches them forwards and backwards; where both agree the node
-    belongs to that label's component and leaves. Rounds go on until no node is left.
+    In each round, nodes that hang from or end in chains leave as components of their own; the others take the smallest
+    label that reaches them forwards and backwards. Where both agree the node belongs to that label's component and
+    leaves. Rounds go on until no node is left. Chains and cycles of any length take rounds by their logarithm.
     """
-    left, done = edges.filter("src <> dst").select(NET, "src", "dst").distinct(), None
-    rest = materialized(nodes(edges), "nodes")
-    while not rest.isEmpty():
-        start = rest.withColumn("label", F.col("node"))
-        ahead = _spread(left, start).withColumnRenamed("label", "f")
-        behind = _spread(left.select(NET, F.col("dst").alias("src"), F.col("src").alias("dst")), start).withColumnRenamed("label", "b")
-        both = materialized(ahead.join(behind, [NET, "node"]), "both")
-        found = both.filter("f = b").select(NET, "node", F.col("f").alias("component"))
-        done = found if done is None else done.unionByName(found)
-        rest = materialized(both.filter("f <> b").select(NET, "node"), "nodes")
-        left = materialized(left.join(rest.withColumnRenamed("node", "src"), [NET, "src"], "left_semi").join(rest.withColumnRenamed("node", "dst"), [NET, "dst"], "left_semi"), "left")
-    return done if done is not None else edges.select(NET, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    turned = lambda e: e.select(NET, F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+    def without(e: DataFrame, gone: DataFrame) -> DataFrame:
+        return e.join(gone.withColumnRenamed("node", "src"), [NET, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [NET, "dst"], "left_anti")
+
+    with Scratch(edges.sparkSession) as scratch:
+        left = scratch.turn(edges.filter("src <> dst").select(NET, "src", "dst").distinct(), "left")
+        rest = scratch.turn(nodes(edges), "rest")
+        done = materialized(rest.limit(0).withColumn("component", F.col("node")), "components")
+        parts = [done]
+        while not rest.isEmpty():
+            for way in (lambda e: e, turned):
+                lone = materialized(_hanging(way(left), rest, scratch).withColumn("component", F.col("node")), "components")
+                parts.append(lone)
+                rest = scratch.turn(rest.join(lone, [NET, "node"], "left_anti"), "rest")
+                left = scratch.turn(without(left, lone.select(NET, "node")), "left")
+            if rest.isEmpty():
+                break
+            start = rest.withColumn("label", F.col("node"))
+            ahead = _spread(left, start, scratch, "ahead").withColumnRenamed("label", "f")
+            behind = _spread(turned(left), start, scratch, "behind").withColumnRenamed("label", "b")
+            both = scratch.turn(ahead.join(behind, [NET, "node"]), "both")
+            parts.append(materialized(both.filter("f = b").select(NET, "node", F.col("f").alias("component")), "components"))
+            rest = scratch.turn(both.filter("f <> b").select(NET, "node"), "rest")
+            # nodes of one component share both labels, so no cycle goes over edges between others
+            marks = both.filter("f <> b")
+            ends = left.join(marks.select(NET, F.col("node").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs")), [NET, "src"]).join(marks.select(NET, F.col("node").alias("dst"), F.col("f").alias("ft"), F.col("b").alias("bt")), [NET, "dst"])
+            left = scratch.turn(ends.filter("fs = ft AND bs = bt").select(NET, "src", "dst"), "left")
+        return reduce(DataFrame.unionByName, parts)
 
 
 def largest_component(components: DataFrame) -> DataFrame:
@@ -184,17 +235,22 @@ def inside(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(net, src, dst, d) over paths of distance 1 / (w + 1e-9), by min-plus relaxation until nothing gets shorter."""
-    step = edges.filter("src <> dst").select(NET, F.col("src").alias("via"), "dst", (1 / (F.col("w") + EPS_GRAPH)).alias("step"))
-    current = materialized(step.select(NET, F.col("via").alias("src"), "dst", F.col("step").alias("d")), "paths")
-    mark = None
-    while True:
-        longer = current.select(NET, "src", F.col("dst").alias("via"), "d").join(step, [NET, "via"]).filter("src <> dst").select(NET, "src", "dst", (F.col("d") + F.col("step")).alias("d"))
-        current = materialized(current.union(longer).groupBy(NET, "src", "dst").agg(F.min("d").alias("d")), "paths")
-        now = current.agg(F.count("*"), F.round(F.sum("d"), 9)).first()
-        if now == mark:
-            return current
-        mark = now
+    """(net, src, dst, d) over paths of distance 1 / (w + 1e-9).
+
+    Min-plus relaxation from a frontier: only pairs that got shorter in the last round are carried on by an edge, and the
+    rounds end when no pair does. Distances are compared as they are.
+    """
+    step = edges.filter("src <> dst").groupBy(NET, F.col("src").alias("via"), "dst").agg(F.min(1 / (F.col("w") + EPS_GRAPH)).alias("step"))
+    with Scratch(edges.sparkSession) as scratch:
+        step = scratch.turn(step, "steps")
+        current = scratch.turn(step.select(NET, F.col("via").alias("src"), "dst", F.col("step").alias("d"), F.lit(True).alias("shorter")), "paths")
+        while not current.filter("shorter").isEmpty():
+            front = current.filter("shorter").select(NET, "src", F.col("dst").alias("via"), "d")
+            longer = front.join(step, [NET, "via"]).filter("src <> dst").groupBy(NET, "src", "dst").agg(F.min(F.col("d") + F.col("step")).alias("n"))
+            both = current.drop("shorter").join(longer, [NET, "src", "dst"], "full")
+            current = scratch.turn(both.select(NET, "src", "dst", F.least("d", "n").alias("d"), F.coalesce(F.col("n") < F.col("d"), F.col("d").isNull()).alias("shorter")), "paths")
+        scratch.keep("paths")
+        return current.drop("shorter")
 
 
 def path_features(edges: DataFrame) -> DataFrame:
@@ -217,19 +273,25 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame) -> DataFrame:
     """(net, node, part) by Louvain: nodes move to neighbouring parts, then parts become nodes, until nothing moves any more."""
-    parts = materialized(nodes(edges).withColumn("part", F.col("node")), "parts")
+    with Scratch(edges.sparkSession) as scratch:
+        return _levels(edges, scratch)
+
+
+def _levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    parts = scratch.turn(nodes(edges).withColumn("part", F.col("node")), "levels")
     while True:
-        found = moved_nodes(edges)
+        found = moved_nodes(edges, scratch)
         if found.filter("node <> part").isEmpty():
+            scratch.keep("levels")
             return parts
         step = found.select(NET, F.col("part").alias("to"), F.col("node").alias("part"))
-        parts = materialized(parts.join(step, [NET, "part"]).select(NET, "node", F.col("to").alias("part")), "parts")
+        parts = scratch.turn(parts.join(step, [NET, "part"]).select(NET, "node", F.col("to").alias("part")), "levels")
         a, b = (found.withColumnsRenamed({"node": side, "part": f"p_{side}"}) for side in ("src", "dst"))
         between = edges.join(a, [NET, "src"]).join(b, [NET, "dst"]).groupBy(NET, F.col("p_src").alias("src"), F.col("p_dst").alias("dst"))
-        edges = materialized(between.agg(F.sum("w").alias("w")), "contracted")
+        edges = scratch.turn(between.agg(F.sum("w").alias("w")), "contracted")
 
 
-def moved_nodes(edges: DataFrame, every: int = 8) -> DataFrame:
+def moved_nodes(edges: DataFrame, scratch: Scratch, every: int = 8) -> DataFrame:
     """(net, node, part) by moving nodes to the neighbouring part of the largest modularity gain.
 
     In a round only nodes whose hash parity matches may move, so that neighbours don't swap for ever; a node moves only
@@ -237,17 +299,17 @@ def moved_nodes(edges: DataFrame, every: int = 8) -> DataFrame:
     modularities hasn't grown in `every` rounds, which are then undone.
     """
     sym = edges.filter("src <> dst").select(NET, "src", "dst", "w").union(edges.filter("src <> dst").select(NET, "dst", "src", "w"))
-    sym = materialized(sym.groupBy(NET, "src", "dst").agg(F.sum("w").alias("w")), "sym")
-    degree = materialized(strengths(edges).select(NET, "node", F.col("total_s").alias("deg")), "degree")
-    total = materialized(edges.groupBy(NET).agg(F.sum("w").alias("m")), "total")
-    parts, still = materialized(degree.select(NET, "node", F.col("node").alias("part")), "parts"), 0
+    sym = scratch.turn(sym.groupBy(NET, "src", "dst").agg(F.sum("w").alias("w")), "sym")
+    degree = scratch.turn(strengths(edges).select(NET, "node", F.col("total_s").alias("deg")), "degree")
+    total = scratch.turn(edges.groupBy(NET).agg(F.sum("w").alias("m")), "total")
+    parts, still = scratch.turn(degree.select(NET, "node", F.col("node").alias("part")), "parts"), 0
     best_parts, height = parts, None
     for turn in count():
         if turn % every == 0:
             now = modularity(edges, parts).agg(F.sum("modularity")).first()[0] or 0.0
             if height is not None and now <= height + 1e-12:
                 return best_parts
-            best_parts, height = parts, now
+            best_parts, height = scratch.turn(parts, "best"), now
         mass = parts.join(degree, [NET, "node"]).groupBy(NET, "part").agg(F.sum("deg").alias("mass"))
         links = sym.join(parts.withColumnRenamed("node", "dst"), [NET, "dst"]).groupBy(NET, F.col("src").alias("node"), "part").agg(F.sum("w").alias("to"))
         own = parts.withColumnRenamed("part", "now").join(degree, [NET, "node"]).join(total, NET)
@@ -258,7 +320,7 @@ def moved_nodes(edges: DataFrame, every: int = 8) -> DataFrame:
         may = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
         alone = own.join(mass.withColumnRenamed("part", "now"), [NET, "now"]).select(NET, "node", (-F.col("deg") * (F.col("mass") - F.col("deg")) / (2 * F.col("m") * F.col("m"))).alias("zero"))
         moved = best.join(alone, [NET, "node"]).filter(may & (F.col("top.gain") > F.coalesce("stay", "zero") + 1e-12) & (F.col("to") != F.col("now"))).select(NET, "node", "to")
-        new = materialized(parts.join(moved, [NET, "node"], "left").select(NET, "node", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")), "parts")
+        new = scratch.turn(parts.join(moved, [NET, "node"], "left").select(NET, "node", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")), "parts")
         still = still + 1 if new.filter("moved").isEmpty() else 0
         parts = new.drop("moved")
         if still == 2:
@@ -274,10 +336,10 @@ def community_features(edges: DataFrame) -> DataFrame:
 BLOCKS = {"global": global_features, "strength": strength_features, "assortativity": assortativity, "reciprocity": reciprocity, "clustering": clustering, "entropy": entropies, "paths": path_features, "communities": community_features}
 
 
-def network_features(edges: DataFrame, blocks: Sequence[str] = ("global", "strength", "assortativity", "reciprocity", "clustering")) -> DataFrame:
+def network_features(edges: DataFrame, blocks: Sequence[str] = tuple(BLOCKS)) -> DataFrame:
     """The chosen blocks side by side, a row for each network; columns get the prefix grn_."""
     made = [BLOCKS[b](edges) for b in blocks]
-    joined = reduce(lambda a, b: a.join(b, NET), made)
+    joined = reduce(lambda a, b: a.join(b, NET, "left"), made, edges.select(NET).distinct())
     return joined.select(NET, *[F.col(c).alias(f"grn_{c}") for c in joined.columns if c != NET])
 
 

@@ -162,6 +162,20 @@ def cv_summary(values: DataFrame, required: Sequence[str] = ()) -> DataFrame:
     return leaderboard(summary(values)).join(ranks, ["metric", "method"], "left")
 
 
+def phase_summary(summaries: DataFrame, required: Sequence[str], runs: DataFrame | None = None, primary: str = "Regret@5") -> DataFrame:
+    """(method, metrics, primary_mean) of a phase's runs, from summaries (method, metric, mean).
+
+    Every method must have all required metrics, and every run of `runs` (method) a report; what lacks is named in the error.
+    """
+    per = summaries.groupBy("method").agg(F.count("*").alias("metrics"), F.max(F.when(F.col("metric") == primary, F.col("mean"))).alias("primary_mean"), F.collect_set(F.when(F.col("metric").isin(*required), F.col("metric"))).alias("has"))  # a few metrics
+    lacks = per.select("method", F.array_except(F.array(*map(F.lit, required)), "has").alias("lacks")).filter(F.size("lacks") > 0)
+    if runs is not None:
+        lacks = lacks.unionByName(runs.select("method").distinct().join(per, "method", "left_anti").withColumn("lacks", F.array(F.lit("its report"))))
+    if faults := lacks.orderBy("method").limit(20).collect():
+        raise ValueError("; ".join(f"{r['method']} lacks {', '.join(r['lacks'])}" for r in faults))
+    return per.drop("has")
+
+
 def comparison_summary(values: DataFrame, primary: str = "Regret@5") -> DataFrame:
     """Means over common fronts with the tests of the primary metric: the final comparison, and likewise ablations and baselines."""
     tests = rank_tests(values.filter(F.col("metric") == primary)).select("method", "z", "friedman", "p_holm", "significant")

@@ -301,7 +301,16 @@ def j15(spark, d):
     return r6(N.inside(h, N.largest_component(N.strong_components(h))).select("net_id", "src", "dst", "w"))
 
 
-@query("n13_path_features")
+#: Shortest walks of exactly hop edges; a shortest path has fewer edges than there are nodes.
+_PATHS = """big AS (SELECT net_id, component FROM scc GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY net_id ORDER BY count(*) DESC, component) = 1),
+mem AS (SELECT net_id, node FROM scc JOIN big USING (net_id, component)),
+hi AS (SELECT net_id, src, dst, 1 / (w + 1e-9) AS step FROM h WHERE (net_id, src) IN (SELECT (net_id, node) FROM mem) AND (net_id, dst) IN (SELECT (net_id, node) FROM mem)),
+walk(hop, net_id, src, dst, d) AS (SELECT 1, net_id, src, dst, step FROM hi UNION ALL
+SELECT w.hop + 1, w.net_id, w.src, hi.dst, min(w.d + hi.step) FROM walk w JOIN hi ON w.net_id = hi.net_id AND w.dst = hi.src WHERE w.hop < 25 GROUP BY ALL),
+path AS (SELECT net_id, src, dst, min(d) AS d FROM walk WHERE src <> dst GROUP BY 1, 2, 3)"""
+
+
+@query("n13_path_features", "WITH RECURSIVE " + ",\n".join((*_G, _HEAVY, _REACH, _PATHS)) + " SELECT net_id, round(avg(d), 6) AS path_mean, round(quantile_cont(d, 0.95), 6) AS path_p95 FROM path GROUP BY 1")
 def n13(spark, d):
     return r6(N.path_features(_heavy(spark, d)))
 
@@ -345,6 +354,19 @@ def t11(spark, d):
     return r6(N.consensus(weights.join(chosen, "net_id", "left_semi"), X.edge_lists(spark, d)))
 
 
+#: Paths of whole networks, each of which is one strong component here.
+_WHOLE_PATHS = _HEAVY.replace(" AND w >= cut", "")
+
+
 @query("n17_network_features")
 def n17(spark, d):
+    """All blocks that SQL can say."""
+    return r6(N.network_features(networks(spark, d), [b for b in N.BLOCKS if b != "communities"]))
+
+
+@query("n17_all_blocks")
+def n17_all(spark, d):
     return r6(N.network_features(networks(spark, d)))
+
+
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frontrank.functions import half_up
+from frontrank.functions import exact_mean, half_up
 from frontrank.operators import decision as D
 from frontrank.operators import figures as G
 from frontrank.operators import labels as L
@@ -15,7 +15,7 @@ from frontrank.plans import fixtures as X
 from frontrank.plans.comparing import _METHODS, _SUMMARY, _summaries, values
 from frontrank.plans.profiling import splits
 from frontrank.plans.ranking import _with
-from frontrank.plans.registry import query, r6
+from frontrank.plans.registry import half_sql, mean_sql, query, r6
 from frontrank.sources.tables import fresh_path, materialized
 
 ORDER = ["price", "discount", "tax", "quantity"]
@@ -150,6 +150,15 @@ def l12(spark, d):
     return r6(top.groupBy("rule").agg(F.avg("regret").alias("regret"), F.count("*").alias("n_fronts")))
 
 
+@query("l12_rules_beside_learned", _with(*_METHODS) + f"SELECT method AS rule, {half_sql(mean_sql('value'), 6)} AS regret, count(*) AS n_fronts FROM v WHERE metric = 'Regret@5' GROUP BY 1")
+def l12_rules(spark, d):
+    """The decision rules of that comparison."""
+    df = rows(spark, d)
+    both = R.with_learned(D.rule_scores(df, X.OBJECTIVES), D.score_rule(df, "topsis", X.OBJECTIVES))
+    top = M.top_k(both.filter("rule <> 'learned'"), (5,), over=["rule"]).withColumn("regret", F.round("regret", 9))
+    return top.groupBy("rule").agg(half_up(exact_mean("regret"), 6).alias("regret"), F.count("*").alias("n_fronts"))
+
+
 @query("f1_screening_table")
 def f1(spark, d):
     return G.screening_table(S.rank_tests(values(spark, d).filter("metric = 'Regret@5'")), ["topsis"]).withColumn("avg_rank", F.round("avg_rank", 5))

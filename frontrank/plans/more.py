@@ -23,11 +23,12 @@ from frontrank.sources import tables as T
 # ---- readers and writers
 
 
-@query("a4_missing_techniques", "SELECT DISTINCT l_returnflag AS technique FROM lineitem WHERE l_returnflag NOT IN (SELECT o_orderstatus FROM orders)")
+@query("a4_missing_techniques", _with(X.EDGES, X.WEIGHTS) + "SELECT technique, count(*) AS weights FROM candidate_weights WHERE technique NOT IN (SELECT technique FROM edge_lists WHERE technique <> 'N') GROUP BY 1")
 def a4(spark, d):
-    used = X.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("technique")).distinct()
-    have = X.table(spark, d, "orders").select(F.col("o_orderstatus").alias("technique")).distinct()
-    return used.join(have, "technique", "left_anti")
+    """Weights whose base network has no file in a folder: that of N is never written."""
+    path = T.fresh_path(spark, "networks")
+    T.write_edge_folder(X.edge_lists(spark, d).filter("technique <> 'N'"), path)
+    return T.missing_techniques(spark, path, X.candidate_weights(spark, d)).groupBy("technique").agg(F.count("*").alias("weights"))
 
 
 @query("a9_run_names", "SELECT DISTINCT p_brand AS run, replace(p_brand, '#', '-') AS model FROM part")
@@ -162,8 +163,8 @@ def n6(spark, d):
 
 @query("s9_phase_summary", _with(*_METHODS, _SUMMARY) + "SELECT method, count(*) AS metrics, (floor(max(mean) FILTER (metric = 'Regret@5') * 1e5 + 0.5) / 1e5) AS primary_mean FROM summary GROUP BY 1")
 def s9(spark, d):
-    s = _summaries(spark, d)
-    return s.groupBy("method").agg(F.count("*").alias("metrics"), half_up(F.max(F.when(F.col("metric") == "Regret@5", F.col("mean"))), 5).alias("primary_mean"))
+    s = S.phase_summary(_summaries(spark, d), ["Regret@5", "Hit@5"])
+    return s.select("method", "metrics", half_up("primary_mean", 5).alias("primary_mean"))
 
 
 @query("s10_selection_ranks", _with(*_ST) + "SELECT method, position FROM stat WHERE metric = 'Regret@5'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frontrank.functions import lenient, or_unknown, p_class, p_label, row_fingerprint, split_key
+from frontrank.functions import half_up, lenient, or_unknown, p_class, p_label, row_fingerprint, split_key
 from frontrank.operators import evidence as V
 from frontrank.operators import expression as E
 from frontrank.operators import networks as N
@@ -12,7 +12,7 @@ from frontrank.operators import splits as P
 from frontrank.plans import fixtures as X
 from frontrank.plans.comparing import networks, values
 from frontrank.plans.ranking import _with
-from frontrank.plans.registry import query, r6
+from frontrank.plans.registry import half_sql, query, r6
 from frontrank.sources import tables as T
 
 # ---- expression
@@ -76,6 +76,17 @@ def e5(spark, d):
     return E.pca_features(E.exploded_vectors(X.table(spark, d, "embeddings"), "vec_id", "embedding"))
 
 
+@query("e5_trace", """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT i, v - avg(v) OVER (PARTITION BY i) AS c FROM v), d AS (SELECT i, sum(c * c) AS s FROM c GROUP BY 1)
+SELECT 0::BIGINT AS front_id, count(*) AS axes, round(sum(s), 4) AS trace, TRUE AS first_holds_largest, TRUE AS first_under_trace FROM d""")
+def e5_trace(spark, d):
+    """The eigenvalues add up to the variance; the first is at least the largest variance of a column and at most all of it."""
+    found = E.exploded_vectors(X.table(spark, d, "embeddings"), "vec_id", "embedding")
+    total = E.spectrum(found).groupBy("front_id").agg(F.count("*").alias("axes"), F.sum("eigenvalue").alias("sum"), F.max("eigenvalue").alias("first"))
+    widest = found.groupBy("front_id", "cond").agg((F.var_pop("value") * F.count("value")).alias("v")).groupBy("front_id").agg(F.max("v").alias("v"))
+    return total.join(widest, "front_id").select("front_id", "axes", F.round("sum", 4).alias("trace"), (F.col("first") >= F.col("v") * (1 - 1e-9)).alias("first_holds_largest"), (F.col("first") <= F.col("sum") * (1 + 1e-9)).alias("first_under_trace"))
+
+
 @query("e6_effective_rank", """WITH v AS (SELECT label AS front_id, vec_id, list_sum(list_transform(embedding, lambda x: x * x))::DOUBLE AS e FROM embeddings),
 p AS (SELECT front_id, e / sum(e) OVER (PARTITION BY front_id) AS p FROM v) SELECT front_id, round(exp(-sum(p * ln(p))), 3) AS effective_rank FROM p WHERE p > 0 GROUP BY 1""")
 def e6(spark, d):
@@ -107,7 +118,13 @@ def e9(spark, d):
 
 @query("e10_expression_features")
 def e10(spark, d):
-    return r4(E.expression_features(cells(spark, d), ("global", "gene", "condition", "time")))
+    """All blocks that SQL can say."""
+    return r4(E.expression_features(cells(spark, d), [b for b in E.BLOCKS if b != "pca"]))
+
+
+@query("e10_all_blocks")
+def e10_all(spark, d):
+    return r4(E.expression_features(cells(spark, d)))
 
 
 @query("j3_attached_features", _with(*_C) + """, g AS (SELECT front_id AS block, round(avg(value), 4) AS expr_mean FROM cells GROUP BY 1)
@@ -273,7 +290,11 @@ def a11(spark, d):
     return T.split_faults(X.families(spark, d).select((F.col("front_id") % 500).alias("front_id"), split.alias("split")))
 
 
-@query("s25_contract_faults", """SELECT 'l_weight' AS "column", 'missing' AS fault UNION ALL SELECT 'l_tax', 'forbidden' UNION ALL SELECT 'l_shipdate', 'unassigned' UNION ALL SELECT 'l_returnflag', 'not numeric' WHERE EXISTS (SELECT 1 FROM lineitem)""")
+@query("s25_contract_faults", """WITH have AS (SELECT column_name AS c FROM (DESCRIBE SELECT l_tax, l_quantity, l_returnflag, l_shipdate FROM lineitem)),
+want AS (SELECT unnest(['l_quantity', 'l_returnflag', 'l_weight']) AS c), cells AS (SELECT unnest(['l_quantity', 'l_returnflag']) AS c, unnest([l_quantity::VARCHAR, l_returnflag::VARCHAR]) AS v FROM lineitem)
+SELECT c AS "column", 'missing' AS fault FROM want WHERE c NOT IN (SELECT c FROM have) UNION ALL SELECT c, 'forbidden' FROM have WHERE c = 'l_tax' UNION ALL SELECT c, 'unassigned' FROM have WHERE c NOT IN ('l_tax', 'l_quantity', 'l_returnflag')
+UNION ALL SELECT c, 'not numeric' FROM cells GROUP BY 1 HAVING count(*) FILTER (v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) > 0
+UNION ALL SELECT c, 'null' FROM cells GROUP BY 1 HAVING count(*) FILTER (v IS NULL) > 0 UNION ALL SELECT c, 'constant' FROM cells GROUP BY 1 HAVING min(v) IS NOT DISTINCT FROM max(v)""")
 def s25(spark, d):
     df = X.table(spark, d, "lineitem").select("l_tax", "l_quantity", "l_returnflag", "l_shipdate")
     return P.contract_faults(df, ["l_quantity", "l_returnflag", "l_weight"], ["l_tax"], ["l_tax", "l_quantity", "l_returnflag"])
@@ -306,6 +327,11 @@ def p34(spark, d):
     return X.table(spark, d, "orders").groupBy(or_unknown(F.nullif("o_orderstatus", F.lit("F"))).alias("status")).agg(F.count("*").alias("n"))
 
 
+@query("p32_row_fingerprint_md5", "SELECT o_orderkey, md5(coalesce(o_orderkey::VARCHAR, '<NA>') || '|' || coalesce(o_custkey::VARCHAR, '<NA>') || '|' || coalesce(o_orderstatus, '<NA>')) AS fingerprint FROM orders")
+def p32_md5(spark, d):
+    return X.table(spark, d, "orders").select("o_orderkey", row_fingerprint("o_orderkey", "o_custkey", "o_orderstatus", hashed="md5").alias("fingerprint"))
+
+
 @query("p32_row_fingerprint")
 def p32(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", row_fingerprint("o_orderkey", "o_custkey", "o_totalprice").alias("fingerprint"))
@@ -404,7 +430,7 @@ def a3(spark, d):
 
 def _reports(spark, d):
     path = T.fresh_path(spark, "reports")
-    v = values(spark, d).filter("method IN ('topsis', 'vikor', 'ideal_l2')").select(F.col("method").alias("model"), (F.col("front_id") % 3).cast("int").alias("fold"), "front_id", "metric", "value")
+    v = values(spark, d).select(F.col("method").alias("model"), (F.col("front_id") % 3).cast("int").alias("fold"), "front_id", "metric", "value")
     T.write_reports(v, path)
     return T.read_reports(spark, path)
 
@@ -412,7 +438,7 @@ def _reports(spark, d):
 def _vsql(select: str) -> str:
     from frontrank.plans.ranking import RULE_METRICS
 
-    return _with(*RULE_METRICS, "v AS (SELECT rule AS model, (front_id % 3)::INT AS fold, front_id, metric, round(value, 9) AS value FROM methods WHERE rule IN ('topsis', 'vikor', 'ideal_l2'))") + select
+    return _with(*RULE_METRICS, "v AS (SELECT rule AS model, (front_id % 3)::INT AS fold, front_id, metric, round(value, 9) AS value FROM methods)") + select
 
 
 @query("a5_fold_reports", _vsql("SELECT model, fold, metric, round(avg(value), 5) AS value FROM v GROUP BY 1, 2, 3"))
@@ -420,14 +446,14 @@ def a5(spark, d):
     return T.fold_metrics(_reports(spark, d)).withColumn("value", F.round("value", 5))
 
 
-@query("a6_group_reports", _vsql("SELECT model, fold, front_id, metric, round(value, 6) AS value FROM v"))
+@query("a6_group_reports", _vsql(f"SELECT model, fold, front_id, metric, {half_sql('value', 6)} AS value FROM v"))
 def a6(spark, d):
-    return r6(T.group_metrics(_reports(spark, d)))
+    return T.group_metrics(_reports(spark, d)).withColumn("value", half_up("value", 6))
 
 
-@query("a7_averaged_groups", _vsql("SELECT model, front_id, metric, round(avg(value), 6) AS value FROM v GROUP BY 1, 2, 3"))
+@query("a7_averaged_groups", _vsql(f"SELECT model, front_id, metric, {half_sql('avg(value)', 6)} AS value FROM v GROUP BY 1, 2, 3"))
 def a7(spark, d):
-    return r6(T.averaged_groups(_reports(spark, d)))
+    return T.averaged_groups(_reports(spark, d)).withColumn("value", half_up("value", 6))
 
 
 @query("a21_json_clean", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders")

@@ -114,8 +114,7 @@ def n19(spark, d):
 SELECT a.front_id, count(*) AS pairs, sum(CASE WHEN a.score = b.score THEN 1 ELSE 0 END)::BIGINT AS tied
 FROM fronts a JOIN fronts b ON a.front_id = b.front_id AND a.item_id < b.item_id GROUP BY 1""")
 def j18(spark, d):
-    pairs = L.item_pairs(X.fronts(spark, d), "score")
-    return pairs.groupBy("front_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("score_a") == F.col("score_b")).alias("tied"))
+    return L.pair_counts(X.fronts(spark, d), "score")
 
 
 # ---- metrics: oracles follow the order statistics of tie blocks, spelled out over lists

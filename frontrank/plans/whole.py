@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frontrank.functions import half_up, metric_k
@@ -14,7 +15,7 @@ from frontrank.operators import networks as N
 from frontrank.operators import splits as P
 from frontrank.operators import stats as S
 from frontrank.plans import fixtures as X
-from frontrank.plans.comparing import _CHOICE, _DIR, _METHODS, _PIV, _RANKED, _ST, _SUMMARY, _ranks, _summaries, values
+from frontrank.plans.comparing import _CHOICE, _DIR, _HEAVY, _METHODS, _PIV, _RANKED, _ST, _SUMMARY, _WHOLE_PATHS, _ranks, _summaries, values
 from frontrank.plans.learning import ORDER, rows
 from frontrank.plans.profiling import _C, _SPLIT, _recursive, cells, front_meta, splits
 from frontrank.plans.ranking import _with
@@ -24,25 +25,25 @@ from frontrank.sources import tables as T
 # ---- reports and stores
 
 
-def _reported(spark, d, metrics, label):
-    """Values of some metrics, written as reports of one fold for each method; the path."""
+def _reported(spark, v, label):
+    """Values of metrics, written as reports of one fold for each method; the path."""
     path = T.fresh_path(spark, label)
-    v = values(spark, d).filter(F.col("metric").isin(*metrics))
     T.write_reports(v.select(F.col("method").alias("model"), F.lit(0).alias("fold"), "front_id", "metric", "value"), path)
     return path
 
 
-@query("a8_many_reports", _with(*_METHODS) + "SELECT method AS model, count(*) AS n, count(DISTINCT front_id) AS fronts, count(DISTINCT metric) AS metrics FROM v WHERE metric IN ('Regret@5', 'Hit@1') GROUP BY 1")
+@query("a8_many_reports", _with(*_METHODS) + "SELECT method AS model, count(*) AS n, count(DISTINCT front_id) AS fronts, count(DISTINCT metric) AS metrics FROM v GROUP BY 1")
 def a8(spark, d):
-    paths = [_reported(spark, d, [m], "many") for m in ("Regret@5", "Hit@1")]
+    v, first = values(spark, d), F.col("metric").endswith("@1")
+    paths = [_reported(spark, v.filter(some), "many") for some in (first, ~first)]
     g = T.group_metrics(T.read_reports(spark, paths))
     return g.groupBy("model").agg(F.count("*").alias("n"), F.count_distinct("front_id").alias("fronts"), F.count_distinct("metric").alias("metrics"))
 
 
 @query("s8_cv_summary", _with(*_ST, _SUMMARY) + f"""SELECT metric, method, {half_sql('mean', 5)} AS mean, summary.n, round(avg_rank, 5) AS avg_rank,
-row_number() OVER (PARTITION BY metric ORDER BY mean * {_DIR} DESC, method) AS place FROM summary JOIN stat USING (metric, method) WHERE metric IN ('Regret@5', 'Hit@5')""")
+row_number() OVER (PARTITION BY metric ORDER BY mean * {_DIR} DESC, method) AS place FROM summary JOIN stat USING (metric, method)""")
 def s8(spark, d):
-    g = T.averaged_groups(T.read_reports(spark, _reported(spark, d, ["Regret@5", "Hit@5"], "cv")))
+    g = T.averaged_groups(T.read_reports(spark, _reported(spark, values(spark, d), "cv")))
     s = S.cv_summary(T.materialized(g.withColumnRenamed("model", "method"), "cv"), required=["Regret@5"])
     return s.select("metric", "method", half_up("mean", 5).alias("mean"), "n", F.round("avg_rank", 5).alias("avg_rank"), "place")
 
@@ -116,10 +117,15 @@ def p23(spark, d):
     return X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("tags"))
 
 
-@query("f2_tuning_table", _with(*_METHODS, _SUMMARY) + f"""SELECT method || '__continuous__nl31_lr005' AS method, method AS model, 'continuous' AS label_mode, metric, {half_sql('mean', 5)} AS mean, 31::DOUBLE AS nl, 0.05::DOUBLE AS lr, method = 'topsis' AS selected FROM summary""")
+@query("f2_tuning_table", _with(*_METHODS, _SUMMARY) + f"""SELECT method || '__continuous__nl' || n || '_lr0' || lpad(i::VARCHAR, 2, '0') AS method, method AS model, 'continuous' AS label_mode, metric, {half_sql('mean', 5)} AS mean, n::DOUBLE AS nl, i / 100 AS lr, method LIKE 'single%' AS selected
+FROM (SELECT *, dense_rank() OVER (ORDER BY method) AS i FROM summary)""")
 def f2(spark, d):
-    s = _summaries(spark, d).withColumn("method", F.concat("method", F.lit("__continuous__nl31_lr005")))
-    return G.tuning_table(s, ["topsis__continuous__nl31_lr005"], ["nl", "lr"]).withColumn("mean", half_up("mean", 5))
+    """Each method as a run whose tag tells how many fronts it has and its place by name."""
+    s = _summaries(spark, d)
+    place = s.select("method").distinct().withColumn("i", F.row_number().over(Window.orderBy("method")))  # a row for each method
+    s = s.join(place, "method").withColumn("method", F.concat("method", F.lit("__continuous__nl"), "n", F.lit("_lr0"), F.lpad(F.col("i").cast("string"), 2, "0")))
+    chosen = [r[0] for r in s.filter("method LIKE 'single%'").select("method").distinct().collect()]
+    return G.tuning_table(s, chosen, ["nl", "lr"]).withColumn("mean", half_up("mean", 5))
 
 
 @query("t4_first_configurations", _with(*_ST, _SUMMARY, _PIV) + f"SELECT method FROM wide JOIN (SELECT method, avg_rank FROM stat WHERE metric = 'Regret@5') USING (method) {_CHOICE} LIMIT 5")
@@ -215,8 +221,9 @@ def _joined(parts: dict[str, str], key: str, prefix: str) -> str:
     return "SELECT * FROM " + " JOIN ".join(m if i == 0 else f"{m} USING ({key})" for i, m in enumerate(made))
 
 
-ORACLE_SQL["e10_expression_features"] = _joined({"global": "e1_global", "gene": "e2_gene", "condition": "e3_condition", "time": "e9_time"}, "front_id", "expr_{}_")
-ORACLE_SQL["n17_network_features"] = _joined({"global": "n4_global", "strength": "n8_strength_features", "assortativity": "n9_assortativity", "reciprocity": "n10_reciprocity", "clustering": "n11_clustering"}, "net_id", "grn_")
+ORACLE_SQL["e10_expression_features"] = _joined({"global": "e1_global", "gene": "e2_gene", "condition": "e3_condition", "gene_r": "e4_gene_correlation", "cond_r": "e4_condition_correlation", "time": "e9_time"}, "front_id", "expr_{}_")
+ORACLE_SQL["n13_whole_paths"] = ORACLE_SQL["n13_path_features"].replace(_HEAVY, _WHOLE_PATHS)
+ORACLE_SQL["n17_network_features"] = _joined({"global": "n4_global", "strength": "n8_strength_features", "assortativity": "n9_assortativity", "reciprocity": "n10_reciprocity", "clustering": "n11_clustering", "entropy": "n16_entropies", "paths": "n13_whole_paths"}, "net_id", "grn_")
 
 # ---- catalogs of columns, over the values that the columns hold
 

@@ -138,6 +138,12 @@ def read_edge_folder(spark: SparkSession, folder: str, techniques: Sequence[str]
     return edges
 
 
+def missing_techniques(spark: SparkSession, folder: str, used: DataFrame) -> DataFrame:
+    """Rows of used (technique, ...) whose base network has no file in the folder. Only the files' names are read, not their rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", r"technique=([^/]+)", 1).alias("technique")).distinct()
+    return used.join(files, "technique", "left_anti")
+
+
 def write_edge_folder(edges: DataFrame, folder: str) -> None:
     edges.select("src", "dst", "w", "technique").write.partitionBy("technique").csv(folder)
 
