@@ -123,7 +123,7 @@ def test_pii_odd_rows(odd_docs, no_docs):
 
 
 def test_url_parts_rules_and_verdicts(spark):
-    urls = ["https://WWW.Example.com/en/a?x", "http://example.com/en/1#t", "http://a.b.net/fr/x", "nothing", None, "x://h", "http://casino-win.example.org/en/5", "http://library.example.org/en/5", "a://b://c/d", "http://notexample.com/en/", "http://h?p=/x"]
+    urls = ["https://WWW.Example.com/en/a?x", "http://example.com/en/1#t", "http://a.b.net/fr/x", "nothing", None, "x://h", "http://casino-jackpot.example.org/en/5", "http://library.example.org/en/5", "a://b://c/d", "http://notexample.com/en/", "http://h?p=/x"]
     labelled = spark.createDataFrame(url_filter.labelled_urls()[0], "url string, label int")
     got = {r["page_id"]: r for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), labelled, url_filter.RULES).collect()}
     assert [(got[i]["host"], got[i]["path"]) for i in (0, 1, 3, 4, 5, 8, 10)] == [("www.example.com", "/en/a"), ("example.com", "/en/1"), ("", ""), ("", ""), ("h", ""), ("b:", "//c/d"), ("h", "")]
@@ -138,9 +138,13 @@ def test_url_parts_rules_and_verdicts(spark):
             url_filter.MOST = old
 
 
-def test_url_filter_on_held_out_hosts(spark, odd_docs):
+def test_url_filter_on_words_never_fitted(spark, odd_docs):
     fit, held = url_filter.labelled_urls()
     assert not {u for u, _ in fit} & {u for u, _ in held} and len(fit) <= url_filter.MOST
+    chief = {w for words in url_filter.TOPICS.values() for w in words[4::5]}
+    known = {w for words in (*url_filter.TOPICS.values(), [*url_filter.PLAIN, *url_filter.NEAR]) for i, w in enumerate(words) if i % 5 != 4}
+    alone = {w for w in chief if not any(w in k for k in known)}  # a word inside of another, known one proves nothing
+    assert len(alone) > 12 and not [u for u, y in fit for w in alone if w in url_filter_host(u)]
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judged(pages, spark.createDataFrame(fit, "url string, label int"), []).collect()}
     hits, said, true = sum(got[i] and y for i, (_, y) in enumerate(held)), sum(got.values()), sum(y for _, y in held)
@@ -148,6 +152,36 @@ def test_url_filter_on_held_out_hosts(spark, odd_docs):
     assert hits / true >= 0.9 and hits / said >= 0.95
 
 
+def url_filter_host(url):
+    return url.split("://")[1].split("/")[0].split("?")[0]
+
+
+def test_digits_of_a_path_change_no_verdict(spark):
+    fit = spark.createDataFrame(url_filter.labelled_urls()[0], "url string, label int")
+    pages = read(spark, DATA, "pages").select("page_id", "url").filter("url IS NOT NULL")
+    other = pages.withColumn("url", F.regexp_replace("url", r"(?<=/)[0-9]+", "77"))
+    scores = [{r["page_id"]: (r["verdict"], r["block_score"]) for r in url_filter.judged(df, fit, []).collect()} for df in (pages, other)]
+    assert scores[0] == scores[1] and len(scores[0]) == pages.count()
+
+
+def test_scores_and_verdicts_in_plain_python(spark):
+    fit = spark.createDataFrame(url_filter.labelled_urls()[0], "url string, label int")
+    w, bias = url_filter.trained(fit)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(url_filter.labelled_urls()[1][::9])] + [(900, ""), (901, None), (902, "x://a")], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judged(pages, fit, url_filter.RULES).collect()}
+    own = {r["page_id"]: r["x"] for r in pages.select("page_id", url_filter.places(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("x")).collect()}
+    for p in pages.collect():
+        r, x = got[p["page_id"]], own[p["page_id"]]
+        text = re.sub("[0-9]+", "0", f"^{r['host']}{r['path']}$")
+        grams = {text[i : i + n] for n in url_filter.GRAMS for i in range(len(text) - n + 1)} if r["host"] or r["path"] else set()
+        hashed = {h[0] for h in spark.createDataFrame([(g,) for g in sorted(grams)], "g string").select(F.pmod(F.xxhash64("g"), F.lit(url_filter.DIM))).collect()} if p["page_id"] % 40 == 0 else set(x)
+        assert set(x) == hashed and len(x) == len(set(x))
+        score = 1 / (1 + np.exp(-(bias + sum(w[i] for i in x) / len(x) ** 0.5))) if x else 0.0
+        fits = [(len(h) + len(q), v, h + q) for h, q, v in url_filter.RULES if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(q)]
+        assert r["block_score"] == pytest.approx(score) and r["rule"] == (max(fits)[2] if fits else None)
+        assert r["verdict"] == (max(fits)[1] if fits else "block" if score >= url_filter.CUT else "allow")
+
+
 def test_url_parts_equal_sql_and_odd_pages(spark):
     import duckdb
 
