@@ -151,14 +151,15 @@ def entropies(edges: DataFrame) -> DataFrame:
 def _spread(edges: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Smallest label that reaches each node along edges, by rounds of joins until nothing changes.
 
-    A label is a node's name, and what reaches that node reaches all that have its label: each round also takes over the
-    label of one's label, so that a label goes twice as far each time along a path.
+    A label is the hash and name of a node, and what reaches that node reaches all that have its label: each round also
+    takes over the label of one's label, so that a label goes twice as far each time along a path. Hashes, as a path whose
+    names rise or fall would otherwise have the small labels wait at each step.
     """
     current = scratch.turn(labels, name)
     while True:
         reached = edges.join(current.select(NET, F.col("node").alias("src"), "label"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.min("label").alias("l"))
-        jumped = current.select(NET, F.col("node").alias("label"), F.col("label").alias("j"))
-        both = current.join(reached, [NET, "node"], "left").join(jumped, [NET, "label"], "left")
+        jumped = current.select(NET, F.col("node").alias("__at"), F.col("label").alias("j"))
+        both = current.withColumn("__at", F.col("label.name")).join(reached, [NET, "node"], "left").join(jumped, [NET, "__at"], "left")
         new = scratch.turn(both.select(NET, "node", F.least("label", "l", "j").alias("label"), (F.least("l", "j") < F.col("label")).alias("moved")), name)
         if new.filter("moved").isEmpty():
             return new.drop("moved")
@@ -187,8 +188,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """(net, node, component): strongly connected components of all networks at once.
 
     In each round, nodes that hang from or end in chains leave as components of their own; the others take the smallest
-    label that reaches them forwards and backwards. Where both agree the node belongs to that label's component and
-    leaves. Rounds go on until no node is left. Chains and cycles of any length take rounds by their logarithm.
+    label that reaches them forwards and backwards. Where both agree the node belongs to that label's component, named by
+    its smallest node, and leaves. Rounds go on until no node is left. Chains and cycles of any length take rounds by their logarithm.
     """
     turned = lambda e: e.select(NET, F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -208,11 +209,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 left = scratch.turn(without(left, lone.select(NET, "node")), "left")
             if rest.isEmpty():
                 break
-            start = rest.withColumn("label", F.col("node"))
+            start = rest.withColumn("label", F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("name")))
             ahead = _spread(left, start, scratch, "ahead").withColumnRenamed("label", "f")
             behind = _spread(turned(left), start, scratch, "behind").withColumnRenamed("label", "b")
             both = scratch.turn(ahead.join(behind, [NET, "node"]), "both")
-            parts.append(materialized(both.filter("f = b").select(NET, "node", F.col("f").alias("component")), "components"))
+            found = both.filter("f = b").select(NET, "node", F.col("f.name").alias("at"))
+            first = found.groupBy(NET, "at").agg(F.min("node").alias("component"))
+            parts.append(materialized(found.join(first, [NET, "at"]).select(NET, "node", "component"), "components"))
             rest = scratch.turn(both.filter("f <> b").select(NET, "node"), "rest")
             # nodes of one component share both labels, so no cycle goes over edges between others
             marks = both.filter("f <> b")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from frontrank.operators import boosting as B
 from frontrank.operators import labels as L
 from frontrank.operators import ltr as R
 from frontrank.operators import metrics as M
@@ -37,7 +38,7 @@ def test_unknown_kind(spark, fronts):
 def test_screening_and_tuning_are_whole(spark, fronts, monkeypatch):
     runs, tuned = [], []
 
-    def screening(df, order, kinds=R.KINDS, modes=L.MODES, k=3, params=None):
+    def screening(df, order, kinds=B.FAMILIES, modes=L.MODES, k=3, params=None):
         runs.append((kinds, modes, k, params))
         made = [(f"{kind}__{mode}", f, metric, float((i + len(kind)) % 8)) for kind in kinds for i, mode in enumerate(modes) for f in range(3) for metric in ("Regret@5", "Regret@1", "Hit@5", "BestTarget@5")]
         return spark.createDataFrame(made, "method string, front_id long, metric string, value double")
@@ -52,9 +53,9 @@ def test_screening_and_tuning_are_whole(spark, fronts, monkeypatch):
     assert learning.l8(spark, "").select("method").distinct().count() == 24
     learning.l9(spark, "")
     kinds, modes, k, params = runs[0]
-    assert kinds == R.KINDS and set(modes) == {*L.MODES, "quantiles5", "quantiles15"} and k == 3 and params is None
+    assert kinds == B.FAMILIES and set(modes) == {*L.MODES, "quantiles5", "quantiles15"} and k == 3 and params is None
     # Regret@5 is 0 at the mode whose place and the length of the family's name make 8
-    assert tuned == [([(kind, modes[-len(kind) % 8]) for kind in R.KINDS], R.GRID, 3)]
+    assert tuned == [([(kind, modes[-len(kind) % 8]) for kind in B.FAMILIES], R.GRID, 3)]
 
 
 @pytest.mark.parametrize("bins", [5, 15])
