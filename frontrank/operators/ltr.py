@@ -72,16 +72,31 @@ def load(spark: SparkSession, path: str) -> Ranker:
     return Ranker(kind, list(order), list(PipelineModel.load(f"{path}/models").stages), list(weights))
 
 
-def _pairs(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Pairs of one front with the better item as a, and the change of NDCG if they swapped places by score. carry: columns that come along, as <name>_a and <name>_b."""
+#: Places by score or by label that count as the head of a front: pairs have one side there.
+HEAD = 10
+
+
+def _pairs(df: DataFrame, carry: Sequence[str] = (), head: int = HEAD) -> DataFrame:
+    """Pairs of one front with the better item as a, and the change of NDCG if they swapped places by score.
+
+    One side stands among the first `head` places by score or by label, so a front of n items has 2 x head x n pairs at
+    most; swaps further down change NDCG at the places that are reported by nothing. carry: columns that come along, as
+    <name>_a and <name>_b.
+    """
     at = F.row_number().over(Window.partitionBy("front_id").orderBy(F.desc("score"), "item_id"))
     ideal = F.row_number().over(Window.partitionBy("front_id").orderBy(F.desc("label"), "item_id"))
     placed = df.select(*KEYS, "label", "score", *carry, at.alias("at"), ideal.alias("ideal"))
     placed = placed.withColumn("best", F.sum(F.col("label") / F.log2(F.col("ideal") + 1.0)).over(Window.partitionBy("front_id")))
-    a = placed.select("front_id", F.col("item_id").alias("a"), F.col("label").alias("la"), F.col("score").alias("sa"), F.col("at").alias("pa"), "best", *[F.col(c).alias(f"{c}_a") for c in carry])
-    b = placed.select("front_id", F.col("item_id").alias("b"), F.col("label").alias("lb"), F.col("score").alias("sb"), F.col("at").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in carry])
+    first = (F.col("at") <= head) | (F.col("ideal") <= head)
+    own = F.struct("item_id", "label", "score", "at", *[F.col(c).alias(f"carry_{c}") for c in carry])
+    x = placed.filter(first).select("front_id", "best", own.alias("x"))
+    y = placed.select("front_id", own.alias("y"), first.alias("y_first"))
+    met = x.join(y, "front_id").filter("x.label <> y.label AND (NOT y_first OR x.item_id < y.item_id)")  # two heads meet once
+    better = F.col("x.label") > F.col("y.label")
+    met = met.select("front_id", "best", F.when(better, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(better, F.col("y")).otherwise(F.col("x")).alias("q"))
+    out = met.select("front_id", "best", *[F.col(f"{s}.{c}").alias(n) for s, names in (("p", ("a", "la", "sa", "pa")), ("q", ("b", "lb", "sb", "pb"))) for c, n in zip(("item_id", "label", "score", "at"), names, strict=True)], *[F.col(f"{s}.carry_{c}").alias(f"{c}_{n}") for c in carry for s, n in (("p", "a"), ("q", "b"))])
     change = F.abs((F.col("la") - F.col("lb")) * (1 / F.log2(F.col("pa") + 1.0) - 1 / F.log2(F.col("pb") + 1.0)))
-    return a.join(b, "front_id").filter("la > lb").withColumn("delta", F.coalesce(F.try_divide(change, F.col("best")), F.lit(0.0)))
+    return out.withColumn("delta", F.coalesce(F.try_divide(change, F.col("best")), F.lit(0.0)))
 
 
 def lambdas(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Learned rankings: better than chance on a front where one feature decides."""
 
+import numpy as np
 import pytest
 
 from frontrank.operators import boosting as B
@@ -61,3 +62,18 @@ def test_screening_and_tuning_are_whole(spark, fronts, monkeypatch):
 @pytest.mark.parametrize("bins", [5, 15])
 def test_quantile_modes(spark, fronts, bins):
     assert L.build_labels(fronts, f"quantiles{bins}").exceptAll(L.with_quantiles(fronts, bins)).count() == 0
+
+
+def test_pairs_of_a_front_have_one_side_in_its_head(spark):
+    rows = [(1, i, float((i * 7) % 11), float((i * 5) % 9)) for i in range(40)] + [(2, 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "front_id long, item_id long, label double, score double")
+    got = {(r["a"], r["b"]): r["delta"] for r in R._pairs(df, head=3).collect()}
+    own = [r for r in rows if r[0] == 1]
+    at = {r[1]: i + 1 for i, r in enumerate(sorted(own, key=lambda r: (-r[3], r[1])))}
+    ideal = {r[1]: i + 1 for i, r in enumerate(sorted(own, key=lambda r: (-r[2], r[1])))}
+    label, best = {r[1]: r[2] for r in own}, sum(r[2] / np.log2(ideal[r[1]] + 1) for r in own)
+    head = {i for i in at if at[i] <= 3 or ideal[i] <= 3}
+    want = {(i, j): (label[i] - label[j]) * abs(1 / np.log2(at[i] + 1) - 1 / np.log2(at[j] + 1)) / best for i in at for j in at if label[i] > label[j] and (i in head or j in head)}
+    assert got == pytest.approx(want) and len(got) <= 2 * 3 * 40
+    every = R._pairs(df, ["score"], head=100).collect()
+    assert len(every) == sum(label[i] > label[j] for i in at for j in at) and all(r["score_a"] == r["sa"] and r["score_b"] == r["sb"] for r in every)
