@@ -315,6 +315,12 @@ def n13(spark, d):
     return r6(N.path_features(_heavy(spark, d)))
 
 
+@query("n13_whole_paths")
+def n13_whole(spark, d):
+    """The same over all edges."""
+    return r6(N.path_features(networks(spark, d)))
+
+
 @query("n14_communities")
 def n14(spark, d):
     return r6(N.community_features(networks(spark, d)))
