@@ -3,7 +3,8 @@
 Each partition sorts its digests into a run. In every round the runs of FAN neighbouring partitions meet
 (run number // FAN, shard by shard), are merged in digest order and keep, for each text, the winning id and the
 number of rows so far. After ceil(log_FAN(partitions)) rounds one run is left for each shard of the digest space,
-so no task ever holds more than its shard, and a text that a third of all rows share is one row per run.
+so no task ever holds more than its shard, and a text that a third of all rows share is one row per run. The runs that
+meet are brought in order by Spark's sort, which merges sorted spills, and collapsed in one pass over that order.
 
 Texts are equal when SHA-256, byte length and a second, independent 64-bit hash all agree; this is checked at
 every level, because the three together are the merge key. Of equal texts the largest doc_id stays.

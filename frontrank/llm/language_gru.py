@@ -9,7 +9,7 @@ on the order of rows) and at most CHUNKS_FIT chunks of each; prediction reads ev
 that aren't held out enter the model.
 
 A null text, or one without a letter, is `und` with score 0. Without any labelled row every document is `und`.
-Repeated rows get the same answer. An empty table gives an empty result. Extra columns are ignored.
+Of equally likely languages the first by name wins. Texts of any length are read whole. Repeated rows get the same answer. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

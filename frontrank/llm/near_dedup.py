@@ -24,7 +24,8 @@ left out, as are those that no such x has, the others ordered with the rarest fi
 be shared, and one) with enough behind it are checked. No link between members of a bucket is lost. Signatures that
 agree in so few components that similarity THRESHOLD is 5 standard deviations off spare the check of the texts.
 
-Null and empty texts, and those without a word, are copies of each other. Rows that share a doc_id share a class. A
+Texts of any length are read whole, a batch of about SLICE_BYTES at a time or one longer text. Null and empty texts, and
+those without a word, are copies of each other. Rows that share a doc_id share a class. A
 null doc_id has no class (null). An empty table gives an empty result. Extra columns are passed through by
 `one_of_each` and ignored elsewhere.
 """

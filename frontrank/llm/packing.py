@@ -10,7 +10,8 @@ longest first, and a segment tree over remaining capacities finds the tightest o
 A group closes with at most a few unfilled sequences, so the cost of working group by group is about one in 10,000.
 Only ids, lengths and checksums are shuffled, never tokens.
 
-Null and empty texts are documents of one token. Repeated rows are packed each on its own. An empty table gives an
+Pieces of equal length go by doc_id, piece and checksum; sequences of equal room are taken last in, first out. Null and
+empty texts are documents of one token. Repeated rows are packed each on its own. An empty table gives an
 empty result. Extra columns are ignored.
 """
 

@@ -10,7 +10,8 @@ which takes gradient steps over them.
 Rules are few and are written into the plan: for each rule a comparison, no join. Pages aren't shuffled.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and gets the regression's answer for no
-n-grams, which is `allow`. Repeated rows get the same answer. An empty table gives an empty result. Extra columns are
+n-grams, which is `allow`. Of rules of equal length the one that comes later in the list wins; a score of just CUT is
+blocked. Urls of any length are read whole. Repeated rows get the same answer. An empty table gives an empty result. Extra columns are
 ignored.
 """
 
