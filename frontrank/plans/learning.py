@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frontrank.functions import exact_mean, half_up
@@ -16,7 +17,7 @@ from frontrank.plans.comparing import _METHODS, _SUMMARY, _summaries, values
 from frontrank.plans.profiling import splits
 from frontrank.plans.ranking import _with
 from frontrank.plans.registry import half_sql, mean_sql, query, r6
-from frontrank.sources.tables import fresh_path, materialized
+from frontrank.sources.tables import exists, fresh_path, materialized
 
 ORDER = ["price", "discount", "tax", "quantity"]
 SCREENED = (*L.MODES, "quantiles5", "quantiles15")
@@ -69,13 +70,24 @@ def l7(spark, d):
     return R.rank_fronts(df, R.fit(L.build_labels(df, "rank_dense"), "pairwise", ORDER)).select("front_id", "item_id", "rank_in_front")
 
 
-def screened(df):
-    return R.screening(df, ORDER, modes=SCREENED)
+_DONE: dict[tuple, DataFrame] = {}
+
+
+def _once(spark, d, name, make):
+    """A written table that several queries of a session share, as long as its files are there."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _DONE or not exists(_DONE[key]):
+        _DONE[key] = make()
+    return _DONE[key]
+
+
+def screened(spark, d):
+    return _once(spark, d, "screened", lambda: R.screening(rows(spark, d), ORDER, modes=SCREENED))
 
 
 @query("l8_screening")
 def l8(spark, d):
-    return S.leaderboard(S.summary(screened(rows(spark, d))))
+    return S.leaderboard(S.summary(screened(spark, d)))
 
 
 #: Every run, and how many fronts have each of its metrics: what SQL can say of screening and tuning.
@@ -86,7 +98,7 @@ _MODES = "mode AS (SELECT unnest(['rank_dense', 'rank_avg', 'quantiles', 'contin
 
 @query("l8_screened_runs", f"WITH {X.FRONTS}, {_COUNTED}, {_MODES} SELECT family || '__' || mode AS method, metric, n FROM (SELECT unnest(['listwise', 'pairwise', 'sampled']) AS family), mode, m")
 def l8_runs(spark, d):
-    return S.summary(screened(rows(spark, d))).select("method", "metric", "n")
+    return S.summary(screened(spark, d)).select("method", "metric", "n")
 
 
 def shortlist(runs):
@@ -97,8 +109,7 @@ def shortlist(runs):
 
 
 def tuned(spark, d):
-    df = rows(spark, d)
-    return R.tuning(df, ORDER, shortlist(screened(df)))
+    return _once(spark, d, "tuned", lambda: R.tuning(rows(spark, d), ORDER, shortlist(screened(spark, d))))
 
 
 @query("l9_tuning")

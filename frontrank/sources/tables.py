@@ -43,6 +43,15 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether the files that df reads are still there; true for what reads none."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return True
+
+
 class Scratch:
     """The tables of an iterative job, under a name each. A table lives until the next of its name is written, or the scope ends.
 
