@@ -189,13 +189,42 @@ def test_items_without_id_and_long_texts_in_runs(spark):
 
 def test_blocks_lose_none_within_the_radius():
     rng = np.random.default_rng(2)
-    items = decontamination.Items([(i, " ".join(words(random.Random(i), 20))) for i in range(5)])
+    prints = rng.integers(0, 256, (5, 8), dtype=np.uint8)
+    index = decontamination.BlockIndex(prints)
     for _ in range(300):
         i = int(rng.integers(5))
-        bits = np.unpackbits(items.prints[i])
-        flips = rng.choice(64, int(rng.integers(0, decontamination.RADIUS + 1)), replace=False)
-        bits[flips] ^= 1
-        assert items.near(np.packbits(bits)[None, :], np.array([i]))[0, 0]
+        bits = np.unpackbits(prints[i])
+        n = int(rng.integers(0, decontamination.RADIUS + 1))
+        bits[rng.choice(64, n, replace=False)] ^= 1
+        _, which, away = index.near(np.packbits(bits)[None, :])
+        assert n in away[which == i]
+
+
+def test_long_passages_over_pieces_and_wide_edits(spark, monkeypatch):
+    """Small pieces and a tiny bit map full of false hits give what all windows give, with many items that share shingles."""
+    monkeypatch.setattr(decontamination, "PIECE", 8)
+    monkeypatch.setattr(decontamination, "LEAST_BITS", 6)
+    monkeypatch.setattr(decontamination, "MOST_BITS", 6)
+    rng = random.Random(4)
+    head = words(rng, 12)
+    items = [(i, " ".join([*head, *words(rng, rng.randint(1, 40))])) for i in range(12)]
+    docs = []
+    for i in range(30):
+        t = items[rng.randrange(12)][1].split()
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = "other"
+        docs.append((i, " ".join([*words(rng, rng.randint(0, 30)), *t[rng.randint(0, 3) :], *words(rng, rng.randint(0, 30)), *head])))
+    expected = {}
+    for d, text in docs:
+        w = text.split()
+        for i, t in items:
+            own, n = shingles(t), len(t.split())
+            best = max(jaccard(shingles(" ".join(w[s : s + n])), own) for s in range(max(1, len(w) - n + 1)))
+            if best >= decontamination.THRESHOLD:
+                expected[d, i] = round(best, 9)
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontamination.contaminated(table, bench).collect()}
+    assert got == expected and len(got) >= 10
 
 
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
