@@ -43,8 +43,8 @@ WILD = "<*>"
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
 
 
-def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """doc_id, whole and bytes of the text, number, hash, leaf, and of long lines a hash to compare; with_tokens: its tokens with variable fields masked, and no place."""
+def parsed(docs: DataFrame, spelled: bool = False) -> DataFrame:
+    """doc_id, whole and bytes of the text, number, hash, leaf, and of long lines a hash to compare; spelled: only hash and the line with variable fields masked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -62,28 +62,32 @@ def parsed(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
             masked = pc.replace_substring_regex(distinct.dictionary, r"\S*[0-9]\S*", WILD).to_pylist()
             own, leaf, far, long = np.empty(len(masked), np.int64), np.empty(len(masked), np.int64), np.zeros(len(masked), np.int64), np.zeros(len(masked), bool)
             for i, line in enumerate(masked):
-                if line.count(" ") + 1 >= LONG:
+                if line.startswith(WILD) and all(t == WILD for t in line.split(" ")):
+                    own[i] = xxhash.xxh3_64_intdigest(plain[i]) - 2**63
+                else:
+                    own[i] = xxhash.xxh3_64_intdigest(line) - 2**63
+            if spelled:
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(masked, pa.string())], ["line", "masked"])
+                continue
+            for i, line in enumerate(masked):
+                blanks = line.count(" ")
+                if blanks + 1 >= LONG:
                     tokens = line.split(" ")
                     long[i] = True
                     far[i] = xxhash.xxh3_64_intdigest(line if tokens.count(WILD) <= len(tokens) * (1 - FIXED) else plain[i]) - 2**63
-                lead = line.split(" ", LEAD)
-                if all(t == WILD for t in line.split(" ")):
-                    own[i] = leaf[i] = xxhash.xxh3_64_intdigest(plain[i]) - 2**63
-                    continue
-                own[i] = xxhash.xxh3_64_intdigest(line) - 2**63
-                leaf[i] = xxhash.xxh3_64_intdigest(f"{line.count(' ')} " + " ".join(lead[:LEAD])) - 2**63
+                if line.startswith(WILD) and all(t == WILD for t in line.split(" ")):
+                    leaf[i] = own[i]
+                else:
+                    leaf[i] = xxhash.xxh3_64_intdigest(f"{blanks} " + " ".join(line.split(" ", LEAD)[:LEAD])) - 2**63
             codes = np.asarray(distinct.indices)
             short = ~long[codes]
-            if with_tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(leaf), pa.array([m.split(" ") for m in masked], pa.list_(pa.string()))], ["line", "leaf", "tokens"])
-            else:
-                column = texts(batch.column(1))
-                whole = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in column.to_pylist()), np.uint64, batch.num_rows).view(np.int64)  # as Spark's xxhash64
-                size = np.asarray(pc.binary_length(column), np.int64)
-                columns = [batch.column(0).cast(pa.int64()).take(pa.array(row[some])), pa.array(whole[row[some]]), pa.array(size[row[some]]), pa.array(number[some], pa.int32()), pa.array(own[codes]), pa.array(leaf[codes]), pa.array(far[codes], mask=short)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "bytes", "number", "line", "leaf", "far"])
+            column = texts(batch.column(1))
+            whole = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in column.to_pylist()), np.uint64, batch.num_rows).view(np.int64)  # as Spark's xxhash64
+            size = np.asarray(pc.binary_length(column), np.int64)
+            columns = [batch.column(0).cast(pa.int64()).take(pa.array(row[some])), pa.array(whole[row[some]]), pa.array(size[row[some]]), pa.array(number[some], pa.int32()), pa.array(own[codes]), pa.array(leaf[codes]), pa.array(far[codes], mask=short)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "bytes", "number", "line", "leaf", "far"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "line long, leaf long, tokens array<string>" if with_tokens else "doc_id long, whole long, bytes long, number int, line long, leaf long, far long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "line long, masked string" if spelled else "doc_id long, whole long, bytes long, number int, line long, leaf long, far long")
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -110,8 +114,8 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     alone = counted.filter(F.col("docs") >= min_docs).select("line")
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("reach"), F.count("*").alias("lines")).filter(F.col("reach") >= min_docs).filter("lines > 1").select("leaf")
     hot = written(counted.join(leaves, "leaf"), "hot")
-    tokens = parsed(docs, with_tokens=True).join(few(hot.select("line", "docs")), "line")
-    distinct = written(tokens.groupBy("line", "leaf").agg(F.first("tokens").alias("tokens"), F.first("docs").alias("docs")), "tokens")
+    spelled = parsed(docs, spelled=True).join(few(hot.select("line", "leaf", "docs")), "line").distinct()  # aggregated by hash: no sort of a hot line's occurrences
+    distinct = written(spelled.select("line", "leaf", F.split("masked", " ").alias("tokens"), "docs"), "tokens")
     support = written(supported(distinct, once, min_docs), "support")
     places = distinct.select("line", "leaf", F.posexplode("tokens").alias("place", "token"))
     fixed = places.join(support, ["leaf", "place", "token"]).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("fixed"))
