@@ -33,3 +33,15 @@ def test_values_lie_by_front(spark, monkeypatch):
     assert parts == 3 and len(v.select("front_id").inputFiles()) == parts
     text = plan(S.method_ranks(v))
     assert "Exchange" not in text and "Bucketed: true" in text
+
+
+def test_pairing_deals_no_values_out_by_metric(spark):
+    """Beyond the broadcast threshold too, values stay where their front is."""
+    v = values(spark, SMALL)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(S.paired(v))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
