@@ -19,3 +19,15 @@ def test_reports_come_in_parts(spark, tmp_path, monkeypatch):
     means = {(r["fold"], r["metric"]): r["value"] for r in v.groupBy("fold", "metric").agg(F.avg("value").alias("value")).collect()}
     folds = T.fold_metrics(found).collect()
     assert len(folds) == 4 and {(r["fold"], r["metric"]): r["value"] for r in folds} == means
+
+
+def test_no_task_holds_a_models_fronts(spark):
+    """Beyond the broadcast threshold too, fronts are dealt out by part, never by model and fold alone."""
+    v = spark.range(600).select(F.lit("a").alias("model"), F.lit(0).alias("fold"), F.col("id").alias("front_id"), F.lit("m").alias("metric"), F.lit(1.0).alias("value"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = T.reports(v)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in text
