@@ -23,7 +23,7 @@ def test_reports_come_in_parts(spark, tmp_path, monkeypatch):
 
 def test_no_task_holds_a_models_fronts(spark):
     """Beyond the broadcast threshold too, fronts are dealt out by part, never by model and fold alone."""
-    v = spark.range(600).select(F.lit("a").alias("model"), F.lit(0).alias("fold"), F.col("id").alias("front_id"), F.lit("m").alias("metric"), F.lit(1.0).alias("value"))
+    v = spark.range(600).select(F.concat(F.lit("a"), F.col("id") % 3).alias("model"), (F.col("id") % 2).cast("int").alias("fold"), F.col("id").alias("front_id"), F.lit("m").alias("metric"), F.lit(1.0).alias("value"))
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
